@@ -99,12 +99,12 @@ def c5(t):
     """WITH x AS (SELECT entity, (dayofyear(d) - 1) % 365 AS p, value FROM daily),
     per AS (SELECT entity, p, count(*) AS n, sum(value) AS s, min(value) AS lo, max(value) AS hi FROM x GROUP BY 1, 2),
     z AS (SELECT entity, (p + o + 365) % 365 + 1 AS doy, n, s, lo, hi FROM per, (SELECT unnest(range(-30, 31)) AS o))
-    SELECT entity, CAST(doy AS INTEGER) AS doy, CAST(sum(n) AS BIGINT) AS n, round(sum(s) / sum(n), 6) AS mean, min(lo) AS lowest, max(hi) AS highest FROM z GROUP BY 1, 2""",
+    SELECT entity, CAST(doy AS INTEGER) AS doy, CAST(sum(n) AS BIGINT) AS n, round(sum(s), 2) AS total, min(lo) AS lowest, max(hi) AS highest FROM z GROUP BY 1, 2""",
     "daily",
 )
 def c6(t):
     out = J.circular_day_pool(t.daily().withColumn("doy", F.dayofyear("d")), ["entity"], "doy", "value")
-    return out.select("entity", "doy", "n", r(F.col("total") / F.col("n")).alias("mean"), "lowest", "highest")
+    return out.select("entity", "doy", "n", r("total", 2).alias("total"), "lowest", "highest")
 
 
 def _located(t, table, key, nation):
