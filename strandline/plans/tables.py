@@ -47,7 +47,7 @@ class Tables:
         li = self.raw("lineitem")
         return li.groupBy(F.col("l_returnflag").alias("entity"), F.to_date("l_shipdate").alias("d")).agg(
             F.sum("l_quantity").alias("qty"),
-            F.round(F.sum("l_extendedprice") / F.sum("l_quantity"), 6).alias("price"),
+            (F.sum("l_extendedprice") / F.sum("l_quantity")).alias("price"),
             F.round(F.avg("l_discount"), 6).alias("disc"),
             F.count(F.lit(1)).alias("n"),
         )
@@ -57,7 +57,7 @@ class Tables:
         li = self.raw("lineitem")
         return li.groupBy(F.to_date("l_shipdate").alias("d")).agg(
             F.sum("l_quantity").alias("qty"),
-            F.round(F.sum("l_extendedprice") / F.sum("l_quantity"), 6).alias("price"),
+            (F.sum("l_extendedprice") / F.sum("l_quantity")).alias("price"),
             F.round(F.avg("l_discount"), 6).alias("disc"),
             F.round(F.avg("l_tax"), 6).alias("tax"),
             F.count(F.lit(1)).alias("n"),
@@ -149,10 +149,10 @@ _SQL: dict[str, str] = {
     "monthly": """SELECT o_orderpriority AS entity, CAST(date_trunc('month', o_orderdate) AS DATE) AS d,
         round(sum(o_totalprice), 2) AS value FROM orders GROUP BY 1, 2""",
     "ship": """SELECT l_returnflag AS entity, CAST(l_shipdate AS DATE) AS d, sum(l_quantity) AS qty,
-        round(sum(l_extendedprice) / sum(l_quantity), 6) AS price, round(avg(l_discount), 6) AS disc,
+        sum(l_extendedprice) / sum(l_quantity) AS price, round(avg(l_discount), 6) AS disc,
         count(*) AS n FROM lineitem GROUP BY 1, 2""",
     "ship_all": """SELECT CAST(l_shipdate AS DATE) AS d, sum(l_quantity) AS qty,
-        round(sum(l_extendedprice) / sum(l_quantity), 6) AS price, round(avg(l_discount), 6) AS disc,
+        sum(l_extendedprice) / sum(l_quantity) AS price, round(avg(l_discount), 6) AS disc,
         round(avg(l_tax), 6) AS tax, count(*) AS n FROM lineitem GROUP BY 1""",
     "ticks": "SELECT event_type AS asset, ts, event_id, value AS price FROM events",
     "hourly": """SELECT event_type AS entity, CAST(floor(epoch(ts) / 3600) AS BIGINT) AS h,
