@@ -282,12 +282,12 @@ def e20(t):
 
 @query(
     "e21_cum_index",
-    """SELECT entity, d, round(sum(disc) OVER w, 6) AS total, round(exp(sum(ln(1 + disc / 100)) OVER w), 6) AS growth FROM ship WINDOW w AS (PARTITION BY entity ORDER BY d)""",
+    """SELECT entity, d, round(sum(disc) OVER w, 6) AS total, round(exp(sum(ln(1 + disc / 100)) OVER w), 9) AS growth FROM ship WINDOW w AS (PARTITION BY entity ORDER BY d)""",
     "ship",
 )
 def e21(t):
     x = W.cum_index(t.ship().withColumn("rate", F.col("disc") / 100), ["entity"], "d", "disc", out="total")
-    return W.cum_index(x, ["entity"], "d", "rate", True, "growth").select("entity", "d", r("total").alias("total"), r("growth").alias("growth"))
+    return W.cum_index(x, ["entity"], "d", "rate", True, "growth").select("entity", "d", r("total").alias("total"), r("growth", 9).alias("growth"))
 
 
 @query(
