@@ -207,7 +207,7 @@ def conformal_width(cal: DataFrame, fold: str, y: str, lo: str, hi: str, q: floa
     return quantile_columns(miss, [fold], "_e", {"widen": q})
 
 
-def binned_stat(df: DataFrame, x: str, y: str, bins: int, slices: int = 64) -> DataFrame:
+def binned_stat(df: DataFrame, x: str, y: str, bins: int, slices: int | None = None) -> DataFrame:
     """Mean of x and y in bins of equal count, ties in x split by a stable first-come rank.
 
     ``df`` must carry a unique ``_tie`` column; bins are right-closed edges of 1..n.

@@ -23,7 +23,7 @@ def vectors(long: DataFrame, t: Sequence[str], var: str, x: str, names: Sequence
     cells = long.where(F.col(x).isNotNull() & F.col(var).isin(list(names)))
     at = F.col(var)
     if list(names) != list(range(len(names))):
-        at = F.element_at(F.create_map(*[F.lit(v) for kv in order.items() for v in kv]), F.col(var))
+        at = F.try_element_at(F.create_map(*[F.lit(v) for kv in order.items() for v in kv]), F.col(var))
     packed = cells.groupBy(*t).agg(F.sort_array(F.collect_list(F.struct(at.alias("i"), F.col(x).cast("double").alias("v")))).alias("_c"))
     return packed.where(F.size("_c") == len(names)).select(*t, F.transform("_c", lambda c: c["v"]).alias("vec"))
 

@@ -14,7 +14,38 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SLICES = 64
+FANOUT = 64
+
+
+def default_slices(df: DataFrame) -> int:
+    """Slices per key follow the shuffle width the cluster is tuned for."""
+    return max(8, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")))
+
+
+def slice_values(df: DataFrame, keys: Sequence[str], x: str, name: str, slices: int, edges_apart: bool = False) -> DataFrame:
+    """Number value slices of each key in ascending order, at approximate quantiles.
+
+    Beyond 64 slices the cut is repeated inside the slices of the level above, so a row is
+    compared with 64 edges per level whatever the total.  With ``edges_apart`` an edge
+    value is a slice of its own (odd number), so a heavily tied value shares none.
+    """
+    keys = list(keys)
+    out, path, per_level = df.withColumn(name, F.lit(0).cast("long")), [], 1
+    while per_level ** max(len(path), 1) < slices or not path:
+        fan = min(FANOUT, slices) if not path else FANOUT
+        group = [*keys, name] if path else keys
+        edges = out.groupBy(*group).agg(F.percentile_approx(x, [i / fan for i in range(1, fan)], 1000).alias("_edges"))
+        out = out.join(edges, group) if group else out.crossJoin(F.broadcast(edges))  # a single row
+        below = F.size(F.filter("_edges", lambda e: e < F.col(x)))
+        if edges_apart:
+            upto = F.size(F.filter("_edges", lambda e: e <= F.col(x)))
+            step, width = below * 2 + F.when(upto > below, 1).otherwise(0), 2 * fan
+        else:
+            step, width = below, fan
+        out = out.withColumn(name, F.col(name) * width + step).drop("_edges")
+        path.append(name)
+        per_level = FANOUT
+    return out
 
 
 def _null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:
@@ -24,40 +55,35 @@ def _null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column
     return cond
 
 
-def value_ranks(df: DataFrame, keys: Sequence[str], x: str, slices: int = SLICES) -> DataFrame:
+def value_ranks(df: DataFrame, keys: Sequence[str], x: str, slices: int | None = None, sums: bool = False) -> DataFrame:
     """One row per (keys, value): ``n_eq`` copies, ``n_below`` smaller rows, ``n_all`` rows.
 
+    With ``sums`` also ``s_below`` and ``s_all``, the totals of the smaller and of all rows.
+
     Copies collapse before any ordering, so a value held by a third of the rows is one
     row.  Each key is then cut at approximate quantiles; the edges only decide which
     task orders which value, the counts stay exact.
     """
     keys = list(keys)
     counts = df.where(F.col(x).isNotNull()).groupBy(*keys, x).agg(F.count(F.lit(1)).alias("n_eq"))
-    shares = [i / slices for i in range(1, slices)]
-    edges = counts.groupBy(*keys).agg(
-        F.percentile_approx(x, shares, 1000).alias("_edges"),
-        F.sum("n_eq").alias("n_all"),
-    )
-    if keys:
-        sliced = counts.join(edges, keys)
-    else:
-        sliced = counts.crossJoin(F.broadcast(edges))  # a single row
-    sliced = sliced.withColumn("_slice", F.size(F.filter("_edges", lambda e: e < F.col(x)))).drop("_edges")
-    totals = sliced.groupBy(*keys, "_slice").agg(F.sum("n_eq").alias("_in_slice"))
-    by_key = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    sliced = slice_values(counts, keys, x, "_slice", slices or default_slices(df))
+    parts = {"n": F.col("n_eq")} | ({"s": F.col(x) * F.col("n_eq")} if sums else {})
+    totals = sliced.groupBy(*keys, "_slice").agg(*[F.sum(c).alias(f"_{p}") for p, c in parts.items()])
+    whole = Window.partitionBy(*keys)
+    by_key = whole.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(
-        *keys, "_slice", F.coalesce(F.sum("_in_slice").over(by_key), F.lit(0)).alias("_offset")
-    )
+        *keys, "_slice",
+        *[F.sum(f"_{p}").over(whole).alias(f"{p}_all") for p in parts],
+        *[F.coalesce(F.sum(f"_{p}").over(by_key), F.lit(0)).alias(f"_{p}_offset") for p in parts],
+    )
     inside = Window.partitionBy(*keys, "_slice").orderBy(x).rowsBetween(Window.unboundedPreceding, -1)
-    return (
-        sliced.join(offsets, [*keys, "_slice"])
-        .withColumn("n_below", F.col("_offset") + F.coalesce(F.sum("n_eq").over(inside), F.lit(0)))
-        .select(*keys, x, "n_eq", "n_below", "n_all")
-    )
+    out = sliced.join(offsets, [*keys, "_slice"])
+    below = [(F.col(f"_{p}_offset") + F.coalesce(F.sum(c).over(inside), F.lit(0))).alias(f"{p}_below") for p, c in parts.items()]
+    return out.select(*keys, x, "n_eq", *[f"{p}_all" for p in parts], *below)
 
 
 def exact_quantiles(
-    df: DataFrame, keys: Sequence[str], x: str, qs: Sequence[float], slices: int = SLICES
+    df: DataFrame, keys: Sequence[str], x: str, qs: Sequence[float], slices: int | None = None
 ) -> DataFrame:
     """Exact linear-interpolation quantiles, one row per (keys, q).
 
@@ -89,7 +115,7 @@ def exact_quantiles(
 
 
 def quantile_columns(
-    df: DataFrame, keys: Sequence[str], x: str, named: dict[str, float], slices: int = SLICES
+    df: DataFrame, keys: Sequence[str], x: str, named: dict[str, float], slices: int | None = None
 ) -> DataFrame:
     """Exact quantiles as columns, one row per key."""
     keys = list(keys)
@@ -99,7 +125,7 @@ def quantile_columns(
     )
 
 
-def average_rank(df: DataFrame, keys: Sequence[str], x: str, out: str = "rank", slices: int = SLICES) -> DataFrame:
+def average_rank(df: DataFrame, keys: Sequence[str], x: str, out: str = "rank", slices: int | None = None) -> DataFrame:
     """Add the 1-based rank of ``x`` inside each key, ties sharing the mean rank."""
     ranks = value_ranks(df, keys, x, slices).select(
         *keys, x, (F.col("n_below") + (F.col("n_eq") + 1) / 2).alias(out), F.col("n_all").alias(f"{out}_n")
@@ -108,7 +134,7 @@ def average_rank(df: DataFrame, keys: Sequence[str], x: str, out: str = "rank",
 
 
 def tail_mean(
-    df: DataFrame, keys: Sequence[str], x: str, size: Column, out: str, largest: bool = False, slices: int = SLICES
+    df: DataFrame, keys: Sequence[str], x: str, size: Column, out: str, largest: bool = False, slices: int | None = None
 ) -> DataFrame:
     """Mean of the ``size`` smallest (or largest) rows per key; ``size`` may use ``n_all``.
 
