@@ -180,19 +180,21 @@ def distance_to_mask(pixels: DataFrame, keys: Sequence[str], mask: Column, step:
     left = F.last(hit, ignorenulls=True).over(line.rowsBetween(Window.unboundedPreceding, 0))
     right = F.first(hit, ignorenulls=True).over(line.rowsBetween(0, Window.unboundedFollowing))
     rows = pixels.withColumn("_g", F.least(F.col("ix") - left, right - F.col("ix")).cast("double")).select(*keys, "iy", "ix", "_g")
+    packed = rows.groupBy(*keys, "ix").agg(F.collect_list("iy").alias("_y"), F.collect_list(F.coalesce("_g", F.lit(float("inf")))).alias("_d"))
     types = ", ".join(f"{k} {pixels.schema[k].dataType.simpleString()}" for k in keys)
 
-    def column(pdf: pd.DataFrame) -> pd.DataFrame:
-        y, g = pdf["iy"].to_numpy(dtype=float), pdf["_g"].to_numpy(dtype=float)
-        ok = np.isfinite(g)
-        if ok.any():
-            d2 = np.array([((v - y[ok]) ** 2 + g[ok] ** 2).min() for v in y])
-            res = np.sqrt(d2) * step
-        else:
-            res = np.full(len(y), none)
-        return pdf[[*keys, "iy", "ix"]].assign(**{out: res})
-
-    far = rows.groupBy(*keys, "ix").applyInPandas(column, f"{types}, iy int, ix int, {out} double")
+    def columns(batches):
+        for pdf in batches:
+            out_d = []
+            for y, g in zip(pdf["_y"], pdf["_d"]):
+                y, g = np.asarray(y, dtype=float), np.asarray(g, dtype=float)
+                seen = np.isfinite(g)
+                gap = np.subtract.outer(y, y[seen]) ** 2 + g[seen] ** 2
+                out_d.append(np.sqrt(gap.min(axis=1)) * step if seen.any() else np.full(len(y), none))
+            yield pdf[[*keys, "ix", "_y"]].assign(_d=out_d)
+
+    near = packed.mapInPandas(columns, f"{types}, ix int, _y array<int>, _d array<double>")
+    far = near.select(*keys, "ix", F.inline(F.arrays_zip("_y", "_d"))).select(*keys, "ix", F.col("_y").alias("iy"), F.col("_d").alias(out))
     return pixels.join(far, [*keys, "iy", "ix"])
 
 
