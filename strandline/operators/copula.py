@@ -119,4 +119,4 @@ def distance_decay(pairs: DataFrame, by: Sequence[str], d: str, r: str, lengths:
     gap = F.col(r) - F.exp(-F.pow(F.col(d) / F.col("L"), F.col("p")))
     sse = grid.groupBy(*by, "L", "p").agg(F.sum(gap * gap).alias("sse"), F.count(F.lit(1)).alias("n_pairs"))
     best = sse.groupBy(*by).agg(F.min(F.struct(F.round("sse", 9).alias("sse"), "L", "p", "n_pairs")).alias("_b"))
-    return best.select(*by, "_b.*")
+    return best.where("_b IS NOT NULL").select(*by, "_b.*")

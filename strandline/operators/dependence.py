@@ -459,7 +459,7 @@ def _product_table(df: DataFrame, names: Sequence[str], left, right, out: str, b
     cells = [(i, j) for i in range(len(names)) for j in range(i, len(names))]
     aggs = [F.sum(left(names[i]) * right(names[j])).alias(f"_{i}_{j}") for i, j in cells]
     rows = F.array(*[F.struct(F.lit(names[i]).alias("i"), F.lit(names[j]).alias("j"), F.col(f"_{i}_{j}").alias(out)) for i, j in cells])
-    return df.groupBy(*by).agg(*aggs).select(*by, F.inline(rows))
+    return df.groupBy(*by).agg(*aggs).select(*by, F.inline(rows)).where(F.col(out).isNotNull())
 
 
 def sampled_returns(wide: DataFrame, t: str, names: Sequence[str], step: int) -> DataFrame:
@@ -484,7 +484,7 @@ def lead_lag_adjusted(wide: DataFrame, t: str, names: Sequence[str], step: int =
     total = lambda a, b: F.sum(F.col(a) * F.col(b) + F.col(a) * past(b) + past(a) * F.col(b))
     agg = r.agg(*[total(names[i], names[j]).alias(f"_{i}_{j}") for i, j in cells])
     rows = F.array(*[F.struct(F.lit(names[i]).alias("i"), F.lit(names[j]).alias("j"), F.col(f"_{i}_{j}").alias("cov")) for i, j in cells])
-    return agg.select(F.inline(rows))
+    return agg.select(F.inline(rows)).where("cov IS NOT NULL")
 
 
 def block_averaged_cov(wide: DataFrame, t: str, names: Sequence[str], window: int) -> DataFrame:

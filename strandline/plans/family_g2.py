@@ -94,7 +94,7 @@ def g27(t):
 @query(
     "g28_term_structure",
     f"""WITH {_CHAIN}, {_FWD} SELECT expiry, round(any_value(discount), 5) AS discount, round(any_value(forward), 3) AS forward,
-    round(arg_min(CASE WHEN call_iv > 0 AND put_iv > 0 THEN (call_iv + put_iv) / 2 WHEN call_iv > 0 THEN call_iv WHEN put_iv > 0 THEN put_iv END, (abs(strike - forward), strike)), 6) AS atm_vol,
+    round(arg_min_null(CASE WHEN call_iv > 0 AND put_iv > 0 THEN (call_iv + put_iv) / 2 WHEN call_iv > 0 THEN call_iv WHEN put_iv > 0 THEN put_iv END, (abs(strike - forward), strike)), 6) AS atm_vol,
     min(dte) AS dte, count(*) AS n_strikes, round(min(dte) / 365, 6) AS years FROM ch JOIN fw USING (expiry) GROUP BY 1 HAVING count(*) >= 5""",
 )
 def g28(t):

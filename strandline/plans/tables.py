@@ -63,9 +63,9 @@ class Tables:
             F.count(F.lit(1)).alias("n"),
         )
 
-    # irregular ticks, one clock per event type
+    # irregular ticks, one clock per event type; a price of zero is a bad print
     def ticks(self) -> DataFrame:
-        e = self.raw("events")
+        e = self.raw("events").where("value > 0")
         return e.select(F.col("event_type").alias("asset"), "ts", "event_id", F.col("value").alias("price"))
 
     # hourly panel per event type
@@ -103,7 +103,7 @@ class Tables:
 
     def site_year(self) -> DataFrame:
         return self._site_orders().groupBy("site", F.year("d").alias("year")).agg(
-            F.round(F.avg("o_totalprice"), 4).alias("value"), F.count(F.lit(1)).alias("n")
+            F.avg("o_totalprice").alias("value"), F.count(F.lit(1)).alias("n")
         )
 
     # forecast table: the line number (1 to 7) is the lead
@@ -154,7 +154,7 @@ _SQL: dict[str, str] = {
     "ship_all": """SELECT CAST(l_shipdate AS DATE) AS d, sum(l_quantity) AS qty,
         sum(l_extendedprice) / sum(l_quantity) AS price, round(avg(l_discount), 6) AS disc,
         round(avg(l_tax), 6) AS tax, count(*) AS n FROM lineitem GROUP BY 1""",
-    "ticks": "SELECT event_type AS asset, ts, event_id, value AS price FROM events",
+    "ticks": "SELECT event_type AS asset, ts, event_id, value AS price FROM events WHERE value > 0",
     "hourly": """SELECT event_type AS entity, CAST(floor(epoch(ts) / 3600) AS BIGINT) AS h,
         round(sum(value), 4) AS value, count(*) AS n FROM events GROUP BY 1, 2""",
     "sites": """SELECT n_nationkey AS site, n_regionkey AS region,
@@ -165,7 +165,7 @@ _SQL: dict[str, str] = {
     "site_month": """SELECT site, CAST(date_trunc('month', d) AS DATE) AS d, round(sum(o_totalprice), 2) AS value
         FROM site_orders GROUP BY 1, 2""",
     "site_day": "SELECT site, d, round(sum(o_totalprice), 2) AS value FROM site_orders GROUP BY 1, 2",
-    "site_year": """SELECT site, CAST(year(d) AS INTEGER) AS year, round(avg(o_totalprice), 4) AS value,
+    "site_year": """SELECT site, CAST(year(d) AS INTEGER) AS year, avg(o_totalprice) AS value,
         count(*) AS n FROM site_orders GROUP BY 1, 2""",
     "leads": """SELECT l_returnflag AS site, CAST(l_shipdate AS DATE) AS target, l_linenumber AS lead,
         round(avg(l_quantity), 6) AS value FROM lineitem GROUP BY 1, 2, 3""",

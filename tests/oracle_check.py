@@ -6,11 +6,14 @@ import math
 import os
 import sys
 import time
+import warnings
 
 import duckdb
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
+warnings.filterwarnings("ignore")
+
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
 ).split()
