@@ -94,7 +94,8 @@ def interpolate(df: DataFrame, keys: Sequence[str], pos: str, x: str, hold_end:
     w = C.by_time(keys, pos)
     known = F.when(F.col(x).isNotNull(), F.struct(F.col(pos).alias("p"), F.col(x).alias("v")))
     a = F.last(known, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    b = F.first(known, ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
+    back = Window.partitionBy(*keys).orderBy(F.desc(pos))
+    b = F.last(known, ignorenulls=True).over(back.rowsBetween(Window.unboundedPreceding, 0))
     both = df.withColumn("_a", a).withColumn("_b", b)
     slope = F.try_divide(F.col("_b.v") - F.col("_a.v"), (F.col("_b.p") - F.col("_a.p")).cast("double"))
     filled = F.col("_a.v") + slope * (F.col(pos) - F.col("_a.p"))

@@ -19,8 +19,7 @@ from strandline.functions import columns as C
 from strandline.functions import linalg as L
 from strandline.functions.normal import normal_quantile
 from strandline.operators import gram as G
-from strandline.operators.joins import asof_last, asof_next
-from strandline.operators.ordering import default_slices, quantile_columns, slice_values, value_ranks
+from strandline.operators.ordering import default_slices, quantile_columns, slice_values, sliced_lag, value_ranks
 from strandline.operators.windows import autocorr, effective_n_pair
 
 
@@ -503,22 +502,43 @@ def epps_curve(wide: DataFrame, t: str, a: str, b: str, steps: Sequence[int]) ->
     return r.groupBy("step").agg(F.coalesce(F.try_divide(s(a, b), F.sqrt(s(a, a) * s(b, b))), F.lit(0.0)).alias("r"))
 
 
-def hayashi_yoshida(intervals: DataFrame, ticks: DataFrame, asset: str, sec: str, price: str, assets: Sequence[str], width: float) -> DataFrame:
+def hayashi_yoshida(ticks: DataFrame, asset: str, sec: str, price: str, assets: Sequence[str], width: float) -> DataFrame:
     """Covariance from irregular ticks: return products over overlapping intervals, all asset pairs.
 
     The returns of another asset that overlap one interval add up to its log price at the
-    first tick at or after the end minus that at the last tick at or before the start.
-    Two as-of lookups replace the overlap join, so no pair of intervals is formed.
+    first tick at or after the end minus that at the last tick at or before the start.  Each
+    tick looks up those prices of every asset in its time slice of ``width`` seconds; what
+    crosses a slice comes from a table with one row per slice.  No pair of intervals is formed.
     """
-    known = ticks.select(F.col(asset).alias("other"), F.col(sec).alias("sec"), F.log(price).alias("lp"))
-    ends = known.groupBy("other").agg(F.min_by("lp", "sec").alias("_first"), F.max_by("lp", "sec").alias("_last"))
-    asked = intervals.select(F.col(asset).alias("asset"), "start", "end", "ret", F.explode(F.array(*[F.lit(a) for a in assets])).alias("other")).where("asset <= other")
-    cut = F.floor(F.col("sec") / width)
-    before = asof_last(asked.withColumn("sec", F.col("start")), known, ["other"], "sec", ["lp"], cut).withColumnRenamed("lp", "_from")
-    after = asof_next(before.withColumn("sec", F.col("end")), known, ["other"], "sec", ["lp"], cut).withColumnRenamed("lp", "_to")
-    move = F.coalesce("_to", "_last") - F.coalesce("_from", "_first")
-    contribution = F.when(F.col("asset") == F.col("other"), F.col("ret") * F.col("ret")).otherwise(F.col("ret") * move)
-    return after.join(ends, "other").groupBy(F.col("asset").alias("i"), F.col("other").alias("j")).agg(F.sum(contribution).alias("cov"))
+    t = ticks.select(F.col(asset).alias("asset"), F.col(sec).alias("sec"), F.log(price).alias("lp"), F.floor(F.col(sec) / width).alias("_slice"))
+    of = lambda a: F.when(F.col("asset") == a, F.struct(F.col("lp").alias("v")))
+    ends = t.groupBy("_slice").agg(
+        *[F.max_by(of(a), F.when(F.col("asset") == a, F.col("sec"))).alias(f"_l{k}") for k, a in enumerate(assets)],
+        *[F.min_by(of(a), F.when(F.col("asset") == a, F.col("sec"))).alias(f"_f{k}") for k, a in enumerate(assets)],
+    )
+    # looking ahead runs backwards with a growing frame: a frame to the end is quadratic
+    before = Window.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)  # one row per slice
+    after = Window.orderBy(F.desc("_slice")).rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy().orderBy("_slice").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    carried = ends.select(
+        "_slice",
+        *[F.last(f"_l{k}", ignorenulls=True).over(before).alias(f"_before{k}") for k in range(len(assets))],
+        *[F.last(f"_f{k}", ignorenulls=True).over(after).alias(f"_after{k}") for k in range(len(assets))],
+        *[F.first(f"_f{k}", ignorenulls=True).over(whole).alias(f"_open{k}") for k in range(len(assets))],
+        *[F.last(f"_l{k}", ignorenulls=True).over(whole).alias(f"_close{k}") for k in range(len(assets))],
+    )
+    upto = Window.partitionBy("_slice").orderBy("sec").rangeBetween(Window.unboundedPreceding, 0)
+    on = Window.partitionBy("_slice").orderBy(F.desc("sec")).rangeBetween(Window.unboundedPreceding, 0)
+    known = t.join(carried, "_slice")
+    last = [F.coalesce(F.last(of(a), ignorenulls=True).over(upto), F.col(f"_before{k}"), F.col(f"_open{k}"))["v"] for k, a in enumerate(assets)]
+    nxt = [F.coalesce(F.last(of(a), ignorenulls=True).over(on), F.col(f"_after{k}"), F.col(f"_close{k}"))["v"] for k, a in enumerate(assets)]
+    seen = known.select("asset", "sec", "lp", "_slice", F.array(*last).alias("_last"), F.array(*nxt).alias("_next"))
+    gone = sliced_lag(seen, ["asset"], ["sec"], {"_lp0": "lp", "_from": "_last"}, F.col("_slice")).where("_lp0 IS NOT NULL")
+    rows = gone.select("asset", (F.col("lp") - F.col("_lp0")).alias("ret"), F.posexplode(F.zip_with("_next", "_from", lambda a, b: a - b)).alias("_k", "move"))
+    other = F.get(F.array(*[F.lit(a) for a in assets]), F.col("_k"))
+    rows = rows.withColumn("other", other).where("asset <= other")
+    contribution = F.when(F.col("asset") == F.col("other"), F.col("ret") * F.col("ret")).otherwise(F.col("ret") * F.col("move"))
+    return rows.groupBy(F.col("asset").alias("i"), F.col("other").alias("j")).agg(F.sum(contribution).alias("cov"))
 
 
 # ---- sensor stacking ------------------------------------------------------------------------

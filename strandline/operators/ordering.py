@@ -215,11 +215,12 @@ def carry_last(
             Window.partitionBy(*keys, "_slice").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
         )
     else:
-        outside = F.first("_end", ignorenulls=True).over(
-            Window.partitionBy(*keys).orderBy("_slice").rowsBetween(1, Window.unboundedFollowing)
+        # backwards with a growing frame: a frame to the end of the partition is quadratic
+        outside = F.last("_end", ignorenulls=True).over(
+            Window.partitionBy(*keys).orderBy(F.desc("_slice")).rowsBetween(Window.unboundedPreceding, -1)
         )
-        inside = F.first("_known", ignorenulls=True).over(
-            Window.partitionBy(*keys, "_slice").orderBy(*order).rowsBetween(0, Window.unboundedFollowing)
+        inside = F.last("_known", ignorenulls=True).over(
+            Window.partitionBy(*keys, "_slice").orderBy(*[F.desc(o) for o in order]).rowsBetween(Window.unboundedPreceding, 0)
         )
     carried = slices.select(*keys, "_slice", outside.alias("_outside"))
     return (

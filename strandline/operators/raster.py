@@ -178,7 +178,8 @@ def distance_to_mask(pixels: DataFrame, keys: Sequence[str], mask: Column, step:
     line = Window.partitionBy(*keys, "iy").orderBy("ix")
     hit = F.when(mask, F.col("ix"))
     left = F.last(hit, ignorenulls=True).over(line.rowsBetween(Window.unboundedPreceding, 0))
-    right = F.first(hit, ignorenulls=True).over(line.rowsBetween(0, Window.unboundedFollowing))
+    back = Window.partitionBy(*keys, "iy").orderBy(F.desc("ix"))
+    right = F.last(hit, ignorenulls=True).over(back.rowsBetween(Window.unboundedPreceding, 0))
     rows = pixels.withColumn("_g", F.least(F.col("ix") - left, right - F.col("ix")).cast("double")).select(*keys, "iy", "ix", "_g")
     packed = rows.groupBy(*keys, "ix").agg(F.collect_list("iy").alias("_y"), F.collect_list(F.coalesce("_g", F.lit(float("inf")))).alias("_d"))
     types = ", ".join(f"{k} {pixels.schema[k].dataType.simpleString()}" for k in keys)

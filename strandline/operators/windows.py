@@ -118,9 +118,10 @@ def event_paths(price: DataFrame, events: DataFrame, keys: Sequence[str], d: str
     tagged = cal.select(*keys, d, F.lit(1).alias("_side"), "_i", "_n").unionByName(
         events.select(*keys, d, F.lit(0).alias("_side")), allowMissingColumns=True
     )
-    ahead = Window.partitionBy(*keys).orderBy(d, "_side").rowsBetween(0, Window.unboundedFollowing)
+    # backwards with a growing frame: a frame to the end of the partition is quadratic
+    ahead = Window.partitionBy(*keys).orderBy(F.desc(d), F.desc("_side")).rowsBetween(Window.unboundedPreceding, 0)
     placed = (
-        tagged.withColumn("_at", F.first("_i", ignorenulls=True).over(ahead)).withColumn("_len", F.first("_n", ignorenulls=True).over(ahead))
+        tagged.withColumn("_at", F.last("_i", ignorenulls=True).over(ahead)).withColumn("_len", F.last("_n", ignorenulls=True).over(ahead))
         .where("_side = 0").select(*keys, F.col(d).alias("event"), "_at", "_len")
         .where((F.col("_at") - window > 1) & (F.col("_at") + window <= F.col("_len")))
     )

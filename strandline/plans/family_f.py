@@ -8,7 +8,7 @@ from strandline.operators import gram as G
 from strandline.operators.aggregate import zscore_by
 from strandline.operators.joins import align, lookup_weights  # noqa: F401
 from strandline.operators.windows import sta_lta_pick
-from strandline.plans.family_c import INTERVALS_SQL, PRIORITIES, WIDE_SQL, aligned_daily, tick_intervals
+from strandline.plans.family_c import INTERVALS_SQL, PRIORITIES, WIDE_SQL, aligned_daily
 from strandline.plans.registry import query
 
 VARS = list(range(64))
@@ -285,7 +285,7 @@ def f18e(t):
 )
 def f19(t):
     ticks = t.ticks().withColumn("sec", F.unix_micros(F.col("ts").cast("timestamp")) / 1e6)
-    return D.hayashi_yoshida(tick_intervals(t), ticks, "asset", "sec", "price", TYPES, 86400.0).withColumn("cov", r("cov", 4))
+    return D.hayashi_yoshida(ticks, "asset", "sec", "price", TYPES, 86400.0).withColumn("cov", r("cov", 4))
 
 
 @query("f26_corr_with_reference", "SELECT a.var, round(corr(a.value, b.value), 6) AS r FROM variables a JOIN variables b ON a.t = b.t AND b.var = 5 GROUP BY 1", "variables")

@@ -48,7 +48,7 @@ class Tables:
         return li.groupBy(F.col("l_returnflag").alias("entity"), F.to_date("l_shipdate").alias("d")).agg(
             F.sum("l_quantity").alias("qty"),
             (F.sum("l_extendedprice") / F.sum("l_quantity")).alias("price"),
-            F.round(F.avg("l_discount"), 6).alias("disc"),
+            (F.round(F.sum("l_discount"), 2) / F.count(F.lit(1))).alias("disc"),
             F.count(F.lit(1)).alias("n"),
         )
 
@@ -58,8 +58,8 @@ class Tables:
         return li.groupBy(F.to_date("l_shipdate").alias("d")).agg(
             F.sum("l_quantity").alias("qty"),
             (F.sum("l_extendedprice") / F.sum("l_quantity")).alias("price"),
-            F.round(F.avg("l_discount"), 6).alias("disc"),
-            F.round(F.avg("l_tax"), 6).alias("tax"),
+            (F.round(F.sum("l_discount"), 2) / F.count(F.lit(1))).alias("disc"),
+            (F.round(F.sum("l_tax"), 2) / F.count(F.lit(1))).alias("tax"),
             F.count(F.lit(1)).alias("n"),
         )
 
@@ -149,11 +149,11 @@ _SQL: dict[str, str] = {
     "monthly": """SELECT o_orderpriority AS entity, CAST(date_trunc('month', o_orderdate) AS DATE) AS d,
         round(sum(o_totalprice), 2) AS value FROM orders GROUP BY 1, 2""",
     "ship": """SELECT l_returnflag AS entity, CAST(l_shipdate AS DATE) AS d, sum(l_quantity) AS qty,
-        sum(l_extendedprice) / sum(l_quantity) AS price, round(avg(l_discount), 6) AS disc,
+        sum(l_extendedprice) / sum(l_quantity) AS price, round(sum(l_discount), 2) / count(*) AS disc,
         count(*) AS n FROM lineitem GROUP BY 1, 2""",
     "ship_all": """SELECT CAST(l_shipdate AS DATE) AS d, sum(l_quantity) AS qty,
-        sum(l_extendedprice) / sum(l_quantity) AS price, round(avg(l_discount), 6) AS disc,
-        round(avg(l_tax), 6) AS tax, count(*) AS n FROM lineitem GROUP BY 1""",
+        sum(l_extendedprice) / sum(l_quantity) AS price, round(sum(l_discount), 2) / count(*) AS disc,
+        round(sum(l_tax), 2) / count(*) AS tax, count(*) AS n FROM lineitem GROUP BY 1""",
     "ticks": "SELECT event_type AS asset, ts, event_id, value AS price FROM events WHERE value > 0",
     "hourly": """SELECT event_type AS entity, CAST(floor(epoch(ts) / 3600) AS BIGINT) AS h,
         round(sum(value), 4) AS value, count(*) AS n FROM events GROUP BY 1, 2""",
