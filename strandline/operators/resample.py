@@ -35,27 +35,27 @@ def _draws(pos: DataFrame, keys: Sequence[str], draws: int) -> DataFrame:
 
 
 def block_resample(df: DataFrame, keys: Sequence[str], t: str, draws: int, block: int, seed: int = 0) -> DataFrame:
-    """Rows resampled in contiguous blocks: adds ``draw`` and ``k`` (place in the draw)."""
+    """Rows resampled in contiguous blocks: adds ``draw`` and ``slot`` (place in the draw)."""
     keys = list(keys)
     pos = _numbered(df, keys, t)
     plan = _draws(pos, keys, draws).withColumn("_b", F.explode(F.sequence(F.lit(0), F.floor((F.col("_len") - 1) / block))))
     start = hash_int(F.greatest(F.col("_len") - block + 1, F.lit(1)), seed, F.col("draw"), F.col("_b"))
     plan = plan.withColumn("_start", start).withColumn("_o", F.explode(F.sequence(F.lit(0), F.lit(block - 1))))
-    plan = plan.withColumn("k", F.col("_b") * block + F.col("_o")).where(F.col("k") < F.col("_len"))
-    return plan.select(*keys, "draw", "k", (F.col("_start") + F.col("_o")).alias("_src")).join(pos.drop("_len"), [*keys, "_src"]).drop("_src")
+    plan = plan.withColumn("slot", F.col("_b") * block + F.col("_o")).where(F.col("slot") < F.col("_len"))
+    return plan.select(*keys, "draw", "slot", (F.col("_start") + F.col("_o")).alias("_src")).join(pos.drop("_len"), [*keys, "_src"]).drop("_src")
 
 
 def stationary_resample(df: DataFrame, keys: Sequence[str], t: str, draws: int, mean_block: float, seed: int = 0) -> DataFrame:
     """Blocks of geometric length that wrap round the end of the series."""
     keys = list(keys)
     pos = _numbered(df, keys, t)
-    plan = _draws(pos, keys, draws).withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_len") - 1)))
-    fresh = (F.col("k") == 0) | (hash_uniform(seed, F.col("draw"), F.col("k"), F.lit("new")) < 1.0 / mean_block)
-    start = F.when(fresh, F.struct(F.col("k").alias("k0"), hash_int(F.col("_len"), seed, F.col("draw"), F.col("k"), F.lit("at")).alias("s")))
-    w = Window.partitionBy(*keys, "draw").orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
+    plan = _draws(pos, keys, draws).withColumn("slot", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_len") - 1)))
+    fresh = (F.col("slot") == 0) | (hash_uniform(seed, F.col("draw"), F.col("slot"), F.lit("new")) < 1.0 / mean_block)
+    start = F.when(fresh, F.struct(F.col("slot").alias("k0"), hash_int(F.col("_len"), seed, F.col("draw"), F.col("slot"), F.lit("at")).alias("s")))
+    w = Window.partitionBy(*keys, "draw").orderBy("slot").rowsBetween(Window.unboundedPreceding, 0)
     plan = plan.withColumn("_st", F.last(start, ignorenulls=True).over(w))
-    src = F.pmod(F.col("_st.s") + F.col("k") - F.col("_st.k0"), F.col("_len"))
-    return plan.select(*keys, "draw", "k", src.alias("_src")).join(pos.drop("_len"), [*keys, "_src"]).drop("_src")
+    src = F.pmod(F.col("_st.s") + F.col("slot") - F.col("_st.k0"), F.col("_len"))
+    return plan.select(*keys, "draw", "slot", src.alias("_src")).join(pos.drop("_len"), [*keys, "_src"]).drop("_src")
 
 
 def block_ci(df: DataFrame, keys: Sequence[str], t: str, x: str, flag: Column, draws: int, mean_block: float = 6, seed: int = 0) -> DataFrame:
@@ -74,9 +74,9 @@ def permutation_p(df: DataFrame, t: str, x: str, flag: Column, draws: int, block
     Flags stay in place and values move in blocks, so their own rhythm survives.
     """
     base = df.withColumn("_f", flag)
-    moved = block_resample(base, [], t, draws, block, seed).select("draw", "k", F.col(x).alias("_moved"))
-    flags = _numbered(base, [], t).where("_f").select(F.col("_src").cast("long").alias("k"))
-    null = moved.join(flags, "k").groupBy("draw").agg(F.avg("_moved").alias("_null"))
+    moved = block_resample(base, [], t, draws, block, seed).select("draw", "slot", F.col(x).alias("_moved"))
+    flags = _numbered(base, [], t).where("_f").select(F.col("_src").cast("long").alias("slot"))
+    null = moved.join(flags, "slot").groupBy("draw").agg(F.avg("_moved").alias("_null"))
     seen = base.agg(F.avg(F.when(F.col("_f"), F.col(x))).alias("observed"))
     both = null.crossJoin(F.broadcast(seen))  # a single row
     return both.groupBy("observed").agg(F.avg(F.when(F.col("_null") >= F.col("observed"), 1.0).otherwise(0.0)).alias("p_value"), F.avg("_null").alias("null_mean"), F.count(F.lit(1)).alias("draws"))
