@@ -32,7 +32,7 @@ def slice_values(df: DataFrame, keys: Sequence[str], x: str, name: str, slices:
     keys = list(keys)
     out, path, per_level = df.withColumn(name, F.lit(0).cast("long")), [], 1
     while per_level ** max(len(path), 1) < slices or not path:
-        fan = max(2, min(FANOUT, slices)) if not path else FANOUT
+        fan = max(4, min(FANOUT, slices)) if not path else FANOUT
         group = [*keys, name] if path else keys
         edges = out.groupBy(*group).agg(F.percentile_approx(x, [i / fan for i in range(1, fan)], 1000).alias("_edges"))
         out = out.join(edges, group) if group else out.crossJoin(F.broadcast(edges))  # a single row

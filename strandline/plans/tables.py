@@ -8,10 +8,27 @@ from __future__ import annotations
 
 import re
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def _panel(build):
+    """Keep a derived panel for the session, so that a query reading it in several branches scans
+    the raw table once.
+
+    Only for panels whose size is set by the calendar and the number of series; they may
+    spill to disk, and a lost block is recomputed from the raw table.
+    """
+
+    def method(self) -> DataFrame:
+        df = build(self)
+        return df if df.storageLevel.useMemory else df.persist(StorageLevel.MEMORY_AND_DISK)
+
+    method.__name__ = build.__name__
+    return method
+
+
 class Tables:
     """Lazy access to the given tables and to the panels derived from them."""
 
@@ -23,12 +40,14 @@ class Tables:
         return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
 
     # one series per order priority and day
+    @_panel
     def daily(self) -> DataFrame:
         o = self.raw("orders")
         return o.groupBy(F.col("o_orderpriority").alias("entity"), F.to_date("o_orderdate").alias("d")).agg(
             F.round(F.sum("o_totalprice"), 2).alias("value")
         )
 
+    @_panel
     def weekly(self) -> DataFrame:
         o = self.raw("orders")
         week = F.date_sub(F.to_date("o_orderdate"), F.weekday(F.to_date("o_orderdate")))
@@ -36,6 +55,7 @@ class Tables:
             F.round(F.sum("o_totalprice"), 2).alias("value")
         )
 
+    @_panel
     def monthly(self) -> DataFrame:
         o = self.raw("orders")
         return o.groupBy(
@@ -43,6 +63,7 @@ class Tables:
         ).agg(F.round(F.sum("o_totalprice"), 2).alias("value"))
 
     # one series per return flag and shipping day: quantity, unit price, discount
+    @_panel
     def ship(self) -> DataFrame:
         li = self.raw("lineitem")
         return li.groupBy(F.col("l_returnflag").alias("entity"), F.to_date("l_shipdate").alias("d")).agg(
@@ -53,6 +74,7 @@ class Tables:
         )
 
     # all days together: one row per day
+    @_panel
     def ship_all(self) -> DataFrame:
         li = self.raw("lineitem")
         return li.groupBy(F.to_date("l_shipdate").alias("d")).agg(
@@ -69,6 +91,7 @@ class Tables:
         return e.select(F.col("event_type").alias("asset"), "ts", "event_id", F.col("value").alias("price"))
 
     # hourly panel per event type
+    @_panel
     def hourly(self) -> DataFrame:
         e = self.raw("events")
         hour = (F.floor(F.unix_seconds(F.col("ts").cast("timestamp")) / 3600)).alias("h")
@@ -93,20 +116,24 @@ class Tables:
             F.col("c_nationkey").alias("site"), F.to_date("o_orderdate").alias("d"), "o_totalprice"
         )
 
+    @_panel
     def site_month(self) -> DataFrame:
         return self._site_orders().groupBy("site", F.trunc("d", "MM").alias("d")).agg(
             F.round(F.sum("o_totalprice"), 2).alias("value")
         )
 
+    @_panel
     def site_day(self) -> DataFrame:
         return self._site_orders().groupBy("site", "d").agg(F.round(F.sum("o_totalprice"), 2).alias("value"))
 
+    @_panel
     def site_year(self) -> DataFrame:
         return self._site_orders().groupBy("site", F.year("d").alias("year")).agg(
             F.avg("o_totalprice").alias("value"), F.count(F.lit(1)).alias("n")
         )
 
     # forecast table: the line number (1 to 7) is the lead
+    @_panel
     def leads(self) -> DataFrame:
         li = self.raw("lineitem")
         return li.groupBy(

@@ -18,7 +18,9 @@ def quiet_gap_events(df: DataFrame, keys: Sequence[str], ts: str, x: str, thresh
 
     A session ends when no high row arrives for ``quiet``; state is one open session per key.
     """
-    high = df.withWatermark(ts, late).where(F.col(x) >= threshold)  # quiet rows move the clock too
+    # quiet rows must move the clock too: a filter that reads the time stays above the watermark
+    high_at = F.when(F.col(x) >= threshold, F.col(ts))
+    high = df.withWatermark(ts, late).where(high_at.isNotNull())
     return high.groupBy(*keys, F.session_window(ts, quiet).alias("_w")).agg(F.min(ts).alias("event"), F.max(ts).alias("last"), F.count(F.lit(1)).alias("n")).select(*keys, "event", "last", "n")
 
 
