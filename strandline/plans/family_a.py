@@ -66,7 +66,7 @@ def a4(t):
     price = F.regexp_replace(F.format_string("%.2f", "l_extendedprice"), r"\.", ",")
     line = F.concat(F.concat_ws(";", F.year(d).cast("string"), F.month(d).cast("string"), F.dayofmonth(d).cast("string"), period.cast("string"), F.lit("0"), price), F.lit(";"))
     lines = t.raw("lineitem").select(line.alias("value"))
-    marks = t.raw("region").select(F.explode(F.array(F.lit("MARGINALPDBC;"), F.lit("*"))).alias("value"))
+    marks = t.raw("region").select(F.explode(F.array(F.lit("HEADER;"), F.lit("*"))).alias("value"))
     path = _text(lines.unionByName(marks), t, "market")
     return S.read_market_files(t.spark, path).withColumn("price", r("price"))
 

@@ -6,6 +6,7 @@ from strandline.functions import columns as C
 from strandline.operators import joins as J
 from strandline.operators.ordering import sliced_lag
 from strandline.plans.registry import query
+from strandline.plans.tables import keep
 
 
 def r(c, n=6):
@@ -18,7 +19,7 @@ WIDE_SQL = ", ".join(f"max(value) FILTER (WHERE entity = '{p}') AS {n}" for n, p
 
 def aligned_daily(t):
     d = t.daily()
-    return J.align({n: (d.where(F.col("entity") == p), "d", "value") for n, p in PRIORITIES.items()}, "d")
+    return keep(J.align({n: (d.where(F.col("entity") == p), "d", "value") for n, p in PRIORITIES.items()}, "d"))
 
 
 @query(

@@ -10,6 +10,7 @@ from strandline.operators.joins import align, lookup_weights  # noqa: F401
 from strandline.operators.windows import sta_lta_pick
 from strandline.plans.family_c import INTERVALS_SQL, PRIORITIES, WIDE_SQL, aligned_daily
 from strandline.plans.registry import query
+from strandline.plans.tables import keep
 
 VARS = list(range(64))
 NAMES = list(PRIORITIES)
@@ -51,7 +52,7 @@ _PAIR_SQL = "p AS (" + " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, d, {a
 
 def _pair_rows(t):
     rows = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(a).alias("x"), F.col(b).alias("y")) for a, b in _PAIRS])
-    return aligned_daily(t).select("d", F.inline(rows))
+    return keep(aligned_daily(t).select("d", F.inline(rows)))  # days times pairs of series
 
 
 @query(

@@ -13,17 +13,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def _panel(build):
+def keep(df: DataFrame) -> DataFrame:
     """Keep a derived panel for the session, so that a query reading it in several branches scans
     the raw table once.
 
     Only for panels whose size is set by the calendar and the number of series; they may
     spill to disk, and a lost block is recomputed from the raw table.
     """
+    return df if df.storageLevel.useMemory else df.persist(StorageLevel.MEMORY_AND_DISK)
+
 
+def _panel(build):
     def method(self) -> DataFrame:
-        df = build(self)
-        return df if df.storageLevel.useMemory else df.persist(StorageLevel.MEMORY_AND_DISK)
+        return keep(build(self))
 
     method.__name__ = build.__name__
     return method
