@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.llm import quality_rules, sharding
+from strandline.llm import language_id, quality_rules, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -61,3 +61,8 @@ _LINE = r"translate(trim(regexp_replace(line, '[\x20\x09-\x0D]+', ' ', 'g'), ' '
 )
 def op2_quality_rules(spark, sf_dir):
     return quality_rules.quality_rules(_table(spark, sf_dir, "documents"))
+
+
+@query("op3_language_id")
+def op3_language_id(spark, sf_dir):
+    return language_id.identify(_table(spark, sf_dir, "documents"))
