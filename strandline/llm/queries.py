@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.llm import language_id, quality_rules, sharding
+from strandline.llm import extraction, language_id, quality_rules, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -66,3 +66,8 @@ def op2_quality_rules(spark, sf_dir):
 @query("op3_language_id")
 def op3_language_id(spark, sf_dir):
     return language_id.identify(_table(spark, sf_dir, "documents"))
+
+
+@query("op8_html_extraction")
+def op8_html_extraction(spark, sf_dir):
+    return extraction.extract(_table(spark, sf_dir, "pages"))
