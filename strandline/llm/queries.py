@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.llm import extraction, language_id, quality_rules, sharding
+from strandline.llm import extraction, language_id, quality_classifier, quality_rules, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -71,3 +71,8 @@ def op3_language_id(spark, sf_dir):
 @query("op8_html_extraction")
 def op8_html_extraction(spark, sf_dir):
     return extraction.extract(_table(spark, sf_dir, "pages"))
+
+
+@query("op7_quality_classifier")
+def op7_quality_classifier(spark, sf_dir):
+    return quality_classifier.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
