@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.llm import extraction, language_id, quality_classifier, quality_rules, sharding, toxicity
+from strandline.llm import decontamination, extraction, language_id, quality_classifier, quality_rules, sharding, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -81,3 +81,9 @@ def op7_quality_classifier(spark, sf_dir):
 @query("op4_toxicity")
 def op4_toxicity(spark, sf_dir):
     return toxicity.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+@query("op5_decontamination")
+def op5_decontamination(spark, sf_dir):
+    found = decontamination.find_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", F.explode("leaks").alias("leak")).select("doc_id", "leak.*")
