@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.llm import decontamination, extraction, language_id, quality_classifier, quality_rules, sharding, toxicity
+from strandline.llm import decontamination, extraction, language_id, quality_classifier, quality_rules, sharding, subwords, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -87,3 +87,8 @@ def op4_toxicity(spark, sf_dir):
 def op5_decontamination(spark, sf_dir):
     found = decontamination.find_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", F.explode("leaks").alias("leak")).select("doc_id", "leak.*")
+
+
+@query("op9_sentencepiece")
+def op9_sentencepiece(spark, sf_dir):
+    return subwords.encode(_table(spark, sf_dir, "documents"), with_ids=False)
