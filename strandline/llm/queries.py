@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.llm import decontamination, extraction, language_id, quality_classifier, quality_rules, sharding, subwords, toxicity
+from strandline.llm import decontamination, extraction, language_id, quality_classifier, quality_rules, sharding, substrings, subwords, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -92,3 +92,8 @@ def op5_decontamination(spark, sf_dir):
 @query("op9_sentencepiece")
 def op9_sentencepiece(spark, sf_dir):
     return subwords.encode(_table(spark, sf_dir, "documents"), with_ids=False)
+
+
+@query("op10_substring_dedup")
+def op10_substring_dedup(spark, sf_dir):
+    return substrings.remove_repeats(_table(spark, sf_dir, "documents"), with_text=False)
