@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.llm import decontamination, extraction, language_id, quality_classifier, quality_rules, sharding, substrings, subwords, toxicity
+from strandline.llm import decontamination, extraction, language_id, quality_classifier, quality_rules, sharding, shingle_join, substrings, subwords, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -97,3 +97,8 @@ def op9_sentencepiece(spark, sf_dir):
 @query("op10_substring_dedup")
 def op10_substring_dedup(spark, sf_dir):
     return substrings.remove_repeats(_table(spark, sf_dir, "documents"), with_text=False)
+
+
+@query("op6_ngram_jaccard")
+def op6_ngram_jaccard(spark, sf_dir):
+    return shingle_join.near_duplicates(_table(spark, sf_dir, "documents"))

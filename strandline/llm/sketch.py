@@ -34,10 +34,10 @@ def _sum_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield row()
 
 
-def frequency_levels(docs: DataFrame, hashes_of: Callable[[pa.RecordBatch], Iterator[np.ndarray]], bits: int, above: float = 4.0) -> np.ndarray:
+def frequency_levels(docs: DataFrame, hashes_of: Callable[[pa.RecordBatch], Iterator[np.ndarray]], bits: int, above: float = 4.0, steps: int = 0) -> np.ndarray:
     """For each of ``2**bits`` slots, how far its count over the whole corpus stands above the mean slot, in powers of two.
 
-    0 up to ``above`` times the mean.  Each task counts its rows in one byte per slot (up to 255), and
+    0 up to ``above`` times the mean; with ``steps``, so many levels for each doubling of the count itself.  Each task counts its rows in one byte per slot (up to 255), and
     blocks of slots are added up as they stream by.  The levels only order things, the same for every reader,
     so collisions cost speed and never a result.  The table has a fixed size.
     """
@@ -58,6 +58,8 @@ def frequency_levels(docs: DataFrame, hashes_of: Callable[[pa.RecordBatch], Iter
     for r in rows.toLocalIterator():
         total[r["block"]] = np.frombuffer(r["counts"], np.uint32)
     flat = total.ravel()
+    if steps:
+        return np.minimum(np.floor(steps * np.log2(np.maximum(flat, 1))), 63).astype(np.uint8)
     limit = max(float(flat.mean()) * above, 16.0)
     with np.errstate(divide="ignore"):
         return np.where(flat <= limit, 0, np.ceil(np.log2(np.maximum(flat, 1) / limit))).astype(np.uint8)
