@@ -8,8 +8,9 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType, _parse_datatype_string
 
 
 def fold(column: str, modulus: int) -> Column:
@@ -17,6 +18,22 @@ def fold(column: str, modulus: int) -> Column:
     return F.pmod(F.crc32(F.col(column).cast("string").cast("binary")), F.lit(modulus))
 
 
+def with_kept(docs: DataFrame, keep: list[str] | None, **columns: Column) -> DataFrame:
+    """``columns`` beside ``kept``, a struct of the columns to carry along (doc_id if None), whose names can't clash with them."""
+    held = F.struct(*(F.col(f"`{c}`") for c in (keep or ["doc_id"])))
+    return docs.select(held.alias("kept"), *(c.alias(n) for n, c in columns.items()))
+
+
+def kept_schema(rows: DataFrame, added: str) -> StructType:
+    """The type of ``kept`` and the fields of a DDL string."""
+    return StructType([StructField("kept", rows.schema["kept"].dataType), *_parse_datatype_string(added).fields])
+
+
+def unpacked(out: DataFrame, keep: list[str] | None) -> DataFrame:
+    """doc_id and the results if nothing was asked for; else ``kept`` and the results."""
+    return out if keep else out.select("kept.doc_id", *(c for c in out.columns if c != "kept"))
+
+
 def pieces(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Slices of about ``limit`` bytes of ``column``; a longer text is a slice of its own."""
     for b in batches:

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandline.llm.batches import mix, pieces
+from strandline.llm.batches import kept_schema, pieces, unpacked, with_kept
 
 _KEEP = np.array([chr(c).isalnum() for c in range(0x110000)], dtype=bool)
 
@@ -182,7 +182,7 @@ def matches(index: Index, text: str) -> list[tuple[int, int, int, int]]:
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, *, q: int = 8, rate: float = 0.05, block_chars: int = 4_000_000, keep: list[str] | None = None) -> DataFrame:
-    """Rows of ``docs`` with ``leaks``: (item_id, start, end, edits) for every benchmark passage found.
+    """``doc_id`` (or ``kept``, a struct of the columns ``keep``) with ``leaks``: (item_id, start, end, edits) for every benchmark passage found.
 
     Texts are compared by their letters and digits in lower case.  An item of m characters is found
     wherever a stretch of a text is within ``rate`` * m edits of it (and within the largest number for which
@@ -195,26 +195,22 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, *, q: int = 8, rate: float
     empty text has no leaks.  Other columns of both tables are not looked at.
     """
     spark = docs.sparkSession
-    keep = keep or ["doc_id"]
-    kinds = {f.name: f.dataType.simpleString() for f in docs.schema}
     id_kind = benchmark.schema["item_id"].dataType.simpleString()
     leak = f"array<struct<item_id:{id_kind},start:int,end:int,edits:int>>"
 
-    def scan(docs: DataFrame, shared) -> DataFrame:
+    def scan(rows: DataFrame, shared) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             index = shared.value
             for b in pieces(batches):
-                rows = []
+                leaks = []
                 for text, before in zip(b.column("text").to_pylist(), b.column("leaks").to_pylist()):
                     found = matches(index, text) if text else []
-                    rows.append((before or []) + [{"item_id": index.ids[i], "start": lo, "end": hi, "edits": e} for i, lo, hi, e in found])
-                kind = b.schema.field("leaks").type
-                yield pa.RecordBatch.from_arrays([*(b.column(c) for c in b.schema.names if c != "leaks"), pa.array(rows, kind)], names=[*(c for c in b.schema.names if c != "leaks"), "leaks"])
+                    leaks.append((before or []) + [{"item_id": index.ids[i], "start": lo, "end": hi, "edits": e} for i, lo, hi, e in found])
+                yield pa.RecordBatch.from_arrays([b.column("kept"), b.column("text"), pa.array(leaks, b.schema.field("leaks").type)], names=["kept", "text", "leaks"])
 
-        cols = [c for c in docs.columns if c != "leaks"]
-        return docs.select(*cols, "leaks").mapInArrow(run, ", ".join(f"`{c}` {kinds[c]}" for c in cols) + f", leaks {leak}")
+        return rows.mapInArrow(run, kept_schema(rows, f"text string, leaks {leak}"))
 
-    out = docs.select(*dict.fromkeys([*keep, "text"])).withColumn("leaks", F.array().cast(leak))
+    out = with_kept(docs, keep, text=F.col("text"), leaks=F.array().cast(leak))
     block, size = [], 0
     rows = benchmark.select("item_id", "text").where("text IS NOT NULL").distinct().orderBy("item_id", "text").toLocalIterator()
     for r in rows:  # one partition of the benchmark at a time
@@ -224,4 +220,4 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, *, q: int = 8, rate: float
         size += len(r["text"])
     if block:
         out = scan(out, spark.sparkContext.broadcast(build(block, q, rate)))
-    return out.select(*keep, "leaks")
+    return unpacked(out.drop("text"), keep)

@@ -10,8 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandline.llm.batches import WordHashes, fold, pieces, raw, shingles
-from strandline.storage import cut_lineage
+from strandline.llm.batches import WordHashes, fold, kept_schema, pieces, raw, shingles, unpacked, with_kept
 
 _SYMBOLS = frozenset(b"#*$%&|<>{}[]\\^~=+_")
 #: Traits of one word, averaged over a text.
@@ -66,25 +65,18 @@ def _describe(words: list[bytes], traits: np.ndarray, hashes: np.ndarray, lines:
     return np.concatenate([traits.mean(0), [np.log1p(n) / 5, np.log1p(lines / n), distinct, float((hashes[1:] == hashes[:-1]).mean()) if n > 1 else 0.0, again, float(traits[:, 0].std())]])
 
 
-def featurise(docs: DataFrame, keep: list[str]) -> DataFrame:
-    """``keep`` and ``features`` of each text: shape of words, repetition, length. Only the whole text is looked at."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache, table = WordHashes(), _Traits(300_000)
-        for b in pieces(batches, limit=1 << 20):
-            texts = raw(b)
-            split = [t.split() for t in texts]
-            words = [w for x in split for w in x]
-            traits, hashes, at, out = table.of(words), cache.of(words), 0, []
-            for text, x in zip(texts, split):
-                out.append(_describe(x, traits[at : at + len(x)], hashes[at : at + len(x)], text.count(b"\n") + 1))
-                at += len(x)
-            flat = pa.array(np.concatenate(out).astype(np.float32))
-            offsets = pa.array(np.arange(0, len(flat) + 1, WIDTH, dtype=np.int32))
-            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in keep), pa.ListArray.from_arrays(offsets, flat)], names=[*keep, "features"])
-
-    kinds = {f.name: f.dataType.simpleString() for f in docs.schema}
-    return docs.select(*keep, "text").mapInArrow(run, ", ".join(f"{k} {kinds[k]}" for k in keep) + ", features array<float>")
+def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+    """Pieces of the batches, and a row of features for each whole text."""
+    cache, table = WordHashes(), _Traits(300_000)
+    for b in pieces(batches, limit=1 << 20):
+        texts = raw(b)
+        split = [t.split() for t in texts]
+        words = [w for x in split for w in x]
+        traits, hashes, at, out = table.of(words), cache.of(words), 0, []
+        for text, x in zip(texts, split):
+            out.append(_describe(x, traits[at : at + len(x)], hashes[at : at + len(x)], text.count(b"\n") + 1))
+            at += len(x)
+        yield b, np.stack(out)
 
 
 @dataclass
@@ -162,6 +154,8 @@ def train(positive: np.ndarray, unlabelled: np.ndarray) -> Net | None:
     """Estimate the class prior on one half of the rows, then fit on all of them; None without rows."""
     if not len(positive) or not len(unlabelled):
         return None
+    rng = np.random.default_rng(3)
+    positive, unlabelled = rng.permutation(positive), rng.permutation(unlabelled)
     if len(positive) >= 4 and len(unlabelled) >= 4:
         side = _fit(positive[::2], unlabelled[::2], None, epochs=20)
         prior = estimate_prior(side.logits(positive[1::2]), side.logits(unlabelled[1::2]))
@@ -170,34 +164,44 @@ def train(positive: np.ndarray, unlabelled: np.ndarray) -> Net | None:
     return _fit(positive, unlabelled, prior)
 
 
-def classify(docs: DataFrame, labels: DataFrame, *, folds: int = 3, held: int = 1, positives: int = 6000, unlabelled: int = 12000) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, *, folds: int = 3, held: int = 1, positives: int = 6000, unlabelled: int = 12000, keep: list[str] | None = None) -> DataFrame:
     """Score every row of ``docs`` for quality.
 
-    Trusted positives are rows labelled ``quality = 1`` outside fold ``held``, at most ``positives`` of them
-    by hash; the unlabelled are at most ``unlabelled`` rows of all documents outside that fold.  Negative labels are not
-    used.  Both samples are rows of 15 numbers, made on the executors; the net is fitted on the driver.
+    Trusted positives are documents labelled ``quality = 1`` outside fold ``held``, at most ``positives`` of them
+    by hash; the unlabelled are at most ``unlabelled`` of all documents outside that fold.  Negative labels are not
+    used.  Both samples leave the executors as rows of 15 numbers; the net is fitted on the driver.  Nothing but
+    ids and labels is shuffled.
 
-    Features are written once and serve training and scoring.  A null text is an empty one and gets
-    the score of no words; rows with a null id are scored and not learned from; without positives the
-    score is 0.5 everywhere.  Repeated labels of a document count once each.  Returns doc_id, held_out, score (of
-    the text only) and predicted (1 from 0.5).
+    A null text is an empty one and gets the score of no words; rows with a null id are scored and not learned from;
+    without positives the score is 0.5 everywhere.  Repeated labels of a document count once.  Returns doc_id (or ``kept``, a struct
+    of the columns ``keep``), held_out, score (of the text only) and predicted (1 from 0.5).
     """
-    rows = docs.select("doc_id", "text", F.coalesce(fold("doc_id", folds) == held, F.lit(True)).alias("held_out"))
-    known = cut_lineage(featurise(rows, ["doc_id", "held_out"]))
-    learn = known.where("NOT held_out")
-    good = labels.where("quality = 1").select("doc_id")
+    spark = docs.sparkSession
+    outside = F.coalesce(fold("doc_id", folds) != held, F.lit(False))
+
+    def pick(ids: DataFrame, most: int) -> DataFrame:
+        return ids.where(outside).select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+
+    chosen = pick(labels.where("quality = 1"), positives).withColumn("trusted", F.lit(1)).unionByName(pick(docs, unlabelled).withColumn("trusted", F.lit(0)))
+    chosen = chosen.groupBy("doc_id").agg(F.max("trusted").alias("trusted"), F.min("trusted").alias("mixed"))  # at most the two bounds together
 
-    def sample(df: DataFrame, most: int) -> np.ndarray:
-        got = df.select("features", F.xxhash64("doc_id").alias("pick"), "doc_id").orderBy("pick", "doc_id").limit(most).select("features").toArrow()
-        return np.array(got.column("features").to_pylist(), float).reshape(-1, WIDTH)
+    def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b, x in _features(batches):
+            lists = pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), WIDTH).cast(pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([b.column("trusted"), b.column("mixed"), lists], names=["trusted", "mixed", "features"])
 
-    net = train(sample(learn.join(good, "doc_id"), positives), sample(learn, unlabelled))
+    got = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "trusted", "mixed").mapInArrow(sample, "trusted int, mixed int, features array<double>").toArrow()
+    x = np.array(got.column("features").to_pylist(), float).reshape(-1, WIDTH)
+    trusted, mixed = got.column("trusted").to_numpy(), got.column("mixed").to_numpy()
+    order = np.lexsort(x.T)  # whatever the order in which rows arrived
+    x, trusted, mixed = x[order], trusted[order], mixed[order]
+    shared = spark.sparkContext.broadcast(train(x[trusted == 1], x[mixed == 0]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            x = b.column("features").flatten().to_numpy(zero_copy_only=False).reshape(-1, WIDTH).astype(float)
+        net = shared.value
+        for b, x in _features(batches):
             score = _sigmoid(4 * net.logits(x)) if net else np.full(len(x), 0.5)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("held_out"), pa.array(score), pa.array((score >= 0.5).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
+            yield pa.RecordBatch.from_arrays([b.column("kept"), b.column("held_out"), pa.array(score), pa.array((score >= 0.5).astype(np.int32))], names=["kept", "held_out", "score", "predicted"])
 
-    kind = known.schema["doc_id"].dataType.simpleString()
-    return known.mapInArrow(run, f"doc_id {kind}, held_out boolean, score double, predicted int")
+    rows = with_kept(docs, keep, held_out=~outside, text=F.col("text"))
+    return unpacked(rows.mapInArrow(run, kept_schema(rows, "held_out boolean, score double, predicted int")), keep)

@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandline.llm.batches import WordHashes, mix, pieces, raw, shingles
+from strandline.llm.batches import WordHashes, kept_schema, mix, pieces, raw, shingles, unpacked, with_kept
 from strandline.llm.sketch import frequency_levels, slot, slot_bitmap
 from strandline.storage import staging_path
 
@@ -167,7 +167,7 @@ def repeated_spans(docs: DataFrame, *, window: int = 50, gram: int = 8, bits: in
 
 
 def remove_repeats(docs: DataFrame, *, window: int = 50, gram: int = 8, keep: list[str] | None = None, with_text: bool = True) -> DataFrame:
-    """``keep``, n_words, n_removed, kept_sha256 and ``text`` without the repeated words.
+    """doc_id (or ``kept``, a struct of the columns ``keep``), n_words, n_removed, kept_sha256 and ``text`` without the repeated words.
 
     A word goes if a window of ``window`` words that covers it also starts in a document with a smaller doc_id;
     windows are judged on the input.  White space between kept words stays as it is in ``text``; the digest is of the kept words
@@ -177,17 +177,12 @@ def remove_repeats(docs: DataFrame, *, window: int = 50, gram: int = 8, keep: li
     count as each other's repeats.  Texts with repeats are joined to their ranges, all others pass without their text.
     """
     spark = docs.sparkSession
-    keep = keep or ["doc_id"]
     spans = repeated_spans(docs, window=window, gram=gram)
     path = staging_path(spark, "spans")
     spans.write.parquet(path)
     spans = spark.read.parquet(path)
     marks = spark.sparkContext.broadcast(slot_bitmap(spans, "row", 22))  # 2**22 bytes
-    kinds = {f.name: f.dataType.simpleString() for f in docs.schema}
-    others = [c for c in keep if c != "text"]
-    schema = ", ".join(f"`{c}` {kinds[c]}" for c in others)
-    schema += ("," if others else "") + " n_words long, n_removed long, kept_sha256 string, text string"
-    names = [*others, "n_words", "n_removed", "kept_sha256", "text"]
+    schema, names = "n_words long, n_removed long, kept_sha256 string, text string", ["kept", "n_words", "n_removed", "kept_sha256", "text"]
 
     def digest(words: list[bytes]) -> str:
         return hashlib.sha256(b" ".join(words)).hexdigest()
@@ -222,10 +217,10 @@ def remove_repeats(docs: DataFrame, *, window: int = 50, gram: int = 8, keep: li
                     c.append(v)
             empty = b.column("text").is_null().to_pylist()
             text = [None if e or not (with_text or w) else t for t, e, w in zip(out, empty, wait)]
-            arrays = [*(b.column(c) for c in others), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(sha, pa.string()), pa.array(text, pa.binary()).cast(pa.string())]
+            arrays = [b.column("kept"), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(sha, pa.string()), pa.array(text, pa.binary()).cast(pa.string())]
             yield pa.RecordBatch.from_arrays(arrays if final else [*arrays, b.column("row")], names=names if final else [*names, "row"])
 
-    rows = docs.select(*others, "text", F.xxhash64("doc_id", "text").alias("row"))
-    first = rows.mapInArrow(lambda x: settle(x, False), schema + ", row long")
-    done = first.join(spans, "row", "left").mapInArrow(lambda x: settle(x, True), schema)
-    return done if with_text else done.drop("text")
+    rows = with_kept(docs, keep, text=F.col("text"), row=F.xxhash64("doc_id", "text"))
+    first = rows.mapInArrow(lambda x: settle(x, False), kept_schema(rows, schema + ", row long"))
+    done = first.join(spans, "row", "left").mapInArrow(lambda x: settle(x, True), kept_schema(rows, schema))
+    return unpacked(done if with_text else done.drop("text"), keep)
