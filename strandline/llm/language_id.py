@@ -67,6 +67,9 @@ def _folded(h: np.ndarray, k: int, bits: int) -> np.ndarray:
     return (mix(h + _STEP[8 + k]) >> np.uint64(64 - bits)).astype(np.int64)
 
 
+_COUNTS = pa.schema([("lang", pa.string()), ("k", pa.int32()), ("gram", pa.int64()), ("past", pa.int64()), ("rest", pa.int64()), ("lead", pa.bool_()), ("n", pa.int64())])
+
+
 def _counts(order: int, bits: int, most_words: int = 300_000):
     """Task function: (lang, text) rows to (lang, k, gram, past, rest, lead, n)."""
 
@@ -84,9 +87,9 @@ def _counts(order: int, bits: int, most_words: int = 300_000):
                     }
                 )
                 frame = frame.groupby(["gram", "past", "rest", "lead"], as_index=False)["n"].sum()
-                frame.insert(0, "k", np.int32(k))
+                frame.insert(0, "k", k)
                 frame.insert(0, "lang", lang)
-                yield pa.RecordBatch.from_pandas(frame, preserve_index=False)
+                yield pa.RecordBatch.from_pandas(frame, _COUNTS, preserve_index=False)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[str, Counter] = defaultdict(Counter)
