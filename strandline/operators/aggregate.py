@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandline.functions import columns as C
-from strandline.operators.ordering import exact_quantiles, quantile_columns, tail_mean, value_ranks
+from strandline.operators.ordering import exact_quantiles, join_on, quantile_columns, tail_mean, value_ranks
 
 _PERIODS = {
     "D": (lambda d: d, "INTERVAL 1 DAY"),
@@ -77,13 +77,13 @@ def zscore_by(df: DataFrame, group: Sequence[str | Column], x: str, out: str = "
     stats = keyed.groupBy(*names).agg(F.avg(x).alias("_m"), F.stddev_samp(x).alias("_s"))
     centre = F.col(x) - F.col("_m")
     value = {"z": F.try_divide(centre, F.col("_s")), "demean": centre, "scale": F.try_divide(F.col(x), F.col("_s"))}[kind]
-    return keyed.join(stats, names).withColumn(out, value).drop(*names, "_m", "_s")
+    return join_on(keyed, stats, names).withColumn(out, value).drop(*names, "_m", "_s")
 
 
 def median_anomaly(df: DataFrame, keys: Sequence[str], x: str, out: str = "anomaly") -> DataFrame:
     """Value minus the exact median of its group (for example site, month and hour)."""
     med = quantile_columns(df, keys, x, {"_median": 0.5})
-    return df.join(med, list(keys)).withColumn(out, F.col(x) - F.col("_median")).drop("_median")
+    return join_on(df, med, list(keys)).withColumn(out, F.col(x) - F.col("_median")).drop("_median")
 
 
 def interpolate(df: DataFrame, keys: Sequence[str], pos: str, x: str, hold_end: bool = True) -> DataFrame:
@@ -152,7 +152,7 @@ def cvar_count(df: DataFrame, by: Sequence[str], x: str, q: float = 0.05, out: s
 def cvar_quantile(df: DataFrame, by: Sequence[str], x: str, q: float = 0.05, out: str = "cvar") -> DataFrame:
     """Mean of the values at or below the exact quantile."""
     cut = quantile_columns(df, by, x, {"_cut": q})
-    joined = df.join(cut, list(by)) if by else df.crossJoin(F.broadcast(cut))  # one row
+    joined = join_on(df, cut, list(by))
     return joined.where(F.col(x) <= F.col("_cut")).groupBy(*by).agg(F.avg(x).alias(out))
 
 
@@ -327,7 +327,7 @@ def shortfall(df: DataFrame, by: Sequence[str], x: str, q: float = 0.05, out: st
     """(mean - quantile) / mean per group."""
     low = exact_quantiles(df, by, x, [q]).withColumnRenamed(x, "_low").drop("q")
     mean = df.groupBy(*by).agg(F.avg(x).alias("mean"))
-    joined = mean.join(low, list(by)) if by else mean.crossJoin(F.broadcast(low))
+    joined = join_on(mean, low, list(by))
     return joined.withColumn(out, F.try_divide(F.col("mean") - F.col("_low"), F.col("mean"))).drop("_low")
 
 

@@ -19,7 +19,7 @@ from strandline.functions import columns as C
 from strandline.functions import linalg as L
 from strandline.functions.normal import normal_quantile
 from strandline.operators import gram as G
-from strandline.operators.ordering import default_slices, quantile_columns, slice_values, sliced_lag, value_ranks
+from strandline.operators.ordering import default_slices, join_on, quantile_columns, slice_values, sliced_lag, value_ranks
 from strandline.operators.windows import autocorr, effective_n_pair
 
 
@@ -62,7 +62,7 @@ def signed_pair_sums(
     """
     keys = list(keys)
     rows = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(*keys, x, y).agg(F.count(F.lit(1)).cast("double").alias("w"))
-    slices = slices or min(1024, default_slices(df))  # the table of slice pairs is one group
+    slices = slices or default_slices(df)  # the table of slice pairs is one group per key
     rows = slice_values(slice_values(rows, keys, x, "_bx", slices, True), keys, y, "_by", slices, True)
     rows = rows.withColumn("wx", F.col("w") * F.col(x)).withColumn("wy", F.col("w") * F.col(y)).withColumn("wxy", F.col("wx") * F.col(y))
     names = [f"p{i}" for i in range(len(products))]
@@ -308,10 +308,39 @@ def effective_rank(corr: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     )
 
 
-def clean_corr(corr: DataFrame, method: str, by: Sequence[str] = (), n_removed: int = 0) -> DataFrame:
-    """Cleaned matrices, one per group: clip, linear (Ledoit-Wolf) or nonlinear shrinkage."""
-    cleaner = L.CLEANERS[method]
-    return G.per_matrix(corr, by, "r", lambda m, n, k: G.upper(cleaner(m, n, n_removed), "r").assign(n=int(n)), "i int, j int, r double, n long")
+def squared_norms(vec: DataFrame, col: str, project: np.ndarray | None = None) -> tuple[float, int]:
+    """Mean over the rows of the squared squared length of a standardised vector, and the number of rows.
+
+    ``project`` (variables squared) is applied to the standardised rows first.  Two passes of partial sums; only one row
+    per variable and one row per task reach the driver.
+    """
+    stats = vec.select(F.posexplode(col).alias("v", "x")).groupBy("v").agg(F.avg("x").alias("m"), F.stddev_pop("x").alias("s")).orderBy("v").collect()
+    mean, sd = (np.array([r[c] for r in stats]) for c in "ms")
+    sd = np.where(sd > 0, sd, 1.0)
+
+    def sums(batches):
+        for pdf in batches:
+            if len(pdf):
+                z = (np.stack(pdf[col].to_numpy()) - mean) / sd
+                z = z if project is None else z @ project.T
+                yield pd.DataFrame([((np.square(z).sum(1) ** 2).sum(), len(z))], columns=["s", "n"])
+
+    total = vec.select(col).mapInPandas(sums, "s double, n long").agg(F.sum("s").alias("s"), F.sum("n").alias("n")).first()
+    return float(total["s"] or 0.0) / max(total["n"] or 0, 1), int(total["n"] or 0)
+
+
+def measured_noise(c: np.ndarray, norms: tuple[float, int]) -> float:
+    """Expected squared error of ``c``: mean squared distance of single rows' products from it, per row."""
+    return (norms[0] - float((c * c).sum())) / norms[1]
+
+
+def clean_corr(corr: DataFrame, method: str, by: Sequence[str] = (), n_removed: int = 0, norms: tuple[float, int] | None = None) -> DataFrame:
+    """Cleaned matrices, one per group: clip, linear (Ledoit-Wolf) or nonlinear shrinkage.
+
+    ``norms`` (of ``squared_norms``) lets linear shrinkage use the noise of the data instead of the Gaussian formula.
+    """
+    noise = lambda m: measured_noise(m, norms) if norms else None
+    return G.per_matrix(corr, by, "r", lambda m, n, k: G.upper(L.clean(m, n, method, n_removed, noise(m)), "r").assign(n=int(n)), "i int, j int, r double, n long")
 
 
 def noise_summary(corr: DataFrame, by: Sequence[str] = ()) -> DataFrame:
@@ -326,7 +355,7 @@ def noise_summary(corr: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     return G.per_matrix(corr, by, "r", describe, "variance double, lower double, upper double, n_signal long, largest double, effective_rank double")
 
 
-def tyler_corr(vec: DataFrame, col: str, max_iterations: int = 60, tol: float = 1e-6) -> DataFrame:
+def tyler_corr(vec: DataFrame, col: str, max_iterations: int = 100, tol: float = 1e-6) -> DataFrame:
     """Robust fixed-point correlation.
 
     Each round is one pass over the cached vectors: tasks weight their rows with the
@@ -335,24 +364,24 @@ def tyler_corr(vec: DataFrame, col: str, max_iterations: int = 60, tol: float =
     spark = vec.sparkSession
     stats = vec.select(F.posexplode(col).alias("v", "x")).groupBy("v").agg(F.avg("x").alias("m")).orderBy("v").collect()  # one row per variable
     mean = np.array([r["m"] for r in stats])
-    n_vars = len(mean)
     centred = vec.select(F.zip_with(col, F.array(*[F.lit(float(m)) for m in mean]), lambda a, b: a - b).alias("vec")).persist()
-    c = np.eye(n_vars)
+
+    def reweighted(shape: np.ndarray) -> np.ndarray:
+        """One pass: each row counts by the inverse of its length under ``shape``."""
+        precision = np.linalg.pinv(shape)
+        weight = lambda x: 1.0 / np.clip(((x @ precision) * x).sum(1), 1e-12, None)
+        out = np.zeros_like(shape)
+        for cell in G.gram(centred, "vec", weight=weight).where("i > 0").collect():  # variables squared
+            out[cell["i"] - 1, cell["j"] - 1] = out[cell["j"] - 1, cell["i"] - 1] = cell["s"]
+        return out / np.trace(out) * len(out)
+
+    c, moved, rounds = np.eye(len(mean)), np.inf, 0
     try:
-        for _ in range(max_iterations):
-            inv = np.linalg.pinv(c)
-
-            def weight(x, inv=inv):
-                return 1.0 / np.maximum(np.einsum("ti,ij,tj->t", x, inv, x), 1e-12)
-
-            cells = G.gram(centred, "vec", weight=weight).where("i > 0").collect()  # variables squared
-            new = np.zeros((n_vars, n_vars))
-            for cell in cells:
-                new[cell["i"] - 1, cell["j"] - 1] = new[cell["j"] - 1, cell["i"] - 1] = cell["s"]
-            new *= n_vars / np.trace(new)
-            step, c = np.abs(new - c).max(), new
-            if step < tol:
-                break
+        while moved >= tol:
+            if rounds == max_iterations:
+                raise RuntimeError(f"the scatter matrix did not settle in {max_iterations} rounds (last step {moved:.2g})")
+            last, c, rounds = c, reweighted(c), rounds + 1
+            moved = float(np.abs(c - last).max())
     finally:
         centred.unpersist()
     return spark.createDataFrame(G.upper(L.with_unit_diagonal(c), "r"), "i int, j int, r double")
@@ -364,17 +393,14 @@ class Correlator:
     Known factors cost observations, modes cost variables; both enter the noise band.
     """
 
+    CHOICES = {"measure": ("pearson", "spearman", "gaussian_rank"), "clean": tuple(L.RULES), "output": ("correlation", "partial"), "effective_n": (None, "bartlett")}
+
     def __init__(self, measure="pearson", factors: Sequence[str] = (), modes=0, clean="raw", robust=False, effective_n=None, output="correlation"):
-        if measure not in ("pearson", "spearman", "gaussian_rank"):
-            raise ValueError(f"unknown measure {measure!r}")
-        if clean not in L.CLEANERS:
-            raise ValueError(f"unknown cleaner {clean!r}")
-        if output not in ("correlation", "partial"):
-            raise ValueError(f"unknown output {output!r}")
-        if effective_n not in (None, "bartlett"):
-            raise ValueError("effective_n is None or 'bartlett'")
         self.measure, self.factors, self.modes, self.clean = measure, list(factors), modes, clean
         self.robust, self.effective_n, self.output = robust, effective_n, output
+        wrong = {k: getattr(self, k) for k, allowed in self.CHOICES.items() if getattr(self, k) not in allowed}
+        if wrong:
+            raise ValueError(f"not among the choices: {wrong}")
 
     def fit(self, long: DataFrame, t: str, var: str, x: str, names: Sequence) -> DataFrame:
         """Matrix rows ``(i, j, r)``; factor columns, if any, are columns of ``long``."""
@@ -402,16 +428,29 @@ class Correlator:
             corr = corr.crossJoin(F.broadcast(ne))  # a single row
             obs = F.col("_ne") - cost
         corr = corr.withColumn("n", obs).select("i", "j", "n", "r")
-        modes, cleaner, partial = self.modes, L.CLEANERS[self.clean], self.output == "partial"
+        modes, method, partial, norms = self.modes, self.clean, self.output == "partial", None
+        if L.RULES[method] is L.towards_mean:  # the only method that looks at the noise of the data
+            norms = squared_norms(vec, "vec", self._residual(corr) if modes else None)
 
         def finish(m, n_obs, key):
             left, _, _ = L.remove_modes(m, modes)
-            out = cleaner(left, n_obs, modes)
+            out = L.clean(left, n_obs, method, modes, measured_noise(left, norms) if norms else None)
             return G.upper(L.partial_from(out) if partial else out, "r").assign(n_effective=n_obs)
 
         return G.per_matrix(corr, [], "r", finish, "i int, j int, r double, n_effective double")
 
 
+    def _residual(self, corr: DataFrame) -> np.ndarray:
+        """What takes standardised rows to their part without the strongest modes, on a unit variance (variables squared)."""
+        cells = corr.select("i", "j", "r").collect()
+        m = np.eye(max(c["i"] for c in cells) + 1)
+        for c in cells:
+            m[c["i"], c["j"]] = m[c["j"], c["i"]] = c["r"]
+        u = L.spectrum(m)[1][:, : self.modes]
+        rest = np.eye(len(m)) - u @ u.T
+        return rest / np.sqrt(np.maximum(np.einsum("ij,jk,ik->i", rest, m, rest), 1e-12))[:, None]
+
+
 def min_variance_weights(cov: DataFrame, by: Sequence[str], value: str = "cov") -> DataFrame:
     def weights(m, n, key):
         w = L.min_variance(m)
@@ -439,7 +478,7 @@ def oos_risk(vec: DataFrame, t: str, col: str, window: int, hold: int, methods:
         sd = np.sqrt(np.diag(m))
         rows = []
         for name in methods:
-            w = L.min_variance(L.rescale(L.CLEANERS[name](L.with_unit_diagonal(m), n), sd))
+            w = L.min_variance(L.rescale(L.clean(L.with_unit_diagonal(m), n, name), sd))
             rows.append({"method": name, "weights": w.tolist(), "predicted": float(np.sqrt(max(w @ m @ w, 0.0)))})
         return pd.DataFrame(rows)
 
@@ -493,13 +532,15 @@ def block_averaged_cov(wide: DataFrame, t: str, names: Sequence[str], window: in
     return realised_cov(blocks.select("_b", *names), "_b", names)
 
 
-def epps_curve(wide: DataFrame, t: str, a: str, b: str, steps: Sequence[int]) -> DataFrame:
-    """Correlation of two assets against the sampling step, in one pass over the panel."""
+def epps_curve(wide: DataFrame, t: str, assets: Sequence[str], steps: Sequence[int]) -> DataFrame:
+    """Correlation of every pair of assets against the sampling step, in one pass over the panel."""
     pos = explode_values(wide.withColumn("_i", F.row_number().over(Window.orderBy(t)) - 1), "step", list(steps)).where(F.col("_i") % F.col("step") == 0)
     w = Window.partitionBy("step").orderBy("_i")
-    r = pos.select("step", *[(F.log(n) - F.lag(F.log(n)).over(w)).alias(n) for n in (a, b)])
+    returns = pos.select("step", *[(F.log(n) - F.lag(F.log(n)).over(w)).alias(n) for n in assets])
     s = lambda x, y: F.sum(F.col(x) * F.col(y))
-    return r.groupBy("step").agg(F.coalesce(F.try_divide(s(a, b), F.sqrt(s(a, a) * s(b, b))), F.lit(0.0)).alias("r"))
+    cells = [(x, y) for i, x in enumerate(assets) for y in assets[i + 1 :]]
+    rows = [F.struct(F.lit(x).alias("a"), F.lit(y).alias("b"), F.coalesce(F.try_divide(s(x, y), F.sqrt(s(x, x) * s(y, y))), F.lit(0.0)).alias("r")) for x, y in cells]
+    return returns.groupBy("step").agg(F.array(*rows).alias("_rows")).select("step", F.inline("_rows"))
 
 
 def hayashi_yoshida(ticks: DataFrame, asset: str, sec: str, price: str, assets: Sequence[str], width: float) -> DataFrame:
@@ -564,7 +605,7 @@ def mvdr_weights(cov: DataFrame, method: str = "linear_shrinkage") -> DataFrame:
     """Minimum-variance weights for a signal that arrives the same at every sensor (ddof 1)."""
 
     def weights(m, n, key):
-        w = L.min_variance(L.CLEANERS[method](m * n / (n - 1), n))
+        w = L.min_variance(L.clean(m * n / (n - 1), n, method))
         return pd.DataFrame({"sensor": np.arange(len(w), dtype="int32"), "weight": w})
 
     return G.per_matrix(cov, [], "cov", weights, "sensor int, weight double")
@@ -630,12 +671,14 @@ def pca_denoise(vec: DataFrame, col: str) -> DataFrame:
     return joined.mapInPandas(project, schema + ", clean array<double>, kept int")
 
 
-def picker_scoreboard(picks: DataFrame, by: str, pick: str, arrival: Column, rate: float, within: float, snr: str) -> DataFrame:
-    """Share within tolerance, median absolute error, bias and SNR per method; -1 is no pick."""
-    err = F.when(F.col(pick) >= 0, (F.col(pick) - arrival) / rate)
-    scored = picks.withColumn("_err", err).withColumn("_abs", F.abs(err))
-    base = scored.groupBy(by).agg(
-        F.count(F.lit(1)).alias("n"), F.avg(F.when(F.col("_abs") <= within, 1.0).otherwise(0.0)).alias("share"), F.avg("_err").alias("bias"), F.avg(snr).alias("snr")
-    )
-    med = quantile_columns(scored, [by], "_abs", {"median_error": 0.5})
-    return base.join(med, by, "left")
+def picker_scoreboard(picks: DataFrame, by: str, pick: str, arrival: Column, rate: float, within: float, snr: str, raw_snr: str, motion: str, truth: str) -> DataFrame:
+    """Per method: share of picks within tolerance, median absolute error, bias, right polarities and median SNR gain.
+
+    A pick of -1 is none: it counts as a miss and has no error.  The bias is the median error of the picks within tolerance.
+    """
+    scored = picks.withColumn("_err", F.when(F.col(pick) >= 0, (F.col(pick) - arrival) / rate))
+    scored = scored.withColumns({"_abs": F.abs("_err"), "_good": F.coalesce(F.abs("_err") <= within, F.lit(False)), "_gain": F.col(snr) - F.col(raw_snr)})
+    out = scored.groupBy(by).agg(F.count(F.lit(1)).alias("n"), F.avg(F.col("_good").cast("double")).alias("share"), F.avg((F.col(motion) == F.col(truth)).cast("double")).alias("polarity"))
+    for rows, column, name in ((scored, "_abs", "median_error"), (scored.where("_good"), "_err", "bias"), (scored, "_gain", "snr_gain")):
+        out = join_on(out, quantile_columns(rows, [by], column, {name: 0.5}), [by], "left")
+    return out

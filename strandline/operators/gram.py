@@ -25,7 +25,8 @@ def vectors(long: DataFrame, t: Sequence[str], var: str, x: str, names: Sequence
     if list(names) != list(range(len(names))):
         at = F.try_element_at(F.create_map(*[F.lit(v) for kv in order.items() for v in kv]), F.col(var))
     packed = cells.groupBy(*t).agg(F.sort_array(F.collect_list(F.struct(at.alias("i"), F.col(x).cast("double").alias("v")))).alias("_c"))
-    return packed.where(F.size("_c") == len(names)).select(*t, F.transform("_c", lambda c: c["v"]).alias("vec"))
+    whole = F.transform("_c", lambda c: c["i"]) == F.array(*[F.lit(i) for i in range(len(names))])  # each variable once
+    return packed.where(whole).select(*t, F.transform("_c", lambda c: c["v"]).alias("vec"))
 
 
 def gram(df: DataFrame, vec: str, by: Sequence[str] = (), weight=None) -> DataFrame:

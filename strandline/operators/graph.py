@@ -105,7 +105,7 @@ def thin_edges(edges: DataFrame, src: str, dst: str, share: float, draws: int, s
     return many.where(hash_uniform(seed, F.col("draw"), F.col(src), F.col(dst)) < share)
 
 
-def cascade_reach(edges: DataFrame, seeds: DataFrame, src: str, dst: str, by: Sequence[str] = (), max_rounds: int = 1000) -> DataFrame:
+def cascade_reach(edges: DataFrame, seeds: DataFrame, src: str, dst: str, by: Sequence[str] = ()) -> DataFrame:
     """Everything downstream of the seeds: ``(by, id, step)``, frontier by frontier.
 
     A frontier joins the edges, drops what was reached before and becomes the next one; each
@@ -116,7 +116,7 @@ def cascade_reach(edges: DataFrame, seeds: DataFrame, src: str, dst: str, by: Se
     reached, step = frontier.withColumn("step", F.lit(0)), 0
     steps = [reached]
     visited = frontier
-    while step < max_rounds:
+    while True:  # every round reaches new nodes, so it ends
         step += 1
         nxt = frontier.withColumnRenamed("id", src).join(edges.select(*by, src, dst), [*by, src]).select(*by, F.col(dst).alias("id")).distinct()
         frontier = cut_lineage(nxt.join(visited, [*by, "id"], "left_anti"))

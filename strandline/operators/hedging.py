@@ -64,7 +64,7 @@ def garch_refit_panel(df: DataFrame, key: str, d: str, ret: str, years_back: int
         pdf = pdf.sort_values(d)
         live = np.array([v.year for v in pdf[d]]) == k[1]
         past, now = pdf["_r"].to_numpy()[~live], pdf[live]
-        if len(past) < 30 or not len(now):
+        if not len(past) or not len(now):
             return pd.DataFrame({key: [], "year": [], d: [], "variance": [], "omega": [], "alpha": [], "beta": []})
         omega, alpha, beta = fit_garch(past)
         known = np.r_[past[-1], now["_r"].to_numpy()[:-1]]  # returns up to the day before

@@ -22,6 +22,18 @@ def default_slices(df: DataFrame) -> int:
     return max(8, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")))
 
 
+def join_on(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Equi-join on ``keys`` in which null matches null, so the rows of a null key stay."""
+    keys = list(keys)
+    if not keys:
+        return left.crossJoin(F.broadcast(right))  # a single row
+    other = right.select(*(F.col(c).alias(f"_right_{c}" if c in keys else c) for c in right.columns))
+    cond = F.lit(True)
+    for k in keys:
+        cond = cond & left[k].eqNullSafe(other[f"_right_{k}"])
+    return left.join(other, cond, how).drop(*(f"_right_{k}" for k in keys))
+
+
 def slice_values(df: DataFrame, keys: Sequence[str], x: str, name: str, slices: int, edges_apart: bool = False) -> DataFrame:
     """Number value slices of each key in ascending order, at approximate quantiles.
 
@@ -35,7 +47,7 @@ def slice_values(df: DataFrame, keys: Sequence[str], x: str, name: str, slices:
         fan = max(4, min(FANOUT, slices)) if not path else FANOUT
         group = [*keys, name] if path else keys
         edges = out.groupBy(*group).agg(F.percentile_approx(x, [i / fan for i in range(1, fan)], 1000).alias("_edges"))
-        out = out.join(edges, group) if group else out.crossJoin(F.broadcast(edges))  # a single row
+        out = join_on(out, edges, group)
         below = F.size(F.filter("_edges", lambda e: e < F.col(x)))
         if edges_apart:
             upto = F.size(F.filter("_edges", lambda e: e <= F.col(x)))
@@ -48,13 +60,6 @@ def slice_values(df: DataFrame, keys: Sequence[str], x: str, name: str, slices:
     return out
 
 
-def _null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:
-    cond = F.lit(True)
-    for k in keys:
-        cond = cond & left[k].eqNullSafe(right[k])
-    return cond
-
-
 def value_ranks(df: DataFrame, keys: Sequence[str], x: str, slices: int | None = None, sums: bool = False) -> DataFrame:
     """One row per (keys, value): ``n_eq`` copies, ``n_below`` smaller rows, ``n_all`` rows.
 
@@ -77,7 +82,7 @@ def value_ranks(df: DataFrame, keys: Sequence[str], x: str, slices: int | None =
         *[F.coalesce(F.sum(f"_{p}").over(by_key), F.lit(0)).alias(f"_{p}_offset") for p in parts],
     )
     inside = Window.partitionBy(*keys, "_slice").orderBy(x).rowsBetween(Window.unboundedPreceding, -1)
-    out = sliced.join(offsets, [*keys, "_slice"])
+    out = join_on(sliced, offsets, [*keys, "_slice"])
     below = [(F.col(f"_{p}_offset") + F.coalesce(F.sum(c).over(inside), F.lit(0))).alias(f"{p}_below") for p, c in parts.items()]
     return out.select(*keys, x, "n_eq", *[f"{p}_all" for p in parts], *below)
 
@@ -126,11 +131,11 @@ def quantile_columns(
 
 
 def average_rank(df: DataFrame, keys: Sequence[str], x: str, out: str = "rank", slices: int | None = None) -> DataFrame:
-    """Add the 1-based rank of ``x`` inside each key, ties sharing the mean rank."""
+    """Add the 1-based rank of ``x`` inside each key, ties sharing the mean rank; null for a null ``x``."""
     ranks = value_ranks(df, keys, x, slices).select(
         *keys, x, (F.col("n_below") + (F.col("n_eq") + 1) / 2).alias(out), F.col("n_all").alias(f"{out}_n")
     )
-    return df.join(ranks, [*keys, x])
+    return join_on(df, ranks, [*keys, x], "left")
 
 
 def tail_mean(
@@ -168,7 +173,7 @@ def row_position(df: DataFrame, keys: Sequence[str], order: Sequence[str], slice
     offsets = sizes.select(*keys, "_slice", F.coalesce(F.sum("_n").over(_before(keys, "_slice")), F.lit(0)).alias("_offset"))
     inside = Window.partitionBy(*keys, "_slice").orderBy(*order)
     return (
-        cut.join(offsets, [*keys, "_slice"])
+        join_on(cut, offsets, [*keys, "_slice"])
         .withColumn(out, F.col("_offset") + F.row_number().over(inside))
         .drop("_slice", "_offset")
     )
@@ -189,7 +194,7 @@ def sliced_lag(
     carried = ends.select(*keys, "_slice", F.lag("_end").over(by_key).alias("_carry"))
     inside = Window.partitionBy(*keys, "_slice").orderBy(*order)
     prev = F.coalesce(F.lag(payload).over(inside), F.col("_carry"))
-    out = cut.join(carried, [*keys, "_slice"]).withColumn("_prev", prev)
+    out = join_on(cut, carried, [*keys, "_slice"]).withColumn("_prev", prev)
     for i, name in enumerate(cols):
         out = out.withColumn(name, F.col(f"_prev.v{i}"))
     return out.drop("_slice", "_carry", "_prev")
@@ -206,7 +211,7 @@ def carry_last(
     ends = cut.where("_known IS NOT NULL").groupBy(*keys, "_slice").agg(
         pick(F.col("_known"), F.struct(*order)).alias("_end")
     )
-    slices = cut.select(*keys, "_slice").distinct().join(ends, [*keys, "_slice"], "left")
+    slices = join_on(cut.select(*keys, "_slice").distinct(), ends, [*keys, "_slice"], "left")
     if forward:
         outside = F.last("_end", ignorenulls=True).over(
             Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
@@ -224,7 +229,7 @@ def carry_last(
         )
     carried = slices.select(*keys, "_slice", outside.alias("_outside"))
     return (
-        cut.join(carried, [*keys, "_slice"])
+        join_on(cut, carried, [*keys, "_slice"])
         .withColumn(out, F.coalesce(inside, F.col("_outside"))["v"])
         .drop("_slice", "_known", "_outside")
     )

@@ -23,14 +23,15 @@ RANGES = {
 }
 
 
-def check_time_axis(df: DataFrame, ts: str, step: int) -> DataFrame:
-    """Irregular steps between distinct timestamps (whole-number clock): count and first.
+def check_time_axis(df: DataFrame, ts: str, step: int, by: Sequence[str] = ()) -> DataFrame:
+    """Irregular steps between distinct timestamps (whole-number clock) of each series: count and first.
 
-    Distinct timestamps are one row per period of the record.
+    Distinct timestamps are one row per series and period of the record.
     """
-    t = df.select(ts).distinct()
-    gap = F.lead(ts).over(Window.orderBy(ts)) - F.col(ts)
-    return t.withColumn("_gap", gap).agg(
+    by = list(by)
+    t = df.select(*by, ts).distinct()
+    gap = F.lead(ts).over(Window.partitionBy(*by).orderBy(ts)) - F.col(ts)
+    return t.withColumn("_gap", gap).groupBy(*by).agg(
         F.count(F.lit(1)).alias("steps"), F.count(F.when(F.col("_gap") != step, 1)).alias("irregular"),
         F.min(F.when(F.col("_gap") != step, F.col(ts))).alias("first_after"),
     ).withColumn("ok", F.col("irregular") == 0)

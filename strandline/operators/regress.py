@@ -302,8 +302,8 @@ def expanding_oos(df: DataFrame, keys: Sequence[str], t: str, y: str, x: str, ga
     return used.groupBy(*keys).agg((F.lit(1.0) - F.try_divide(F.sum(miss * miss), F.sum(F.col(y) * F.col(y)))).alias("oos_r2"), F.count(F.lit(1)).alias("n"))
 
 
-def time_ordered_cv(df: DataFrame, year: Column, y: str, xs: Sequence[str], min_train_years: int = 3, folds: int = 7) -> DataFrame:
-    """Linear expanding-window validation: train on the years before, test on each year.
+def time_ordered_cv(df: DataFrame, year: Column, y: str, xs: Sequence[str], min_train_years: int = 3) -> DataFrame:
+    """Linear expanding-window validation: train on the years before, test on each year after the first ones.
 
     The rows become one Gram per year; training sums are running totals over years.
     """
@@ -313,7 +313,7 @@ def time_ordered_cv(df: DataFrame, year: Column, y: str, xs: Sequence[str], min_
     past = F.collect_list("_g").over(w.rowsBetween(Window.unboundedPreceding, -1))
     size = (len(xs) + 2) ** 2
     train = F.aggregate(past, F.array_repeat(F.lit(0.0), size), lambda acc, g: G.add_arrays(acc, g))
-    tests = place.withColumn("_train", train).where((F.col("_i") > min_train_years) & (F.col("_i") <= min_train_years + folds))
+    tests = place.withColumn("_train", train).where(F.col("_i") > min_train_years)
 
     @pandas_udf(_struct(sse=_D, n=T.LongType()))
     def score(tr: pd.Series, te: pd.Series) -> pd.DataFrame:
@@ -328,7 +328,7 @@ def time_ordered_cv(df: DataFrame, year: Column, y: str, xs: Sequence[str], min_
     return tests.select("year", score("_train", "_g").alias("s")).select("year", "s.n", F.sqrt(F.col("s.sse") / F.col("s.n")).alias("rmse"))
 
 
-def time_ordered_cv_ml(df: DataFrame, year: str, y: str, xs: Sequence[str], make_estimator, min_train_years: int = 3, folds: int = 7) -> DataFrame:
+def time_ordered_cv_ml(df: DataFrame, year: str, y: str, xs: Sequence[str], make_estimator, min_train_years: int = 3) -> DataFrame:
     """The same validation for any Spark ML estimator; one distributed fit per test year."""
     from functools import reduce
 
@@ -337,7 +337,7 @@ def time_ordered_cv_ml(df: DataFrame, year: str, y: str, xs: Sequence[str], make
     years = [r[0] for r in df.select(year).distinct().orderBy(year).collect()]  # a handful of years
     ready = VectorAssembler(inputCols=list(xs), outputCol="features").transform(df.dropna(subset=[y, *xs])).select(year, F.col(y).alias("label"), "features")
     scored = []
-    for test in years[min_train_years:][:folds]:
+    for test in years[min_train_years:]:
         model = make_estimator().fit(ready.where(F.col(year) < test))
         scored.append(model.transform(ready.where(F.col(year) == test)).select(year, "label", "prediction"))
     both = reduce(DataFrame.unionByName, scored)

@@ -63,12 +63,12 @@ def first_crossings(df: DataFrame, keys: Sequence[str], d: str, x: str, threshol
 
 
 def episodes(df: DataFrame, keys: Sequence[str], t: str, cond: Column) -> DataFrame:
-    """Runs of true rows: start, length, and whether the run is closed by a false row.
+    """Runs of true rows: start, length, and whether the run is closed by a false row.  Rows of unknown condition don't count.
 
     A run still open at the end of its series keeps its start but has no duration.
     """
     w = C.by_time(keys, t)
-    marked = df.withColumn("_c", cond).withColumn("_i", F.row_number().over(w)).withColumn("_n", F.max(t).over(Window.partitionBy(*keys)))
+    marked = df.withColumn("_c", cond).where("_c IS NOT NULL").withColumn("_i", F.row_number().over(w)).withColumn("_n", F.max(t).over(Window.partitionBy(*keys)))
     breaks = F.sum(F.when(~F.col("_c"), 1).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, 0))
     runs = marked.withColumn("_run", breaks).where("_c").groupBy(*keys, "_run").agg(
         F.min(t).alias("start"), F.count(F.lit(1)).alias("length"), (F.max(t) < F.max("_n")).alias("closed")

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from strandline.functions import columns as C
-from strandline.functions.normal import black_greeks
+from strandline.functions.normal import black_greeks, normal_cdf_sql
 from strandline.plans.registry import query
 
 
@@ -313,7 +313,12 @@ def b20(t):
     return x.agg(F.array(*aggs).alias("rows")).select(F.explode("rows").alias("r")).select("r.*")
 
 
-@query("b21_black_greeks")
+@query(
+    "b21_black_greeks",
+    f"""WITH x AS (SELECT l_orderkey, l_linenumber, l_partkey, l_extendedprice / l_quantity AS f, p_retailprice AS k, (l_discount + 0.1) * sqrt(greatest(l_quantity / 50.0, 1e-10)) AS spread FROM lineitem JOIN part ON l_partkey = p_partkey),
+    d AS (SELECT *, ln(f / k) / spread + spread / 2 AS d1 FROM x), e AS (SELECT *, d1 - spread AS d2 FROM d), n AS (SELECT *, {normal_cdf_sql("d1")} AS n1, {normal_cdf_sql("d2")} AS n2 FROM e)
+    SELECT l_orderkey, l_linenumber, l_partkey, round(f * n1 - k * n2, 6) AS price, round(n1, 6) AS delta, round(exp(-(d1 * d1) / 2) / sqrt(2 * pi()) / (f * spread), 6) AS gamma FROM n""",
+)
 def b21(t):
     li, p = t.raw("lineitem"), t.raw("part")
     x = li.join(p, li.l_partkey == p.p_partkey).select("l_orderkey", "l_linenumber", "l_partkey", black_greeks(

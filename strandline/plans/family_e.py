@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from strandline.functions import columns as C
-from strandline.functions.normal import normal_quantile
+from strandline.functions.normal import normal_quantile, normal_quantile_sql
 from strandline.operators import windows as W
 from strandline.operators.aggregate import interpolate
 from strandline.operators.ordering import average_rank
@@ -77,7 +77,11 @@ def e5(t):
     return out.select("l_returnflag", "l_orderkey", "l_partkey", "l_linenumber", "rank", r(F.col("rank") / (F.col("rank_n") + 1), 8).alias("u"))
 
 
-@query("e5_normal_scores")
+@query(
+    "e5_normal_scores",
+    f"""WITH x AS (SELECT o_orderkey, (rank() OVER (PARTITION BY o_orderpriority ORDER BY o_totalprice) + (count(*) OVER (PARTITION BY o_orderpriority, o_totalprice) - 1) / 2.0 - 0.5) / count(*) OVER (PARTITION BY o_orderpriority) AS u FROM orders)
+    SELECT o_orderkey, round({normal_quantile_sql("u")}, 6) AS score FROM x""",
+)
 def e5n(t):
     out = average_rank(t.raw("orders").select("o_orderpriority", "o_orderkey", "o_totalprice"), ["o_orderpriority"], "o_totalprice")
     return out.select("o_orderkey", r(normal_quantile((F.col("rank") - 0.5) / F.col("rank_n"))).alias("score"))

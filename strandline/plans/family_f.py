@@ -3,10 +3,11 @@
 from pyspark.sql import functions as F
 
 from strandline.functions import columns as C
+from strandline.functions.normal import normal_quantile_sql
 from strandline.operators import dependence as D
 from strandline.operators import gram as G
 from strandline.operators.aggregate import zscore_by
-from strandline.operators.joins import align, lookup_weights  # noqa: F401
+from strandline.operators.joins import align
 from strandline.operators.windows import sta_lta_pick
 from strandline.plans.family_c import INTERVALS_SQL, PRIORITIES, WIDE_SQL, aligned_daily
 from strandline.plans.registry import query
@@ -40,7 +41,13 @@ def f2(t):
     return D.corr_pairs(t.variables(), "t", "var", "value", VARS, "spearman").withColumn("r", r("r"))
 
 
-@query("f3_corr_gaussian_rank")
+@query(
+    "f3_corr_gaussian_rank",
+    f"""WITH x AS (SELECT t, var, (rank() OVER (PARTITION BY var ORDER BY value) + (count(*) OVER (PARTITION BY var, value) - 1) / 2.0 - 0.5) / count(*) OVER (PARTITION BY var) AS u FROM variables WHERE var < {len(VARS)}),
+    z AS (SELECT t, var, {normal_quantile_sql("u")} AS z FROM x)
+    SELECT a.var AS i, b.var AS j, count(*) AS n, round(corr(a.z, b.z), 6) AS r FROM z a JOIN z b ON a.t = b.t AND a.var <= b.var GROUP BY 1, 2""",
+    "variables",
+)
 def f3(t):
     return D.corr_pairs(t.variables(), "t", "var", "value", VARS, "gaussian_rank").withColumn("r", r("r"))
 
@@ -271,12 +278,12 @@ def f18b(t):
 
 @query(
     "f18_epps_curve",
-    f"""WITH {_HOURS}, s AS (SELECT unnest([1, 2, 4, 8]) AS step), z AS (SELECT step, ln(click / lag(click) OVER w) AS a, ln(view / lag(view) OVER w) AS b FROM al, s WHERE i % step = 0 WINDOW w AS (PARTITION BY step ORDER BY i))
-    SELECT step, round(sum(a * b) / sqrt(sum(a * a) * sum(b * b)), 6) AS r FROM z GROUP BY 1""",
+    f"""WITH {_HOURS}, s AS (SELECT unnest([1, 2, 4, 8]) AS step), z AS (SELECT step, """ + ", ".join(f"ln({n} / lag({n}) OVER w) AS {n}" for n in TYPES) + """ FROM al, s WHERE i % step = 0 WINDOW w AS (PARTITION BY step ORDER BY i))
+    """ + " UNION ALL ".join(f"SELECT step, '{a}' AS a, '{b}' AS b, round(sum({a} * {b}) / sqrt(sum({a} * {a}) * sum({b} * {b})), 6) AS r FROM z GROUP BY 1" for i, a in enumerate(TYPES) for b in TYPES[i + 1 :]),
     "hourly",
 )
 def f18e(t):
-    return D.epps_curve(_hour_prices(t), "h", "click", "view", [1, 2, 4, 8]).withColumn("r", r("r"))
+    return D.epps_curve(_hour_prices(t), "h", TYPES, [1, 2, 4, 8]).withColumn("r", r("r"))
 
 
 @query(
@@ -375,18 +382,27 @@ def f28(t):
 
 @query(
     "f29_picker_scoreboard",
-    """WITH x AS (SELECT t, var, value, avg(value * value) OVER (PARTITION BY t ORDER BY var ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) / greatest(avg(value * value) OVER (PARTITION BY t ORDER BY var ROWS BETWEEN 19 PRECEDING AND CURRENT ROW), 1e-20) AS ratio FROM variables),
-    p AS (SELECT t, unnest(['loose', 'strict']) AS method, unnest([coalesce(min(var) FILTER (WHERE var >= 20 AND ratio > 1.5), -1), coalesce(min(var) FILTER (WHERE var >= 20 AND ratio > 2.0), -1)]) AS pick FROM x GROUP BY 1),
-    s AS (SELECT t, 10 * log10(greatest(var_pop(value) FILTER (WHERE var BETWEEN 32 AND 51), 1e-20) / greatest(var_pop(value) FILTER (WHERE var BETWEEN 2 AND 26), 1e-20)) AS snr FROM variables GROUP BY 1),
-    e AS (SELECT method, snr, CASE WHEN pick >= 0 THEN (pick - 32) / 10.0 END AS err FROM p JOIN s USING (t))
-    SELECT method, count(*) AS n, round(avg(CASE WHEN abs(err) <= 0.8 THEN 1.0 ELSE 0.0 END), 6) AS share, round(avg(err), 6) AS bias, round(avg(snr), 5) AS snr, round(quantile_cont(abs(err), 0.5), 6) AS median_error FROM e GROUP BY 1""",
+    """WITH two AS (SELECT t, var, unnest(['raw', 'smooth']) AS method, unnest([value, m]) AS a FROM (SELECT t, var, value, avg(value) OVER (PARTITION BY t ORDER BY var ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS m FROM variables)),
+    x AS (SELECT *, avg(a * a) OVER (PARTITION BY method, t ORDER BY var ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) / greatest(avg(a * a) OVER (PARTITION BY method, t ORDER BY var ROWS BETWEEN 19 PRECEDING AND CURRENT ROW), 1e-20) AS ratio FROM two),
+    p AS (SELECT method, t, coalesce(min(var) FILTER (WHERE var >= 20 AND ratio > 1.5), -1) AS pick, 10 * log10(greatest(var_pop(a) FILTER (WHERE var BETWEEN 32 AND 51), 1e-20) / greatest(var_pop(a) FILTER (WHERE var BETWEEN 2 AND 26), 1e-20)) AS snr,
+        CASE WHEN avg(a) FILTER (WHERE var BETWEEN 33 AND 35) - avg(a) FILTER (WHERE var BETWEEN 22 AND 31) > 0 THEN 0 ELSE 1 END AS motion FROM x GROUP BY 1, 2),
+    e AS (SELECT p.*, CASE WHEN pick >= 0 THEN (pick - 32) / 10.0 END AS err, label % 2 AS truth, q.snr AS raw_snr FROM p JOIN (SELECT t, snr FROM p WHERE method = 'raw') q USING (t) JOIN embeddings ON vec_id = t)
+    SELECT method, count(*) AS n, round(avg(CASE WHEN abs(err) <= 0.8 THEN 1.0 ELSE 0.0 END), 6) AS share, round(quantile_cont(err, 0.5) FILTER (WHERE abs(err) <= 0.8), 6) AS bias, round(quantile_cont(abs(err), 0.5), 6) AS median_error,
+        round(avg(CASE WHEN motion = truth THEN 1.0 ELSE 0.0 END), 6) AS polarity, round(quantile_cont(snr - raw_snr, 0.5), 5) AS snr_gain FROM e GROUP BY 1""",
     "variables",
 )
 def f29(t):
-    from strandline.operators.windows import snr_db
+    """Each trace as it is and smoothed; the label's parity stands for the true first motion."""
+    from pyspark.sql import Window
+
+    from strandline.operators.windows import first_motion, snr_db
 
     tr = t.variables().select(F.col("t").alias("trace"), F.col("var").alias("i"), F.col("value").alias("a"))
-    picks = [sta_lta_pick(tr, ["trace"], "i", "a", 5, 20, thr, 20).withColumn("method", F.lit(m)) for m, thr in (("loose", 1.5), ("strict", 2.0))]
-    both = picks[0].unionByName(picks[1]).join(snr_db(tr, ["trace"], "i", "a", F.lit(32), 20, 30, 5), "trace")
-    out = D.picker_scoreboard(both, "method", "pick", F.lit(32), 10.0, 0.8, "snr")
-    return out.select("method", "n", r("share").alias("share"), r("bias").alias("bias"), r("snr", 5).alias("snr"), r("median_error").alias("median_error"))
+    last = Window.partitionBy("trace").orderBy("i").rowsBetween(-2, 0)  # a trace has a fixed number of samples
+    both = tr.select("trace", "i", "a", F.lit("raw").alias("method")).unionByName(tr.select("trace", "i", F.avg("a").over(last).alias("a"), F.lit("smooth").alias("method")))
+    keys = ["method", "trace"]
+    found = sta_lta_pick(both, keys, "i", "a", 5, 20, 1.5, 20).join(snr_db(both, keys, "i", "a", F.lit(32), 20, 30, 5), keys).join(first_motion(both, keys, "i", "a", F.lit(32)), keys)
+    raw_snr = found.where("method = 'raw'").select("trace", F.col("snr").alias("raw_snr"))
+    truth = t.raw("embeddings").select(F.col("vec_id").alias("trace"), (F.col("label") % 2).alias("truth"))
+    out = D.picker_scoreboard(found.join(raw_snr, "trace").join(truth, "trace"), "method", "pick", F.lit(32), 10.0, 0.8, "snr", "raw_snr", "motion", "truth")
+    return out.select("method", "n", *[r(c).alias(c) for c in ("share", "bias", "median_error", "polarity")], r("snr_gain", 5).alias("snr_gain"))

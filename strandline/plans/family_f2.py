@@ -8,6 +8,7 @@ from strandline.operators import dependence as D
 from strandline.operators import gram as G
 from strandline.operators import resample as R
 from strandline.operators.ordering import exact_quantiles
+from strandline.plans.family_c import PRIORITIES
 from strandline.plans.family_f import NAMES, _PAIR_SQL, _WIDE, _pair_rows, r
 from strandline.plans.registry import query
 
@@ -100,13 +101,15 @@ def f24r(t):
     from strandline.operators.joins import align
 
     m = t.monthly()
-    wide = align({n: (m.where(F.col("entity") == p), "d", "value") for n, p in (("x", "1-URGENT"), ("y", "2-HIGH"))}, "d")
+    wide = align({n: (m.where(F.col("entity") == p), "d", "value") for n, p in PRIORITIES.items()}, "d")
     pos = wide.withColumn("_i", F.row_number().over(Window.orderBy("d"))).withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy()))
     lo = F.greatest(F.lit(0), F.ceil((F.col("_i") - 36) / 3))
     hi = F.floor(F.least(F.col("_n") - 36, F.col("_i") - 1) / 3)
     rolled = pos.where(lo <= hi).withColumn("window", F.explode(F.sequence(lo, hi)))
-    out = K.gumbel_grid_fit(K.pseudo_pair(rolled, ["window"], "x", "y"), ["window"], _THETAS)
-    return out.select("window", "n", r("theta", 4).alias("theta"), r("tail").alias("tail"))
+    both = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(a).alias("x"), F.col(b).alias("y")) for i, a in enumerate(NAMES) for b in NAMES[i + 1 :]])
+    keys = ["window", "a", "b"]
+    out = K.gumbel_grid_fit(K.pseudo_pair(rolled.select("window", F.inline(both)), keys, "x", "y"), keys, _THETAS)
+    return out.select(*keys, "n", r("theta", 4).alias("theta"), r("tail").alias("tail"))
 
 
 @query("f24_t_copula_grid_fit")

@@ -166,7 +166,7 @@ def g14t(t):
 
     x = t.ship_all().withColumn("year", F.year("d")).withColumn("month", F.month("d"))
     make = lambda: GBTRegressor(maxIter=5, maxDepth=3, seed=7)
-    return R.time_ordered_cv_ml(x, "year", "price", ["qty", "disc", "tax", "month"], make, 4, 2).withColumn("rmse", r("rmse", 3))
+    return R.time_ordered_cv_ml(x, "year", "price", ["qty", "disc", "tax", "month"], make, 4).withColumn("rmse", r("rmse", 3))
 
 
 @query("g15_seasonal_backtest")

@@ -174,12 +174,12 @@ def h10(t):
 
 @query(
     "h10_percolation_threshold",
-    """WITH de AS (SELECT id, sum(o) AS k, sum(i) AS j FROM (SELECT src AS id, 1 AS o, 0 AS i FROM edges UNION ALL SELECT dst, 0, 1 FROM edges) GROUP BY 1)
-    SELECT count(*) AS nodes, round(avg(k) / avg(j * k), 8) AS directed, round(avg(k + j) / (avg(pow(k + j, 2)) - avg(k + j)), 8) AS undirected FROM de""",
+    f"""WITH {_DEG}
+    SELECT count(*) AS nodes, round(avg(k) / nullif(avg(j * k), 0), 8) AS directed, round(avg(k + j) / (avg(pow(k + j, 2)) - avg(k + j)), 8) AS undirected FROM de""",
     "edges",
 )
 def h10t(t):
-    return G.percolation_threshold(G.degree_stats(t.edges(), "src", "dst")).select("nodes", r("directed", 8).alias("directed"), r("undirected", 8).alias("undirected"))
+    return G.percolation_threshold(G.degree_stats(_named_edges(t), "src", "dst")).select("nodes", r("directed", 8).alias("directed"), r("undirected", 8).alias("undirected"))
 
 
 @query(
@@ -212,11 +212,11 @@ def _supply(t):
 
 @query(
     "h13_cascade_reach",
-    f"""WITH RECURSIVE {_SUPPLY}, re AS (SELECT p_partkey * 4 AS id FROM part WHERE p_brand = 'Brand#7' AND p_size = 7 UNION SELECT dst FROM re JOIN su ON src = id) SELECT id FROM re""",
+    f"""WITH RECURSIVE {_SUPPLY}, re AS (SELECT p_partkey * 4 AS id FROM part WHERE p_partkey % 50 = 7 UNION SELECT dst FROM re JOIN su ON src = id) SELECT id FROM re""",
     "edges",
 )
 def h13(t):
-    seeds = t.raw("part").where("p_brand = 'Brand#7' AND p_size = 7").select((F.col("p_partkey") * 4).alias("id"))
+    seeds = t.raw("part").where("p_partkey % 50 = 7").select((F.col("p_partkey") * 4).alias("id"))
     return G.cascade_reach(_supply(t), seeds, "src", "dst").select("id")
 
 
@@ -224,7 +224,7 @@ def h13(t):
 def h13l(t):
     """Mean loss over thinned copies of the supplier network: balance-weighted customers reached."""
     thin = G.thin_edges(_supply(t), "src", "dst", 0.05, 4)
-    seeds = t.raw("part").where("p_brand = 'Brand#7'").select((F.col("p_partkey") * 4).alias("id")).withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(3))))
+    seeds = t.raw("part").where("p_partkey % 20 = 7").select((F.col("p_partkey") * 4).alias("id")).withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(3))))
     reached = G.cascade_reach(thin, seeds, "src", "dst", ["draw"])
     nodes = t.raw("customer").select((F.col("c_custkey") * 4 + 2).alias("id"), F.greatest("c_acctbal", F.lit(0.0)).alias("w"))
     return G.output_loss(nodes, reached, ["draw"], "w", F.lit(True)).withColumn("loss", r("loss"))
@@ -365,12 +365,12 @@ def cube(t):
 
 @query(
     "i1_check_time_axis",
-    """WITH d AS (SELECT DISTINCT h FROM hourly WHERE entity = 'click'), g AS (SELECT h, lead(h) OVER (ORDER BY h) - h AS gap FROM d)
-    SELECT count(*) AS steps, count(*) FILTER (WHERE gap <> 1) AS irregular, min(h) FILTER (WHERE gap <> 1) AS first_after, count(*) FILTER (WHERE gap <> 1) = 0 AS ok FROM g""",
+    """WITH d AS (SELECT DISTINCT entity, h FROM hourly), g AS (SELECT entity, h, lead(h) OVER (PARTITION BY entity ORDER BY h) - h AS gap FROM d)
+    SELECT entity, count(*) AS steps, count(*) FILTER (WHERE gap <> 1) AS irregular, min(h) FILTER (WHERE gap <> 1) AS first_after, count(*) FILTER (WHERE gap <> 1) = 0 AS ok FROM g GROUP BY 1""",
     "hourly",
 )
 def i1(t):
-    return Q.check_time_axis(t.hourly().where("entity = 'click'"), "h", 1)
+    return Q.check_time_axis(t.hourly(), "h", 1, ["entity"])
 
 
 @query("i2_check_missing", f"WITH {_CUBE} SELECT 'ssrd' AS variable, count(*) - count(ssrd) AS missing, count(*) = count(ssrd) AS ok FROM cu UNION ALL SELECT '2t', count(*) - count(\"2t\"), count(*) = count(\"2t\") FROM cu", "hourly")

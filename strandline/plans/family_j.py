@@ -34,19 +34,18 @@ def j3(t):
     return K.ids_in_all([li.where(F.col("l_returnflag") == f) for f in "RAN"], "l_partkey")
 
 
-@query("j4_except", "SELECT c_custkey FROM customer EXCEPT ALL SELECT DISTINCT o_custkey FROM orders")
+@query("j4_except", "SELECT o_orderkey AS l_orderkey FROM orders EXCEPT ALL SELECT DISTINCT l_orderkey FROM lineitem WHERE l_quantity >= 40")
 def j4(t):
-    done = t.raw("orders").select(F.col("o_custkey").alias("c_custkey")).distinct()
-    return K.left_to_do(t.raw("customer"), done, ["c_custkey"])
+    done = t.raw("lineitem").where("l_quantity >= 40").select("l_orderkey").distinct()
+    return K.left_to_do(t.raw("orders").select(F.col("o_orderkey").alias("l_orderkey")), done, ["l_orderkey"])
 
 
 @query(
     "j5_role_table",
-    """SELECT l_suppkey, CASE min(CASE l_returnflag WHEN 'R' THEN 0 WHEN 'A' THEN 1 ELSE 2 END) WHEN 0 THEN 'copper' WHEN 1 THEN 'case' ELSE 'placebo' END AS role FROM lineitem
-    WHERE l_quantity >= 50 AND l_discount >= 0.1 GROUP BY 1""",
+    """SELECT l_suppkey, CASE min(CASE l_returnflag WHEN 'R' THEN 0 WHEN 'A' THEN 1 ELSE 2 END) WHEN 0 THEN 'copper' WHEN 1 THEN 'case' ELSE 'placebo' END AS role FROM lineitem GROUP BY 1""",
 )
 def j5(t):
-    li = t.raw("lineitem").where("l_quantity >= 50 AND l_discount >= 0.1")
+    li = t.raw("lineitem")
     return K.role_table({n: li.where(F.col("l_returnflag") == f) for n, f in (("copper", "R"), ("case", "A"), ("placebo", "N"))}, "l_suppkey")
 
 

@@ -113,9 +113,9 @@ def test_correlation_partial_and_modes(blocks):
 def test_cleaners_keep_a_correlation_matrix(blocks, method, removed):
     c = np.corrcoef(blocks[0])
     base = L.remove_modes(c, removed)[0]
-    out = L.CLEANERS[method](base, 400, removed)
+    out = L.clean(base, 400, method, removed)
     assert np.allclose(np.diag(out), 1) and np.allclose(out, out.T) and np.linalg.eigvalsh(out).min() > -1e-9
-    scaled = L.CLEANERS[method](base * 9.0, 400, removed)
+    scaled = L.clean(base * 9.0, 400, method, removed)
     assert np.allclose(scaled, out * 9.0)
 
 
@@ -368,3 +368,75 @@ def test_quality_catches_each_broken_copy(spark):
     df = spark.createDataFrame(holes.where(holes.notna(), None).values.tolist(), "h long, c long, `2t` double, ssrd double, ins double")
     bad = {r["check"] for r in quality.run_checks(df, "h", 1, ["c"], "ssrd", "ins", {"ssrd": quality.RANGES["ssrd"]}).collect() if not r["ok"]}
     assert bad == {"missing values"}
+
+
+@pytest.mark.parametrize("modes", [0, 2])
+def test_linear_shrinkage_measures_the_noise_of_the_data(blocks, modes):
+    x, long = blocks
+    got = square(dependence.Correlator(modes=modes, clean="linear_shrinkage").fit(long, "t", "v", "x", range(12)).toPandas())
+    z = (x - x.mean(1)[:, None]) / x.std(1)[:, None]
+    left, u, _ = L.remove_modes(np.corrcoef(x), modes)
+    z = z - u @ (u.T @ z)
+    z = z / z.std(1)[:, None]
+    errors = np.mean([((np.outer(v, v) - left) ** 2).sum() for v in z.T]) / z.shape[1]
+    assert np.allclose(got, L.clean(left, 400, "linear_shrinkage", modes, errors), atol=1e-8)
+
+
+def test_normal_expressions(spark):
+    from statistics import NormalDist
+
+    from strandline.functions.normal import normal_cdf, normal_quantile
+
+    u = [1e-12, 1e-6, 0.02, 0.075, 0.3, 0.5, 0.8, 0.925, 0.999999]
+    x = [-30.0, -8.0, -7.06, -3.3, -0.1, 0.0, 0.7, 5.0, 9.0]
+    rows = spark.createDataFrame([*zip(u, x), (0.0, None), (1.0, None), (None, None)], "u double, x double").select(normal_quantile("u").alias("q"), normal_cdf("x").alias("p")).collect()
+    assert [r["q"] for r in rows[:9]] == pytest.approx([NormalDist().inv_cdf(v) for v in u], abs=1e-12)
+    assert [r["p"] for r in rows[:9]] == pytest.approx([0.5 * math.erfc(-v / math.sqrt(2)) for v in x], abs=1e-14)
+    assert all(r["q"] is None and r["p"] is None for r in rows[9:])
+
+
+def test_null_keys_and_values_keep_their_rows(spark):
+    """One key holds most rows, one is null, and some values are null."""
+    from strandline.operators import aggregate
+
+    rng = np.random.default_rng(2)
+    rows = [(None if i % 11 == 0 else "hot" if i % 10 else "cold", i, None if i % 17 == 3 else float(rng.integers(0, 40))) for i in range(900)]
+    pdf = pd.DataFrame(rows, columns=["k", "t", "x"])
+    df = spark.createDataFrame(rows, "k string, t int, x double")
+    group = pdf.assign(k=pdf.k.fillna("?")).groupby("k").x
+    got = ordering.average_rank(df, ["k"], "x").toPandas().sort_values("t")
+    assert np.allclose(got["rank"].to_numpy(float), group.rank().to_numpy(), equal_nan=True)
+    got = aggregate.median_anomaly(df, ["k"], "x", "a").toPandas().sort_values("t")
+    assert np.allclose(got["a"].to_numpy(float), (pdf.x - group.transform("median")).to_numpy(), equal_nan=True)
+    got = ordering.row_position(df, ["k"], ["t"], (F.col("t") / 100).cast("int")).toPandas().sort_values("t")
+    assert (got["pos"].to_numpy() == group.cumcount().to_numpy() + 1).all()
+    got = ordering.sliced_lag(df, ["k"], ["t"], {"before": "t"}, (F.col("t") / 100).cast("int")).toPandas().sort_values("t")
+    want = pdf.assign(k=pdf.k.fillna("?")).groupby("k").t.shift()
+    assert np.allclose(got["before"].to_numpy(float), want.to_numpy(), equal_nan=True)
+    q = ordering.quantile_columns(df, ["k"], "x", {"m": 0.5}).toPandas().set_index("k")["m"]
+    assert len(q) == 3 and q[q.index.isna()].iloc[0] == group.median()["?"]
+
+
+def test_no_round_or_fold_is_cut(spark):
+    chain = spark.createDataFrame([(i, i + 1) for i in range(12)], "src long, dst long")
+    reach = graph.cascade_reach(chain, spark.createDataFrame([(0,)], "id long"), "src", "dst")
+    assert reach.count() == 13
+    rows = spark.createDataFrame([(y, float(x), 2.0 * x + y % 2) for y in range(2000, 2014) for x in range(9)], "y int, x double, z double")
+    assert regress.time_ordered_cv(rows, F.col("y"), "z", ["x"]).count() == 11
+    rng = np.random.default_rng(1)
+    vec = spark.createDataFrame([(rng.normal(size=3).tolist(),) for _ in range(50)], "vec array<double>")
+    with pytest.raises(RuntimeError):
+        dependence.tyler_corr(vec, "vec", max_iterations=2)
+
+
+def test_vectors_want_each_variable_once(spark):
+    rows = spark.createDataFrame([(1, v, float(v)) for v in (0, 0, 2)] + [(2, v, float(v)) for v in range(3)], "t int, v int, x double")
+    assert [r["t"] for r in G.vectors(rows, ["t"], "v", "x", range(3)).collect()] == [2]
+
+
+def test_a_run_at_the_end_stays_open(spark):
+    from strandline.operators import windows
+
+    rows = spark.createDataFrame([("a", 1, 9.0), ("a", 2, 1.0), ("a", 3, 9.0), ("a", 4, None)], "k string, t int, x double")
+    got = windows.episodes(rows, ["k"], "t", F.col("x") > 5).orderBy("start").collect()
+    assert [(r["start"], r["length"], r["closed"]) for r in got] == [(1, 1, True), (3, 1, False)]
