@@ -42,94 +42,156 @@ def _count_needed(na: Column, nb: Column, percent: int) -> Column:
     return F.greatest(F.ceil((na + nb) * percent / F.lit(100.0 + percent)) - F.greatest(_rest(na, percent), _rest(nb, percent)), F.lit(1))
 
 
-def _close(na: Column, nb: Column, percent: int) -> Column:
-    return (na * 100 >= nb * percent) & (nb * 100 >= na * percent)
+def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by token: those of tokens that two rows have.  Only the last row is held back."""
+    names, held, again = ["token", "row", "n"], None, False
+    for b in batches:
+        if not b.num_rows:
+            continue
+        cols = [b.column(c).to_numpy() for c in names]
+        if held is not None:
+            cols = [np.concatenate([[h], c]) for h, c in zip(held, cols)]
+        same = cols[0][1:] == cols[0][:-1]
+        # the first row here may have a partner in what has been given out; the last one waits
+        keep = np.concatenate([[again], same])[:-1] | same if len(same) else np.zeros(0, bool)
+        again = bool(same[-1]) if len(same) else again
+        yield pa.RecordBatch.from_arrays([pa.array(c[:-1][keep], pa.int32() if i == 2 else pa.int64()) for i, c in enumerate(cols)], names=names)
+        held = [c[-1] for c in cols]
+    if held is not None and again:
+        yield pa.RecordBatch.from_arrays([pa.array([h], pa.int32() if i == 2 else pa.int64()) for i, h in enumerate(held)], names=names)
+
+
+def _hub_pairs(hubs: int, percent: int):
+    """Task function over (token, row, n, component) sorted by token: each row with the first ``hubs`` rows of its token.
+
+    Pairs of one component or of sizes too far apart are left out; equal pairs are counted.  Only the hubs of the
+    current token are held.
+    """
+    names = ["token", "row", "n", "component"]
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [np.empty(0, np.int64)] * 4
+        for b in batches:
+            if not b.num_rows:
+                continue
+            old = len(held[0])
+            token, row, n, component = cols = [np.concatenate([h, b.column(c).to_numpy().astype(np.int64)]) for h, c in zip(held, names)]
+            index = np.arange(len(token))
+            start = np.maximum.accumulate(np.where(np.concatenate([[True], token[1:] != token[:-1]]), index, 0))
+            found = []
+            for j in range(hubs):
+                i = index[(index - start > j) & (index >= old)]
+                hub = start[i] + j
+                ok = (component[hub] != component[i]) & (n[hub] * 100 >= n[i] * percent) & (n[i] * 100 >= n[hub] * percent)
+                found.append(np.stack([row[hub[ok]], row[i[ok]], n[hub[ok]], n[i[ok]]], 1))
+            pairs, counts = np.unique(np.concatenate(found), axis=0, return_counts=True)
+            yield pa.RecordBatch.from_arrays([*(pa.array(pairs[:, k]) for k in range(4)), pa.array(counts.astype(np.int64))], names=["a", "b", "na", "nb", "c"])
+            last = (start == start[-1]) & (index - start < hubs)
+            held = [c[last] for c in cols]
+
+    return run
 
-def _hubs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by token, n, row: those of tokens that two rows have, each with the first row of its token.
 
-    Only the first row of the current token is held.
+def _climb(own: np.ndarray, member: np.ndarray, shared: int, counts: np.ndarray, percent: int, block: int) -> tuple[bool, np.ndarray]:
+    """Go down the tree to ``member``, from the path of the one before it.
+
+    ``shared`` tokens of the path are common, and ``counts`` holds the overlap with ``own`` at each of its nodes visited.  Stops as soon as
+    the overlap so far plus what remains of the shorter set can't reach the need.
     """
-    names = ["token", "row", "n"]
-    held = None  # first row of the last token, and whether it has been given out
+    need = overlap_needed(len(own), len(member), percent)
+    depth = min(shared, len(counts) - 1)
+    counts = counts[: depth + 1]
+    got, seen = int(counts[-1]), [counts]
+    at = int(np.searchsorted(own, member[depth - 1], "right")) if depth else 0
+    while depth < len(member) and got + min(len(member) - depth, len(own) - at) >= need:
+        step = member[depth : depth + block]
+        place = np.searchsorted(own, step)
+        hit = own[np.minimum(place, len(own) - 1)] == step
+        seen.append(got + np.cumsum(hit))
+        got, depth, at = int(seen[-1][-1]), depth + len(step), int(place[-1]) + int(hit[-1])
+    return depth == len(member) and got >= need, np.concatenate(seen)
+
+
+def _common(a: np.ndarray, b: np.ndarray) -> int:
+    m = min(len(a), len(b))
+    differ = np.flatnonzero(a[:m] != b[:m])
+    return int(differ[0]) if len(differ) else m
+
+
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
     for b in batches:
-        if not b.num_rows:
-            continue
-        token, row, n = (b.column(c).to_numpy() for c in names)
-        new = np.concatenate([[held is None or token[0] != held[0]], token[1:] != token[:-1]])
-        first = np.maximum.accumulate(np.where(new, np.arange(len(token)), -1))
-        more = ~new
-        # a token's first row goes out with its second
-        lead = np.flatnonzero(new & np.append(more[1:], False))
-        out = [np.concatenate([x[lead], x[more]]) for x in (token, row, n)]
-        known = first >= 0
-        hub = np.where(known, row[first], held[1] if held else 0)
-        hub_n = np.where(known, n[first], held[2] if held else 0)
-        out += [np.concatenate([row[lead], hub[more]]), np.concatenate([n[lead], hub_n[more]])]
-        if held and not held[3] and not new[0]:
-            out = [np.concatenate([[v], x]) for v, x in zip((held[0], held[1], held[2], held[1], held[2]), out)]
-            held = (*held[:3], True)
-        if first[-1] >= 0:
-            i = first[-1]
-            held = (token[i], row[i], n[i], i < len(token) - 1)
-        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int32() if k in (2, 4) else pa.int64()) for k, x in enumerate(out)], names=["token", "row", "n", "hub", "hub_n"])
+        tokens = b.column("tokens")
+        flat, offsets = tokens.flatten().to_numpy(), tokens.offsets.to_numpy() - tokens.offsets[0].as_py()
+        yield b, [flat[lo:hi] for lo, hi in zip(offsets, offsets[1:])]
 
 
 def _walk(percent: int, block: int = 64):
     """Task function over (a, chunk, b, tokens) sorted by a, chunk, b's absence and tokens.
 
     The first row of a group is the set of ``a``; the sets of its partners follow in the order of a depth-first walk through
-    their prefix tree.  A partner keeps the overlap counted along the path it shares with the one before, and is
-    left as soon as the overlap so far plus what remains of the shorter set can't reach the need; so is the rest of that
-    subtree, without counting again.  Only one path of the tree is held.
+    their prefix tree.  A partner keeps the overlap counted along the path it shares with the one before; a subtree that
+    can't reach the need is left without counting again.  Only one path of the tree is held.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, own, path, counts = None, None, None, None
-        for b in batches:
+        for b, sets in _sets(batches):
             links: tuple[list, list] = ([], [])
-            tokens = b.column("tokens").combine_chunks() if isinstance(b.column("tokens"), pa.ChunkedArray) else b.column("tokens")
-            flat, offsets = tokens.flatten().to_numpy(), tokens.offsets.to_numpy() - tokens.offsets[0].as_py()
-            for i, (a, chunk, partner) in enumerate(zip(b.column("a").to_pylist(), b.column("chunk").to_pylist(), b.column("b").to_pylist())):
-                these = flat[offsets[i] : offsets[i + 1]]
+            for a, chunk, partner, these in zip(b.column("a").to_pylist(), b.column("chunk").to_pylist(), b.column("b").to_pylist(), sets):
                 if partner is None:
                     group, own, path, counts = (a, chunk), these, these[:0], np.zeros(1, np.int64)
                     continue
                 if group != (a, chunk):
                     raise ValueError(f"no set arrived for row {a}")
-                need = overlap_needed(len(own), len(these), percent)
-                m = min(len(counts) - 1, len(these))
-                differ = np.flatnonzero(path[:m] != these[:m])
-                depth = int(differ[0]) if len(differ) else m
-                counts = counts[: depth + 1]
-                got, seen = int(counts[-1]), [counts]
-                at = int(np.searchsorted(own, these[depth - 1], "right")) if depth else 0
-                while depth < len(these) and got + min(len(these) - depth, len(own) - at) >= need:
-                    step = these[depth : depth + block]
-                    place = np.searchsorted(own, step)
-                    hit = own[np.minimum(place, len(own) - 1)] == step
-                    seen.append(got + np.cumsum(hit))
-                    got, depth, at = int(seen[-1][-1]), depth + len(step), int(place[-1]) + int(hit[-1])
-                path, counts = these, np.concatenate(seen)
-                if depth == len(these) and got >= need:
+                linked, counts = _climb(own, these, _common(path, these), counts, percent, block)
+                path = these
+                if linked:
                     links[0].append(a), links[1].append(partner)
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in links], names=["a", "b"])
 
     return run
 
 
-def near_duplicates(docs: DataFrame, *, shingle: int = 4, percent: int = 85, bits: int = 22, hub_chunk: int = 256) -> DataFrame:
+def _probe(percent: int, block: int = 64):
+    """Task function over (tree, chunk, salt, probe, row, tokens) sorted in this order.
+
+    The members of a chunk of a component come first, in the order of their prefix tree, and are held; each probe after them walks
+    the tree until a member links to it, which joins the probe to the component.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, rows, tree, shared = None, [], [], []
+        for b, sets in _sets(batches):
+            links: tuple[list, list] = ([], [])
+            for key, probe, row, these in zip(zip(*(b.column(c).to_pylist() for c in ("tree", "chunk", "salt"))), b.column("probe").to_pylist(), b.column("row").to_pylist(), sets):
+                if key != group:
+                    group, rows, tree, shared = key, [], [], []
+                if not probe:
+                    shared.append(_common(tree[-1], these) if tree else 0)
+                    rows.append(row), tree.append(these)
+                    continue
+                counts = np.zeros(1, np.int64)
+                for member, other, common in zip(rows, tree, shared):
+                    linked, counts = _climb(these, other, common, counts, percent, block)
+                    if linked:
+                        links[0].append(row), links[1].append(member)
+                        break
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in links], names=["a", "b"])
+
+    return run
+
+
+def near_duplicates(docs: DataFrame, *, shingle: int = 4, percent: int = 85, bits: int = 22, hubs: int = 8, rounds: int = 2, hub_chunk: int = 256) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row of ``docs``.
 
     Two documents link when their sets of lower-case (A-Z) word shingles have a Jaccard similarity of ``percent`` / 100.
     Sets are ordered by a global order, less frequent shingles first (frequencies from a sketch of fixed size; any order is exact),
     and linked sets share enough of their first shingles.
 
-    Round one checks each set against one hub per shared shingle, so a group of n near copies costs n
-    checks, and joins what is linked.  Round two takes all remaining pairs of different components that share enough prefix shingles.
-    A pair is checked by walking the prefix tree of all partners of one set.  No pair that could link two components
-    is left out, and pairs inside a component can't change it.
+    The first rounds check each set against a few hubs per shared shingle, other ones in each round, so a group of n near
+    copies costs a multiple of n checks, and join what is linked.  In the last round, each set of a smaller
+    component that shares enough prefix shingles with a larger one walks the prefix tree of the larger one's sets, in chunks,
+    until one links.  No pair that could link two components is left out, and pairs inside a component can't change it.
 
     Equal sets are combined inside each task.  A null or empty text has 0 shingles and no links.  Rows of equal id and text are one
     document; equal ids with different texts are one document with several texts.  A null id is
@@ -175,14 +237,11 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 4, percent: int = 85, bit
 
     found = staged(rows.mapInArrow(prefixes, "token long, row long, n int, doc_id long, leader long"), "prefixes")
     members = found.where("leader IS NOT NULL").select("doc_id", "row", F.col("n").cast("long").alias("n_shingles"), "leader")
-    order = ["token", "n", "row"]
-    postings = found.where("leader IS NULL").select(*order).repartition("token").sortWithinPartitions(*order)
-    shared = staged(postings.mapInArrow(_hubs, "token long, row long, n int, hub long, hub_n int"), "shared")
+    postings = found.where("leader IS NULL").select("token", "row", "n").repartition("token").sortWithinPartitions("token", "row")
+    shared = staged(postings.mapInArrow(_repeated, "token long, row long, n int"), "shared")
 
-    def verified(pairs: DataFrame, name: str) -> DataFrame:
-        """The pairs (a, b) whose whole sets reach the threshold."""
-        pairs = staged(pairs, f"{name}-pairs")
-        some = pairs.select(F.explode(F.array("a", "b")).alias("row"))
+    def whole_sets(some: DataFrame, name: str) -> DataFrame:
+        """(row, tokens) of the rows in ``some``; texts of other rows are dropped where they are read."""
         marks = spark.sparkContext.broadcast(slot_bitmap(some.select(F.xxhash64("row").alias("row")), "row", 22))
 
         def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -197,7 +256,12 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 4, percent: int = 85, bit
 
         whole = rows.where("doc_id IS NOT NULL AND text IS NOT NULL").select("row", F.xxhash64("row").alias("mark"), "text")
         whole = whole.mapInArrow(full, "row long, tokens array<long>").join(some.distinct(), "row", "left_semi").dropDuplicates(["row"])
-        whole = staged(whole, f"{name}-sets")
+        return staged(whole, f"{name}-sets")
+
+    def verified(pairs: DataFrame, name: str) -> DataFrame:
+        """The pairs (a, b) whose whole sets reach the threshold."""
+        pairs = staged(pairs, f"{name}-pairs")
+        whole = whole_sets(pairs.select(F.col("a").alias("row")).unionByName(pairs.select(F.col("b").alias("row"))), name)
         chunks = pairs.groupBy("a").agg(F.ceil(F.count("b") / hub_chunk).alias("chunks"))
         dealt = pairs.join(chunks, "a").withColumn("chunk", F.pmod(F.xxhash64("b"), F.col("chunks")).cast("int"))
         own = dealt.select("a", "chunk").distinct().join(whole, F.col("a") == whole["row"]).select("a", "chunk", F.lit(None).cast("long").alias("b"), "tokens")
@@ -205,23 +269,46 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 4, percent: int = 85, bit
         walk = own.unionByName(other).repartition("a", "chunk").sortWithinPartitions("a", "chunk", F.col("b").isNotNull(), "tokens", "b")
         return staged(walk.mapInArrow(_walk(percent), "a long, b long"), f"{name}-links")
 
-    hubs = shared.where(F.col("hub") != F.col("row")).where(_close(F.col("n"), F.col("hub_n"), percent))
-    hubs = hubs.groupBy(F.col("hub").alias("a"), F.col("row").alias("b")).agg(F.count("token").alias("c"), F.first("n").alias("n"), F.first("hub_n").alias("hub_n"))
-    # a sketchy choice that round two makes good: other shingles of the pair may have other hubs
-    links = verified(hubs.where(F.col("c") * 2 >= _count_needed(F.col("n"), F.col("hub_n"), percent)).select("a", "b"), "hub")
-    joined = staged(connected_components(links, "a", "b"), "joined")
-
-    held = shared.select("token", "row", "n").join(joined.withColumnRenamed("id", "row"), "row", "left").withColumn("component", F.coalesce("component", "row"))
-    held = staged(held, "held")
-    groups = held.groupBy("token", "component").agg(F.min("n").alias("low"), F.max("n").alias("high"))
-    left, right = groups.select("token", *(F.col(c).alias(f"a_{c}") for c in ("component", "low", "high"))), groups.select("token", *(F.col(c).alias(f"b_{c}") for c in ("component", "low", "high")))
-    apart = left.join(right, "token").where("a_component < b_component").where((F.col("a_high") * 100 >= F.col("b_low") * percent) & (F.col("b_high") * 100 >= F.col("a_low") * percent))
-    apart = apart.select("token", "a_component", "b_component")
-    one = held.select("token", F.col("component").alias("a_component"), F.col("row").alias("a"), F.col("n").alias("na"))
-    two = held.select("token", F.col("component").alias("b_component"), F.col("row").alias("b"), F.col("n").alias("nb"))
-    pairs = apart.join(one, ["token", "a_component"]).join(two, ["token", "b_component"]).where(_close(F.col("na"), F.col("nb"), percent))
-    pairs = pairs.groupBy("a", "b").agg(F.count("token").alias("c"), F.first("na").alias("na"), F.first("nb").alias("nb"))
-    more = verified(pairs.where(F.col("c") >= _count_needed(F.col("na"), F.col("nb"), percent)).select("a", "b"), "rest")
+    def labelled(links: DataFrame | None, name: str) -> DataFrame:
+        if links is None:
+            return shared.withColumn("component", F.col("row"))
+        joined = staged(connected_components(links, "a", "b"), f"{name}-joined")
+        return staged(shared.join(joined.withColumnRenamed("id", "row"), "row", "left").withColumn("component", F.coalesce("component", "row")), f"{name}-held")
+
+    links, held = None, labelled(None, "start")
+    for i in range(rounds):
+        dealt = held.select("token", "row", "n", "component").repartition("token").sortWithinPartitions("token", F.xxhash64("row", F.lit(i)), "row")
+        some = dealt.mapInArrow(_hub_pairs(hubs, percent), "a long, b long, na long, nb long, c long").groupBy("a", "b", "na", "nb").agg(F.sum("c").alias("c"))
+        # a sketchy choice that the last round makes good: a pair's other shingles may have other hubs
+        some = some.where(F.col("c") * 2 >= _count_needed(F.col("na"), F.col("nb"), percent)).select("a", "b")
+        new = verified(some, f"hub{i}")
+        links = new if links is None else links.unionByName(new)
+        held = labelled(links, f"hub{i}")
+    if links is None:
+        links = spark.createDataFrame([], "a long, b long")
+    # what may still join two components: rows of the smaller one that share enough prefix shingles with the larger one
+    sizes = held.select("component", "row").distinct().groupBy("component").agg(F.count("row").alias("size"))
+    groups = held.groupBy("token", "component").agg(F.min("n").alias("low"), F.max("n").alias("high")).join(sizes, "component")
+    fields = ("component", "low", "high", "size")
+    left, right = (groups.select("token", *(F.col(c).alias(f"{side}_{c}") for c in fields)) for side in "ab")
+    apart = left.join(right, "token").where(F.struct("a_size", "a_component") < F.struct("b_size", "b_component"))
+    apart = apart.where((F.col("a_high") * 100 >= F.col("b_low") * percent) & (F.col("b_high") * 100 >= F.col("a_low") * percent))
+    probes = apart.join(held.withColumnRenamed("component", "a_component"), ["token", "a_component"])
+    probes = probes.groupBy("row", "n", F.col("b_component").alias("tree"), F.col("b_size").alias("size")).agg(F.count("token").alias("c"), F.min("b_low").alias("low"), F.max("b_high").alias("high"))
+    # the need is lowest at one end of the sizes that a partner may have
+    least, most = F.greatest(F.col("low"), F.ceil(F.col("n") * percent / F.lit(100.0))), F.least(F.col("high"), F.floor(F.col("n") * F.lit(100.0) / percent))
+    need = F.least(_count_needed(F.col("n"), least, percent), _count_needed(F.col("n"), most, percent))
+    probes = staged(probes.where((least <= most) & (F.col("c") >= need)).select("row", "tree", "size"), "probes")
+    trees = probes.groupBy("tree", "size").agg(F.count("row").alias("probes"))
+    trees = trees.select("tree", F.ceil(F.col("size") / hub_chunk).alias("chunks"), F.ceil(F.col("probes") / (4 * hub_chunk)).alias("salts"))
+    stored = held.select(F.col("component").alias("tree"), "row").distinct().join(trees, "tree")
+    whole = whole_sets(probes.select("row").unionByName(stored.select("row")), "probe")
+    spread = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    stored = stored.withColumn("chunk", F.pmod(F.xxhash64("row"), F.col("chunks"))).withColumn("salt", spread("salts")).withColumn("probe", F.lit(False))
+    asking = probes.join(trees, "tree").withColumn("salt", F.pmod(F.xxhash64("row"), F.col("salts"))).withColumn("chunk", spread("chunks")).withColumn("probe", F.lit(True))
+    keys = ["tree", "chunk", "salt", "probe", "row"]
+    walk = stored.select(*keys).unionByName(asking.select(*keys)).join(whole, "row").repartition("tree", "chunk", "salt").sortWithinPartitions("tree", "chunk", "salt", "probe", "tokens", "row")
+    more = staged(walk.mapInArrow(_probe(percent), "a long, b long"), "probe-links")
 
     ids = members.where("doc_id IS NOT NULL").select("row", "doc_id").distinct()
     edges = links.unionByName(more).unionByName(members.where("doc_id IS NOT NULL AND row <> leader").select(F.col("row").alias("a"), F.col("leader").alias("b")))

@@ -270,17 +270,26 @@ def test_jaccard_join_of_chains_and_hubs(spark):
     assert Counter(map(tuple, got)) == want and 6 < len({r[2] for r in want}) < 50
 
 
-def test_hub_rows_over_batch_borders():
+def test_hubs_over_batch_borders():
     rng = np.random.default_rng(4)
-    token = np.sort(rng.integers(0, 12, 40))
-    rows = pd.DataFrame({"token": token, "n": rng.integers(5, 9, 40), "row": rng.permutation(40)}).sort_values(["token", "n", "row"])
+    rows = pd.DataFrame({"token": np.sort(rng.integers(0, 12, 40)), "row": rng.permutation(40), "n": rng.integers(50, 70, 40)})
+    rows["component"] = rows["row"] % 7
     many = rows[rows.token.map(rows.token.value_counts()) > 1]
-    first = many.drop_duplicates("token").set_index("token")
-    want = {(t, r, n, first.row[t], first.n[t]) for t, r, n in zip(many.token, many.row, many.n)}
+    want: Counter = Counter()
+    for _, g in rows.groupby("token"):
+        for k, x in enumerate(g.itertuples()):
+            for h in list(g.itertuples())[: min(k, 3)]:
+                if h.component != x.component and min(h.n, x.n) * 100 >= max(h.n, x.n) * 85:
+                    want[h.row, x.row, h.n, x.n] += 1
     for size in (1, 2, 3, 7, 40):
-        batches = [pa.RecordBatch.from_pandas(rows.iloc[i : i + size].astype({"n": "int32"}), preserve_index=False) for i in range(0, 40, size)]
-        out = [tuple(r.values()) for b in shingle_join._hubs(iter(batches)) for r in b.to_pylist()]
-        assert len(out) == len(want) and set(out) == want
+        batches = [pa.RecordBatch.from_pandas(rows.iloc[i : i + size], preserve_index=False) for i in range(0, 40, size)]
+        out = [(r["token"], r["row"]) for b in shingle_join._repeated(iter(batches)) for r in b.to_pylist()]
+        assert sorted(out) == sorted(zip(many.token, many.row))
+        got: Counter = Counter()
+        for b in shingle_join._hub_pairs(3, 85)(iter(batches)):
+            for r in b.to_pylist():
+                got[r["a"], r["b"], r["na"], r["nb"]] += r["c"]
+        assert got == want and want
 
 
 def test_prefix_tree_walk():
@@ -300,6 +309,26 @@ def test_prefix_tree_walk():
         assert got == want and want
 
 
+def test_probes_of_component_trees():
+    rng = np.random.default_rng(6)
+    base = np.sort(rng.choice(400, 80, replace=False))
+    vary = lambda p: np.union1d(base[rng.random(80) < p], rng.choice(400, rng.integers(0, 6)))
+    rows, want = [], {}
+    for tree in range(6):
+        members = [(100 * tree + i, vary(0.93)) for i in range(12)]
+        probes = [(1000 + 100 * tree + i, vary(rng.choice([0.8, 0.92, 1.0]))) for i in range(12)]
+        for probe, group in ((False, members), (True, probes)):
+            rows += [{"tree": tree, "chunk": 0, "salt": 0, "probe": probe, "row": r, "tokens": x} for r, x in sorted(group, key=lambda y: y[1].tolist())]
+        for r, x in probes:
+            want[r] = {m for m, y in members if 100 * len(np.intersect1d(x, y)) >= 85 * len(np.union1d(x, y))}
+    kind = pa.schema([("tree", pa.int64()), ("chunk", pa.int64()), ("salt", pa.int64()), ("probe", pa.bool_()), ("row", pa.int64()), ("tokens", pa.list_(pa.int64()))])
+    for block in (2, 64):
+        batches = [pa.RecordBatch.from_pylist(rows[i : i + 9], kind) for i in range(0, len(rows), 9)]
+        got = {r["a"]: r["b"] for b in shingle_join._probe(85, block)(iter(batches)) for r in b.to_pylist()}
+        assert set(got) == {r for r, m in want.items() if m} and all(b in want[a] for a, b in got.items())
+    assert 10 < len(got) < len(want)
+
+
 def test_extraction(spark):
     page = (
         "<!DOCTYPE html><html><head><title>t</title><style>p{}</style><script>var a='<p>no</p>';</script></head><body>"
