@@ -42,6 +42,15 @@ def _count_needed(na: Column, nb: Column, percent: int) -> Column:
     return F.greatest(F.ceil((na + nb) * percent / F.lit(100.0 + percent)) - F.greatest(_rest(na, percent), _rest(nb, percent)), F.lit(1))
 
 
+def _least_needed(n: Column, low: Column, high: Column, percent: int) -> Column:
+    """No more than ``_count_needed`` of ``n`` with any size from ``low`` to ``high``.
+
+    Up to ``n`` the need grows with the partner.  Beyond, it is a difference of two rounded numbers whose exact difference falls, so
+    a smaller partner may need one less than the largest one.
+    """
+    return F.greatest(F.least(_count_needed(n, low, percent), _count_needed(n, high, percent) - F.when(high > n, 1).otherwise(0)), F.lit(1))
+
+
 def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows sorted by token: those of tokens that two rows have.  Only the last row is held back."""
     names, held, again = ["token", "row", "n"], None, False
@@ -295,10 +304,8 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 4, percent: int = 85, bit
     apart = apart.where((F.col("a_high") * 100 >= F.col("b_low") * percent) & (F.col("b_high") * 100 >= F.col("a_low") * percent))
     probes = apart.join(held.withColumnRenamed("component", "a_component"), ["token", "a_component"])
     probes = probes.groupBy("row", "n", F.col("b_component").alias("tree"), F.col("b_size").alias("size")).agg(F.count("token").alias("c"), F.min("b_low").alias("low"), F.max("b_high").alias("high"))
-    # the need is lowest at one end of the sizes that a partner may have
     least, most = F.greatest(F.col("low"), F.ceil(F.col("n") * percent / F.lit(100.0))), F.least(F.col("high"), F.floor(F.col("n") * F.lit(100.0) / percent))
-    need = F.least(_count_needed(F.col("n"), least, percent), _count_needed(F.col("n"), most, percent))
-    probes = staged(probes.where((least <= most) & (F.col("c") >= need)).select("row", "tree", "size"), "probes")
+    probes = staged(probes.where((least <= most) & (F.col("c") >= _least_needed(F.col("n"), least, most, percent))).select("row", "tree", "size"), "probes")
     trees = probes.groupBy("tree", "size").agg(F.count("row").alias("probes"))
     trees = trees.select("tree", F.ceil(F.col("size") / hub_chunk).alias("chunks"), F.ceil(F.col("probes") / (4 * hub_chunk)).alias("salts"))
     stored = held.select(F.col("component").alias("tree"), "row").distinct().join(trees, "tree")

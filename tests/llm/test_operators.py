@@ -329,6 +329,17 @@ def test_probes_of_component_trees():
     assert 10 < len(got) < len(want)
 
 
+def test_probes_need_no_more_than_a_partner_of_any_size(spark):
+    percent, rows = 85, []
+    need = lambda a, b: max(1, -(-(a + b) * percent // (100 + percent)) - max(-(-a * percent // 100), -(-b * percent // 100)) + 1)
+    for n in (1, 2, 7, 30, 50, 100, 150):
+        sizes = range(-(-n * percent // 100), n * 100 // percent + 1)
+        rows += [(n, low, high, min(need(n, m) for m in range(low, high + 1))) for low in sizes for high in range(low, sizes[-1] + 1)]
+    got = spark.createDataFrame(rows, "n int, low int, high int, least int").withColumn("got", shingle_join._least_needed(F.col("n"), F.col("low"), F.col("high"), percent))
+    assert got.where("got > least").count() == 0 and got.where("got < least - 1").count() == 0
+    assert (100, 94, 107, 5) in rows and need(100, 107) == need(100, 94) == 6
+
+
 def test_extraction(spark):
     page = (
         "<!DOCTYPE html><html><head><title>t</title><style>p{}</style><script>var a='<p>no</p>';</script></head><body>"
