@@ -385,6 +385,22 @@ def test_subwords_are_lossless_and_varied(spark, docs, empty):
     assert subwords.encode(empty).count() == 0
 
 
+def test_every_occurrence_of_a_word_is_cut_on_its_own():
+    vocabulary, word = subwords.load(), " international"
+    cuts = lambda ids: {tuple(ids[i]) for i in range(len(ids))}
+    got = {n: cuts(subwords.Encoder(vocabulary, 0.1, 1).encode([word] * n, list(range(n)))) for n in (40, 400, 4000)}
+    assert 4 < len(got[40]) < len(got[400]) < len(got[4000])
+    inside = subwords.Encoder(vocabulary, 0.1, 1).encode([word * 400], [3])[0]
+    assert inside != inside[: len(inside) // 400] * 400
+    # kept nodes change nothing
+    rng = random.Random(3)
+    texts = ["".join(rng.choices([word, " the", " Straße", " 漢字", "\n", " x" * 30, " unbelievable"], k=60)) for _ in range(50)] + [""]
+    one, two = (subwords.Encoder(vocabulary, 0.2, 5, least, most) for least, most in ((1, 300_000), (1 << 40, 9)))
+    assert one.encode(texts[:25], list(range(25))) + one.encode(texts[25:], list(range(25, 51))) == two.encode(texts, list(range(51)))
+    assert one.nodes and not two.nodes
+    assert all(vocabulary.decode(x) == t for x, t in zip(two.encode(texts, [None] * 51), texts))
+
+
 def test_segmentation_without_dropout_is_the_models_own():
     vocabulary, sp = subwords.load(), sentencepiece.SentencePieceProcessor(model_file=subwords.MODEL)
     rng = random.Random(2)
