@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandline.llm.batches import fold, mix, pieces
+from strandline.storage import staging_path
 
 _SPACE = 32
 #: Odd multipliers, one for each distance from the predicted character.
@@ -29,7 +30,6 @@ class CharModels:
     histories: list[tuple[np.ndarray, np.ndarray]]
     floor: np.ndarray
     bits: int
-    reject_above: np.ndarray | None = None
 
 
 def _events(tokens: list[str], order: int):
@@ -205,23 +205,22 @@ def _scores(models, most_words: int = 300_000):
                 seen.update(zip(new, range(len(seen), len(seen) + len(new))))
                 scores, lengths = token_scores(m, new)
                 table, sizes = np.concatenate([table, scores]), np.concatenate([sizes, lengths])
-            lang, score, entropy, rejected = [], [], [], []
+            lang, score, entropy = [], [], []
             for words in split:
                 rows = np.fromiter(map(seen.__getitem__, words), np.int64, len(words))
                 n = int(sizes[rows].sum())
                 if not n or not m.languages:
-                    lang.append("und"), score.append(0.0), entropy.append(None), rejected.append(True)
+                    lang.append("und"), score.append(0.0), entropy.append(None)
                     continue
                 h = -table[rows].sum(0) / n
                 best = int(np.argmin(h))
                 lang.append(m.languages[best])
                 score.append(float(1 / np.exp(-12 * (h - h[best])).sum()))
                 entropy.append(float(h[best]))
-                rejected.append(bool(m.reject_above is not None and h[best] > m.reject_above[best]))
             kept = [b.column(x) for x in ("doc_id", "held_out")]
             yield pa.RecordBatch.from_arrays(
-                [*kept, pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(entropy, pa.float64()), pa.array(rejected, pa.bool_())],
-                names=["doc_id", "held_out", "lang_pred", "score", "entropy", "rejected"],
+                [*kept, pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(entropy, pa.float64())],
+                names=["doc_id", "held_out", "lang_pred", "score", "entropy"],
             )
 
     return run
@@ -231,31 +230,29 @@ def classify(docs: DataFrame, models: CharModels) -> DataFrame:
     """Language of each row of (doc_id, held_out, text): the lowest length-normalised cross-entropy.
 
     A null text or one without letters is ``und`` with score 0.  Ties go to the first language in
-    alphabetical order.  ``score`` sets the best entropy against the others'; ``rejected`` marks texts
-    less like their best language than the calibration allows.
+    alphabetical order.  ``score`` sets the best entropy against the others'.
     """
     shared = docs.sparkSession.sparkContext.broadcast(models)  # bounded by languages, orders and bits
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "held_out", "text").mapInArrow(
-        _scores(shared), f"doc_id {kind}, held_out boolean, lang_pred string, score double, entropy double, rejected boolean"
+        _scores(shared), f"doc_id {kind}, held_out boolean, lang_pred string, score double, entropy double"
     )
 
 
-def identify(docs: DataFrame, *, folds: int = 5, held: int = 0, calibration_rows: int = 2000) -> DataFrame:
+def identify(docs: DataFrame, *, folds: int = 5, held: int = 0) -> DataFrame:
     """Learn from the rows outside fold ``held`` and classify all rows.
 
-    The rejection limit of a language is the mean plus four standard deviations of the entropy of its own
-    learned rows, taken from ``calibration_rows`` of them chosen by hash; fewer than 20 give no limit.
+    The rejection limit of a language is the mean plus four standard deviations of the entropy of all its own
+    learned rows that get it; fewer than 20 give no limit.
     Rows with a null id are classified, not learned from.  Columns besides doc_id, text and lang are not looked at.
     """
+    spark = docs.sparkSession
     rows = docs.select("doc_id", "text", "lang", F.coalesce(fold("doc_id", folds) == held, F.lit(True)).alias("held_out"))
-    learn = rows.where("NOT held_out")
-    models = fit(learn)
-    some = learn.where("lang IS NOT NULL AND text IS NOT NULL").withColumn("pick", F.xxhash64("doc_id")).orderBy("pick").limit(calibration_rows)
-    own = some.select(F.struct("doc_id", "lang").alias("doc_id"), "held_out", "text")
-    stats = classify(own, models).where("doc_id.lang = lang_pred").groupBy("lang_pred").agg(F.avg("entropy").alias("m"), F.stddev("entropy").alias("s"), F.count("entropy").alias("n")).collect()
-    models.reject_above = np.full(len(models.languages), np.inf)
-    for r in stats:
-        if r["n"] >= 20:
-            models.reject_above[models.languages.index(r["lang_pred"])] = r["m"] + 4 * r["s"]
-    return classify(rows, models)
+    models = fit(rows.where("NOT held_out"))
+    path = staging_path(spark, "entropies")
+    classify(rows.select(F.struct("doc_id", "lang").alias("doc_id"), "held_out", "text"), models).write.parquet(path)
+    scored = spark.read.parquet(path)
+    stats = scored.where("NOT held_out AND doc_id.lang = lang_pred").groupBy("lang_pred").agg(F.avg("entropy").alias("m"), F.stddev("entropy").alias("s"), F.count("entropy").alias("n"))
+    limits = [F.when(F.col("lang_pred") == r["lang_pred"], r["m"] + 4 * r["s"]) for r in stats.where("n >= 20").collect()]  # a row for each language
+    rejected = F.coalesce(F.col("entropy") > F.coalesce(*limits, F.lit(float("inf"))), F.lit(True))
+    return scored.select("doc_id.doc_id", "held_out", "lang_pred", "score", "entropy", rejected.alias("rejected"))

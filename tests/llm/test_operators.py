@@ -115,6 +115,15 @@ def test_language(spark, docs, empty):
     assert language_id.identify(empty).count() == 0
 
 
+def test_a_rare_language_has_a_rejection_limit(spark):
+    rng = random.Random(4)
+    text = lambda letters: " ".join("".join(rng.choices(letters, weights=range(1, 40, 5)[: len(letters)], k=6)) for _ in range(40))
+    rows = [(i, text("abcdefgh"), "en") for i in range(4000)] + [(4000 + i, text("stuvwxyz"), "xx") for i in range(30)]
+    rows += [(None, " ".join("".join(rng.choices("stuv", k=9)) for _ in range(40)), None)]
+    out = language_id.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string")).where("lang_pred = 'xx'").collect()
+    assert len(out) == 31 and [r["rejected"] for r in out if r["doc_id"] is None] == [True]
+
+
 def test_language_models_are_distributions(spark):
     """After any history, the learned characters and the floor for others add up to about one."""
     text = " ".join(random.Random(1).choices(["abba", "baba", "aab", "bab", "abc"], k=400))
