@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.llm import decontamination, extraction, language_id, quality_classifier, quality_rules, sharding, shingle_join, substrings, subwords, toxicity
+from strandline.llm import decontamination, extraction, language_id, quality_classifier, quality_rules, sharding, shingle_join, substrings, subwords, toxicity, whitening
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -102,3 +102,9 @@ def op10_substring_dedup(spark, sf_dir):
 @query("op6_ngram_jaccard")
 def op6_ngram_jaccard(spark, sf_dir):
     return shingle_join.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
+@query("op11_embedding_whitening")
+def op11_embedding_whitening(spark, sf_dir):
+    out = whitening.whiten(_table(spark, sf_dir, "embeddings"), components=16)
+    return out.withColumn("deviation", F.col("deviation").cast("long"))
