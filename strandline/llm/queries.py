@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.llm import decontamination, extraction, language_id, quality_classifier, quality_rules, sharding, shingle_join, substrings, subwords, toxicity, whitening
+from strandline.llm import decontamination, extraction, language_id, quality_classifier, quality_rules, sharding, shingle_join, spelling, substrings, subwords, toxicity, whitening
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -108,3 +108,8 @@ def op6_ngram_jaccard(spark, sf_dir):
 def op11_embedding_whitening(spark, sf_dir):
     out = whitening.whiten(_table(spark, sf_dir, "embeddings"), components=16)
     return out.withColumn("deviation", F.col("deviation").cast("long"))
+
+
+@query("op12_spelling_variants")
+def op12_spelling_variants(spark, sf_dir):
+    return spelling.spelling_groups(_table(spark, sf_dir, "documents"))

@@ -113,7 +113,7 @@ def refine(a: np.ndarray, x: np.ndarray, rounds: int = 12) -> tuple[np.ndarray,
     a, x = a.astype(np.longdouble), x.astype(np.longdouble)
     eye, size = np.eye(len(a), dtype=np.longdouble), np.sqrt((a * a).sum())
     best = np.inf
-    for _ in range(rounds):
+    for at in range(rounds):
         r, s = eye - x.T @ x, x.T @ (a @ x)
         s = (s + s.T) / 2
         w = np.diag(s) / (1 - np.diag(r))
@@ -126,7 +126,7 @@ def refine(a: np.ndarray, x: np.ndarray, rounds: int = 12) -> tuple[np.ndarray,
         order = np.argsort(-w, kind="stable")
         x, w = x[:, order], w[order]
         change = float(np.abs(e).max())
-        if change < 1e-18 or (change < 1e-14 and change >= best):
+        if at == rounds - 1 or change < 1e-18 or (change < 1e-14 and change >= best):
             break
         best = change
         starts = np.flatnonzero(np.concatenate([[True], w[:-1] - w[1:] > error]))
