@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.llm import decontamination, extraction, language_id, quality_classifier, quality_rules, sharding, shingle_join, spelling, substrings, subwords, toxicity, whitening
+from strandline.llm import decontamination, extraction, language_id, pitman_yor, quality_classifier, quality_rules, sharding, shingle_join, spelling, substrings, subwords, toxicity, whitening
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -113,3 +113,8 @@ def op11_embedding_whitening(spark, sf_dir):
 @query("op12_spelling_variants")
 def op12_spelling_variants(spark, sf_dir):
     return spelling.spelling_groups(_table(spark, sf_dir, "documents"))
+
+
+@query("op13_lm_scoring")
+def op13_lm_scoring(spark, sf_dir):
+    return pitman_yor.score_texts(_table(spark, sf_dir, "documents"))
