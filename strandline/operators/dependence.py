@@ -21,6 +21,7 @@ from strandline.functions.normal import normal_quantile
 from strandline.operators import gram as G
 from strandline.operators.ordering import default_slices, join_on, quantile_columns, slice_values, sliced_lag, value_ranks
 from strandline.operators.windows import autocorr, effective_n_pair
+from strandline.storage import staged
 
 
 # ---- correlation matrices -------------------------------------------------------------
@@ -58,13 +59,16 @@ def signed_pair_sums(
 
     u and v are among ``w`` (row count), ``wx``, ``wy``, ``wxy``.  Pairs split exactly into
     those of one x slice, those of one y slice but different x slices, and those of
-    different slices both ways, which a slice-by-slice table of sums settles.
+    different slices both ways.  The last are counted by halving the x slices again and again: at each level the
+    left halves' sums below and above a y slice meet the right halves' sums on it, so a window holds one row per y
+    slice and no task holds the table of slice pairs.
     """
     keys = list(keys)
     rows = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(*keys, x, y).agg(F.count(F.lit(1)).cast("double").alias("w"))
-    slices = slices or default_slices(df)  # the table of slice pairs is one group per key
-    rows = slice_values(slice_values(rows, keys, x, "_bx", slices, True), keys, y, "_by", slices, True)
+    slices = slices or default_slices(df)
+    rows = slice_values(slice_values(staged(rows, "pairs"), keys, x, "_bx", slices, True), keys, y, "_by", slices, True)
     rows = rows.withColumn("wx", F.col("w") * F.col(x)).withColumn("wy", F.col("w") * F.col(y)).withColumn("wxy", F.col("wx") * F.col(y))
+    rows = staged(rows, "sliced")
     names = [f"p{i}" for i in range(len(products))]
     used = sorted({c for p in products for c in p})
     schema = ", ".join([f"{k} {df.schema[k].dataType.simpleString()}" for k in keys] + [f"{n} double" for n in names])
@@ -82,11 +86,29 @@ def signed_pair_sums(
     parts = [
         same_x.groupBy(*keys, "_bx").applyInPandas(counter(x, y, len(keys)), schema),
         same_y.groupBy(*keys, "_by").applyInPandas(counter("_bx", y, len(keys)), schema),
-        cells.groupBy(*keys).applyInPandas(counter("_bx", "_by", len(keys)), schema),
+        _halved(cells, keys, products, names),
     ]
     return reduce(DataFrame.unionByName, parts).groupBy(*keys).agg(*[F.sum(n).alias(n) for n in names])
 
 
+def _halved(cells: DataFrame, keys: list[str], products: Sequence[tuple[str, str]], names: list[str]) -> DataFrame:
+    """Signed sums over pairs of cells that differ in both slices; a pair is met at the level where its x slices part."""
+    bits = F.length(F.bin(F.col("_bx")))  # levels that a slice number takes part in; beyond, all are on the left
+    top = cells.groupBy(*keys).agg(F.max(bits).alias("_top"))
+    level = join_on(cells, top, keys).withColumn("_level", F.explode(F.sequence(F.lit(0), F.col("_top") - 1)))
+    at = F.call_function("shiftright", F.col("_bx"), F.col("_level"))
+    right = at % 2 == 1
+    lefts, rights = sorted({u for u, _ in products}), sorted({v for _, v in products})
+    sums = level.groupBy(*keys, "_level", F.floor(at / 2).alias("_node"), "_by").agg(
+        *[F.sum(F.when(~right, F.col(u)).otherwise(0.0)).alias(f"l_{u}") for u in lefts], *[F.sum(F.when(right, F.col(v)).otherwise(0.0)).alias(f"r_{v}") for v in rights]
+    )
+    node = Window.partitionBy(*keys, "_level", "_node")
+    below = node.orderBy("_by").rowsBetween(Window.unboundedPreceding, -1)
+    signed = {u: F.coalesce(F.sum(f"l_{u}").over(below), F.lit(0.0)) * 2 + F.col(f"l_{u}") - F.sum(f"l_{u}").over(node) for u in lefts}
+    met = sums.select(*keys, *[(signed[u] * F.col(f"r_{v}")).alias(n) for n, (u, v) in zip(names, products)])
+    return met.groupBy(*keys).agg(*[F.sum(n).alias(n) for n in names])
+
+
 def _tied_pairs(df: DataFrame, keys: list[str], x: str, out: str) -> DataFrame:
     c = df.groupBy(*keys, x).agg(F.count(F.lit(1)).cast("double").alias("_c"))
     return c.groupBy(*keys).agg((F.sum(F.col("_c") * (F.col("_c") - 1)) / 2).alias(out), F.sum("_c").alias(f"{out}_n"))
@@ -95,9 +117,9 @@ def _tied_pairs(df: DataFrame, keys: list[str], x: str, out: str) -> DataFrame:
 def kendall(df: DataFrame, keys: Sequence[str], x: str, y: str, slices: int | None = None) -> DataFrame:
     """tau-b and the correlation it implies for elliptical data, per key; exact, O(n log n)."""
     keys = list(keys)
-    both = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*keys, x, y)
+    both = staged(df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*keys, x, y), "both")
     s = signed_pair_sums(both, keys, x, y, [("w", "w")], slices)
-    full = s.join(_tied_pairs(both, keys, x, "_tx"), keys).join(_tied_pairs(both, keys, y, "_ty"), keys)
+    full = join_on(join_on(s, _tied_pairs(both, keys, x, "_tx"), keys), _tied_pairs(both, keys, y, "_ty"), keys)
     n0 = F.col("_tx_n") * (F.col("_tx_n") - 1) / 2
     tau = F.try_divide(F.col("p0"), F.sqrt((n0 - F.col("_tx")) * (n0 - F.col("_ty"))))
     return full.select(*keys, F.col("_tx_n").cast("long").alias("n"), tau.alias("tau"), F.sin(tau * (np.pi / 2)).alias("r"))
@@ -110,9 +132,10 @@ def distance_corr(df: DataFrame, keys: Sequence[str], x: str, y: str, slices: in
     distance products is a signed pair sum.  Values are centred first for accuracy.
     """
     keys = list(keys)
-    both = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*keys, F.col(x).cast("double").alias("_x0"), F.col(y).cast("double").alias("_y0"))
+    both = staged(df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*keys, F.col(x).cast("double").alias("_x0"), F.col(y).cast("double").alias("_y0")), "values")
     mean = both.groupBy(*keys).agg(F.avg("_x0").alias("_mx"), F.avg("_y0").alias("_my"))
-    both = both.join(mean, keys).select(*keys, (F.col("_x0") - F.col("_mx")).alias("x"), (F.col("_y0") - F.col("_my")).alias("y"))
+    both = join_on(both, mean, keys).select(*keys, (F.col("_x0") - F.col("_mx")).alias("x"), (F.col("_y0") - F.col("_my")).alias("y"))
+    both = staged(both, "both")
     d = signed_pair_sums(both, keys, "x", "y", [("w", "wxy"), ("wxy", "w"), ("wx", "wy"), ("wy", "wx")], slices)
     cross = d.select(*keys, ((F.col("p0") + F.col("p1") - F.col("p2") - F.col("p3")) * 2).alias("_d"))
 
@@ -123,11 +146,12 @@ def distance_corr(df: DataFrame, keys: Sequence[str], x: str, y: str, slices: in
         above_s = F.col("s_all") - F.col("s_below") - v * F.col("n_eq")
         return ranks.select(*keys, c, (v * F.col("n_below") - F.col("s_below") + above_s - v * above_n).alias(out))
 
-    a = both.join(row_sums("x", "_a"), [*keys, "x"]).join(row_sums("y", "_b"), [*keys, "y"])
+    a = join_on(join_on(both, row_sums("x", "_a"), [*keys, "x"]), row_sums("y", "_b"), [*keys, "y"])
     stats = a.groupBy(*keys).agg(
         F.count(F.lit(1)).cast("double").alias("_n"), F.sum("_a").alias("_sa"), F.sum("_b").alias("_sb"), F.sum(F.col("_a") * F.col("_b")).alias("_ab"),
         F.sum(F.col("_a") * F.col("_a")).alias("_aa"), F.sum(F.col("_b") * F.col("_b")).alias("_bb"), F.var_pop("x").alias("_vx"), F.var_pop("y").alias("_vy"),
-    ).join(cross, keys)
+    )
+    stats = join_on(stats, cross, keys)
     n = F.col("_n")
     grand = lambda u, v: F.col(u) * F.col(v) / (n * n * n * n)
     rows = lambda c: F.col(c) * 2 / (n * n * n)

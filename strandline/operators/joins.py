@@ -1,4 +1,4 @@
-"""Joins: calendar alignment, as-of, intervals, nearest neighbour, lookups."""
+"""Joins: calendar alignment, as-of, intervals, lookups (nearest neighbours are in ``spatial``)."""
 
 from __future__ import annotations
 
@@ -8,7 +8,6 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandline.functions import columns as C
 from strandline.operators.ordering import carry_last
 
 
@@ -97,55 +96,6 @@ def circular_day_pool(df: DataFrame, keys: Sequence[str], doy: str, x: str, half
     )
 
 
-def _on_sphere(df: DataFrame, lat: str, lon: str) -> DataFrame:
-    phi, lam = F.radians(lat), F.radians(lon)
-    return df.withColumn("_x", F.cos(phi) * F.cos(lam)).withColumn("_y", F.cos(phi) * F.sin(lam)).withColumn("_z", F.sin(phi))
-
-
-def _cell(size: float, shift: Sequence[Column | int] = (0, 0, 0)) -> list[Column]:
-    return [(F.floor(F.col(c) / size) + s).alias(f"_c{c}") for c, s in zip(("_x", "_y", "_z"), shift)]
-
-
-def nearest(
-    points: DataFrame, grid: DataFrame, pid: str, gid: str, lat: str = "lat", lon: str = "lon",
-    group: str | None = None, sizes: Sequence[float] = (0.02, 0.16, 2.1),
-) -> DataFrame:
-    """Nearest grid point of each point: ``pid, gid, km``; ties go to the smaller id.
-
-    Positions live in cubes on the unit sphere.  At each cube size the grid is filed under
-    its 27 neighbour cubes and joined by cube; a hit closer than one cube is final, the
-    rest go on to larger cubes, the last of which spans the sphere.  With ``group`` the
-    two sides must differ in that column.
-    """
-    extra = [group] if group else []
-    todo = _on_sphere(points.select(pid, lat, lon, *extra), lat, lon)
-    base = _on_sphere(
-        grid.select(F.col(gid).alias("_gid"), F.col(lat).alias("_glat"), F.col(lon).alias("_glon"), *[F.col(g).alias("_group") for g in extra]),
-        "_glat", "_glon",
-    )
-    km = C.haversine_km(lat, lon, "_glat", "_glon")
-    found = []
-    step = F.explode(F.sequence(F.lit(-1), F.lit(1)))
-    for i, size in enumerate(sizes):
-        last = i == len(sizes) - 1
-        filed = base.withColumn("_i", step).withColumn("_j", step).withColumn("_k", step)
-        filed = filed.select("_gid", "_glat", "_glon", *(["_group"] if group else []), *_cell(size, [F.col("_i"), F.col("_j"), F.col("_k")]))
-        cells = ["_c_x", "_c_y", "_c_z"]
-        here = todo.select("*", *_cell(size))
-        hits = here.join(filed, cells)
-        if group:
-            hits = hits.where(F.col(group) != F.col("_group"))
-        best = hits.groupBy(pid).agg(F.min(F.struct(F.round(km, 9).alias("km"), F.col("_gid").alias("gid"))).alias("_b"))
-        # inside one cube edge no unseen point can be nearer (chord <= arc)
-        reach = 2 * C.EARTH_RADIUS_KM * 0.999 * min(size / 2, 1.0)
-        done = best.select(pid, F.col("_b.gid").alias(gid), F.col("_b.km").alias("km"))
-        if not last:
-            done = done.where(F.col("km") <= reach)
-            todo = todo.join(done.select(pid), pid, "left_anti")
-        found.append(done)
-    return reduce(DataFrame.unionByName, found)
-
-
 def semi_filter(df: DataFrame, *others: DataFrame, key: str) -> DataFrame:
     """Rows whose key is present in every other table."""
     return reduce(lambda acc, o: acc.join(o.select(key), key, "left_semi"), others, df)

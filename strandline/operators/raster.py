@@ -345,7 +345,7 @@ def block_variance(pixels: DataFrame, scene: str, x: str, k: int, shape: tuple[i
 
 def grid_profile(points: DataFrame, grid: DataFrame, pid: str, gid: str, x: str, lat: str = "lat", lon: str = "lon") -> DataFrame:
     """Each point's nearest grid site and that site's percentile among all sites."""
-    from strandline.operators.joins import nearest
+    from strandline.operators.spatial import nearest
     from strandline.operators.ordering import value_ranks
 
     ranks = value_ranks(grid, [], x).select(x, (F.col("n_below") / F.col("n_all") * 100).alias("percentile"))

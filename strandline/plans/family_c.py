@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from strandline.functions import columns as C
 from strandline.operators import joins as J
 from strandline.operators.ordering import sliced_lag
+from strandline.operators.spatial import nearest
 from strandline.plans.registry import query
 from strandline.plans.tables import keep
 
@@ -135,7 +136,7 @@ _HAV = """12742.0 * asin(sqrt(least(1.0, pow(sin(radians(g.lat - p.lat) / 2), 2)
 )
 def c7(t):
     points = _located(t, "customer", "c_custkey", "c_nationkey").drop("site")
-    return J.nearest(points, t.sites(), "c_custkey", "site").select("c_custkey", "site", r("km", 4).alias("km"))
+    return nearest(points, t.sites(), "c_custkey", "site").select("c_custkey", "site", r("km", 4).alias("km"))
 
 
 @query(
@@ -147,7 +148,7 @@ def c7(t):
 )
 def c8(t):
     p = _located(t, "supplier", "s_suppkey", "s_nationkey")
-    return J.nearest(p, p.withColumnRenamed("s_suppkey", "other"), "s_suppkey", "other", group="region").select(
+    return nearest(p, p.withColumnRenamed("s_suppkey", "other"), "s_suppkey", "other", group="region").select(
         "s_suppkey", r("km", 4).alias("km")
     )
 

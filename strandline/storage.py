@@ -35,3 +35,10 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 def staging_path(spark: SparkSession, name: str) -> str:
     """Fresh path below the shared folder, so that two runs never meet."""
     return f"{shared_dir(spark)}/staged/{name}-{uuid.uuid4().hex}"
+
+
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """Write a table that several branches read to the shared folder, and read it from there."""
+    path = staging_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
