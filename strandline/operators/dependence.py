@@ -19,7 +19,7 @@ from strandline.functions import columns as C
 from strandline.functions import linalg as L
 from strandline.functions.normal import normal_quantile
 from strandline.operators import gram as G
-from strandline.operators.ordering import default_slices, join_on, quantile_columns, slice_values, sliced_lag, value_ranks
+from strandline.operators.ordering import cut, default_slices, join_on, quantile_columns, slice_values, sliced_lag, value_ranks
 from strandline.operators.windows import autocorr, effective_n_pair
 from strandline.storage import staged
 
@@ -567,15 +567,15 @@ def epps_curve(wide: DataFrame, t: str, assets: Sequence[str], steps: Sequence[i
     return returns.groupBy("step").agg(F.array(*rows).alias("_rows")).select("step", F.inline("_rows"))
 
 
-def hayashi_yoshida(ticks: DataFrame, asset: str, sec: str, price: str, assets: Sequence[str], width: float) -> DataFrame:
+def hayashi_yoshida(ticks: DataFrame, asset: str, sec: str, price: str, assets: Sequence[str]) -> DataFrame:
     """Covariance from irregular ticks: return products over overlapping intervals, all asset pairs.
 
     The returns of another asset that overlap one interval add up to its log price at the
     first tick at or after the end minus that at the last tick at or before the start.  Each
-    tick looks up those prices of every asset in its time slice of ``width`` seconds; what
-    crosses a slice comes from a table with one row per slice.  No pair of intervals is formed.
+    tick looks up those prices of every asset in its time slice (slices hold about the same number
+    of ticks, planned from a quantile sketch); what crosses a slice comes from a table with one row per slice.  No pair of intervals is formed.
     """
-    t = ticks.select(F.col(asset).alias("asset"), F.col(sec).alias("sec"), F.log(price).alias("lp"), F.floor(F.col(sec) / width).alias("_slice"))
+    t = cut(ticks.select(F.col(asset).alias("asset"), F.col(sec).alias("sec"), F.log(price).alias("lp")), [], ["sec"], None)
     of = lambda a: F.when(F.col("asset") == a, F.struct(F.col("lp").alias("v")))
     ends = t.groupBy("_slice").agg(
         *[F.max_by(of(a), F.when(F.col("asset") == a, F.col("sec"))).alias(f"_l{k}") for k, a in enumerate(assets)],

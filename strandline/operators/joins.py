@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandline.operators.ordering import carry_last
+from strandline.operators.ordering import carry_last, join_on, locate, planned_edges
+from strandline.storage import staged
 
 
 def align(series: dict[str, tuple[DataFrame, str, str]], t: str = "t", how: str = "inner") -> DataFrame:
@@ -47,37 +48,54 @@ def _asof(left, right, keys, t, cols, slice_by, forward, tie) -> DataFrame:
     return out.where("_row IS NOT NULL").select("_row.*", *[F.col("_hit")[c].alias(c) for c in cols])
 
 
-def asof_last(left, right, keys, t, cols, slice_by: Column, tie: Sequence[str] = ()) -> DataFrame:
+def asof_last(left, right, keys, t, cols, slice_by: Column | None = None, tie: Sequence[str] = ()) -> DataFrame:
     """Last right row at or before each left row.
 
-    Union and carry: one sort per time slice, no range join; a hot key is cut by time.
+    Union and carry: one sort per time slice, no range join.  Slices are equally full ranges of a key's time,
+    planned from a quantile sketch of both sides unless ``slice_by`` is given.
     """
     return _asof(left, right, list(keys), t, list(cols), slice_by, True, tie)
 
 
-def asof_next(left, right, keys, t, cols, slice_by: Column, tie: Sequence[str] = ()) -> DataFrame:
+def asof_next(left, right, keys, t, cols, slice_by: Column | None = None, tie: Sequence[str] = ()) -> DataFrame:
     """First right row at or after each left row."""
     return _asof(left, right, list(keys), t, list(cols), slice_by, False, tie)
 
 
-def interval_overlap(a: DataFrame, b: DataFrame, keys: Sequence[str], start: str, end: str, width: float) -> DataFrame:
-    """All pairs of half-open intervals (numeric bounds) that overlap; columns ``a_*``, ``b_*``.
+ENDPOINTS = 512  # starts and ends that a planned range holds about
 
-    Each interval is filed under the time buckets it touches; a pair is kept only in the
-    bucket where the later one starts, so it appears once.
+
+def interval_overlap(a: DataFrame, b: DataFrame, keys: Sequence[str], start: str, end: str) -> DataFrame:
+    """All pairs of half-open intervals (numeric or time bounds) that overlap; columns ``a_*``, ``b_*``.
+
+    The time of each key is cut into ranges with about the same number of endpoints.  Every interval is filed once under the
+    range where it starts, and under all ranges it touches; a pair meets where the later one starts, so it
+    appears once, and intervals that merely pass through a range together aren't compared there.
     """
-    def filed(df: DataFrame, side: str) -> DataFrame:
-        ren = df.withColumnsRenamed({c: f"{side}_{c}" for c in df.columns if c not in keys})
-        first, last = F.floor(F.col(f"{side}_{start}") / width), F.floor(F.col(f"{side}_{end}") / width)
-        return ren.withColumn("_bucket", F.explode(F.sequence(first, last)))
-
-    pairs = filed(a, "a").join(filed(b, "b"), [*keys, "_bucket"])
-    later = F.greatest(F.col(f"a_{start}"), F.col(f"b_{start}"))
-    return pairs.where(
-        (F.col(f"a_{start}") < F.col(f"b_{end}"))
-        & (F.col(f"b_{start}") < F.col(f"a_{end}"))
-        & (F.col("_bucket") == F.floor(later / width))
-    ).drop("_bucket")
+    keys = list(keys)
+    sides = {}
+    for side, df in (("a", a), ("b", b)):
+        valid = df.where(F.col(start) < F.col(end)).withColumnsRenamed({c: f"{side}_{c}" for c in df.columns if c not in keys})
+        sides[side] = staged(valid, f"intervals-{side}")  # read three times
+    bounds = [sides[s].select(*keys, F.explode(F.array(f"{s}_{start}", f"{s}_{end}")).alias("_x")) for s in sides]
+    points = bounds[0].unionByName(bounds[1])
+    edges = planned_edges(points, keys, "_x", rows=ENDPOINTS)
+
+    def place(df: DataFrame, x: str, name: str) -> DataFrame:
+        out = locate(df, keys, x, name, edges)
+        return out if ranks is None else join_on(out.withColumnRenamed(name, "_range"), ranks, [*keys, "_range"]).withColumnRenamed("_rank", name).drop("_range")
+
+    ranks = None
+    if len(edges) > 1:  # number the ranges of a key without gaps
+        used = locate(points, keys, "_x", "_range", edges).select(*keys, "_range").distinct()
+        ranks = staged(used.withColumn("_rank", F.row_number().over(Window.partitionBy(*keys).orderBy("_range"))), "ranges")
+    placed = {s: place(place(df, f"{s}_{start}", "_first"), f"{s}_{end}", "_last") for s, df in sides.items()}
+    starts = {s: df.withColumnRenamed("_first", "_at").drop("_last") for s, df in placed.items()}
+    touched = {s: df.withColumn("_at", F.explode(F.sequence("_first", "_last"))).drop("_first", "_last") for s, df in placed.items()}
+    s = {side: F.col(f"{side}_{start}") for side in sides}
+    later_a = join_on(starts["a"], touched["b"], [*keys, "_at"]).where((s["b"] <= s["a"]) & (s["a"] < F.col(f"b_{end}")))
+    later_b = join_on(starts["b"], touched["a"], [*keys, "_at"]).where((s["a"] < s["b"]) & (s["b"] < F.col(f"a_{end}")))
+    return later_a.unionByName(later_b).drop("_at")
 
 
 def circular_day_pool(df: DataFrame, keys: Sequence[str], doy: str, x: str, half: int = 30, days: int = 365) -> DataFrame:

@@ -9,12 +9,16 @@ slice, and carry what crosses a slice border in a table with one row per slice.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 
-FANOUT = 64
+from strandline.storage import staged
+
+FANOUT, WIDE = 64, 256
 
 
 def default_slices(df: DataFrame) -> int:
@@ -60,6 +64,54 @@ def slice_values(df: DataFrame, keys: Sequence[str], x: str, name: str, slices:
     return out
 
 
+def planned_edges(df: DataFrame, keys: Sequence[str], x: str, slices: int | None = None, rows: int | None = None) -> list[DataFrame | list]:
+    """Edges of about ``slices`` equally full ranges of ``x`` inside each key, or of ranges of about ``rows`` rows.
+
+    They come from quantile sketches: a table of up to 256 edges per key, and one for each further level of 64.  The tables are written to the
+    shared folder, so all branches of a plan (and recomputed tasks) cut at the same places.  Without keys the first level is a list of at most 255 values.
+    """
+    keys, name = list(keys), "_range"
+    fan, out, edges = max(4, min(WIDE, slices or WIDE)), df.select(*keys, x), []
+    while not edges or WIDE * FANOUT ** (len(edges) - 1) < slices:
+        sketch = F.percentile_approx(x, [i / fan for i in range(1, fan)], 1000)
+        table = out.groupBy(*keys, *([name] if edges else [])).agg(F.array_distinct(sketch).alias("_edges"), F.count(x).alias("_n"))
+        if keys or edges:
+            edges.append(staged(table, "edges"))
+            most = edges[0].agg(F.max("_n")).first()[0] if rows and len(edges) == 1 else None
+        else:
+            first = table.first()
+            edges.append(first["_edges"] or [])
+            most = first["_n"]
+        if slices is None:
+            slices = math.ceil((most or 0) / rows)
+        fan, out = FANOUT, _locate_level(out, keys, x, name, edges[-1], len(edges) > 1)
+    return [e if isinstance(e, list) else e.drop("_n") for e in edges]
+
+
+def _locate_level(df: DataFrame, keys: list[str], x: str, name: str, edges: DataFrame | list, deeper: bool) -> DataFrame:
+    if isinstance(edges, list):
+        kind = df.schema[x].dataType
+        return df.withColumn(name, F.coalesce(F.size(F.filter(F.lit(edges).cast(ArrayType(kind)), lambda e: e < F.col(x))), F.lit(0)).cast("long"))
+    found = join_on(df, edges, [*keys, name] if deeper else keys)
+    below = F.coalesce(F.size(F.filter("_edges", lambda e: e < F.col(x))), F.lit(0)).cast("long")
+    return found.withColumn(name, F.col(name) * FANOUT + below if deeper else below).drop("_edges")
+
+
+def locate(df: DataFrame, keys: Sequence[str], x: str, name: str, edges: Sequence[DataFrame]) -> DataFrame:
+    """Add the number of the range that holds ``x``; numbers grow with ``x``, and equal values share one.  A null is in the first."""
+    for level, table in enumerate(edges):
+        table = table.withColumnRenamed("_range", name) if level and name != "_range" else table
+        df = _locate_level(df, list(keys), x, name, table, level > 0)
+    return df
+
+
+def cut(df: DataFrame, keys: Sequence[str], order: Sequence[str], slice_by: Column | None) -> DataFrame:
+    """Add ``_slice``: the caller's slices, or ranges of the first ordering column planned so that a hot key is spread evenly."""
+    if slice_by is not None:
+        return df.withColumn("_slice", slice_by)
+    return locate(df, keys, order[0], "_slice", planned_edges(df, keys, order[0], default_slices(df)))
+
+
 def value_ranks(df: DataFrame, keys: Sequence[str], x: str, slices: int | None = None, sums: bool = False) -> DataFrame:
     """One row per (keys, value): ``n_eq`` copies, ``n_below`` smaller rows, ``n_all`` rows.
 
@@ -161,57 +213,57 @@ def _before(keys: Sequence[str], slice_col: str) -> Window:
     return Window.partitionBy(*keys).orderBy(slice_col).rowsBetween(Window.unboundedPreceding, -1)
 
 
-def row_position(df: DataFrame, keys: Sequence[str], order: Sequence[str], slice_by: Column, out: str = "pos") -> DataFrame:
+def row_position(df: DataFrame, keys: Sequence[str], order: Sequence[str], slice_by: Column | None = None, out: str = "pos") -> DataFrame:
     """1-based row number inside each key, without a whole key in one task.
 
-    ``slice_by`` must grow with the ordering (a day, an hour); rows are numbered inside a
-    slice and shifted by the rows of the earlier slices.
+    Rows are numbered inside a slice and shifted by the rows of the earlier slices.  Slices are planned from
+    a quantile sketch; a ``slice_by`` must grow with the ordering (a day, an hour).
     """
     keys = list(keys)
-    cut = df.withColumn("_slice", slice_by)
-    sizes = cut.groupBy(*keys, "_slice").agg(F.count(F.lit(1)).alias("_n"))
+    sliced = cut(df, keys, order, slice_by)
+    sizes = sliced.groupBy(*keys, "_slice").agg(F.count(F.lit(1)).alias("_n"))
     offsets = sizes.select(*keys, "_slice", F.coalesce(F.sum("_n").over(_before(keys, "_slice")), F.lit(0)).alias("_offset"))
     inside = Window.partitionBy(*keys, "_slice").orderBy(*order)
     return (
-        join_on(cut, offsets, [*keys, "_slice"])
+        join_on(sliced, offsets, [*keys, "_slice"])
         .withColumn(out, F.col("_offset") + F.row_number().over(inside))
         .drop("_slice", "_offset")
     )
 
 
 def sliced_lag(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], cols: dict[str, str], slice_by: Column
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], cols: dict[str, str], slice_by: Column | None = None
 ) -> DataFrame:
     """Previous row's columns (``new name -> column``) along a key cut into slices.
 
     The first row of a slice takes the last row of the nearest earlier non-empty slice.
     """
     keys, order = list(keys), list(order)
-    cut = df.withColumn("_slice", slice_by)
+    sliced = cut(df, keys, order, slice_by)
     payload = F.struct(*[F.col(c).alias(f"v{i}") for i, c in enumerate(cols.values())])
-    ends = cut.groupBy(*keys, "_slice").agg(F.max_by(payload, F.struct(*order)).alias("_end"))
+    ends = sliced.groupBy(*keys, "_slice").agg(F.max_by(payload, F.struct(*order)).alias("_end"))
     by_key = Window.partitionBy(*keys).orderBy("_slice")
     carried = ends.select(*keys, "_slice", F.lag("_end").over(by_key).alias("_carry"))
     inside = Window.partitionBy(*keys, "_slice").orderBy(*order)
     prev = F.coalesce(F.lag(payload).over(inside), F.col("_carry"))
-    out = join_on(cut, carried, [*keys, "_slice"]).withColumn("_prev", prev)
+    out = join_on(sliced, carried, [*keys, "_slice"]).withColumn("_prev", prev)
     for i, name in enumerate(cols):
         out = out.withColumn(name, F.col(f"_prev.v{i}"))
     return out.drop("_slice", "_carry", "_prev")
 
 
 def carry_last(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], mark: Column, value: Column, out: str, slice_by: Column,
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], mark: Column, value: Column, out: str, slice_by: Column | None = None,
     forward: bool = True,
 ) -> DataFrame:
     """Latest ``value`` among marked rows up to this row (or the next one, backwards)."""
     keys, order = list(keys), list(order)
-    cut = df.withColumn("_slice", slice_by).withColumn("_known", F.when(mark, F.struct(value.alias("v"))))
+    sliced = cut(df, keys, order, slice_by).withColumn("_known", F.when(mark, F.struct(value.alias("v"))))
     pick = F.max_by if forward else F.min_by
-    ends = cut.where("_known IS NOT NULL").groupBy(*keys, "_slice").agg(
+    ends = sliced.where("_known IS NOT NULL").groupBy(*keys, "_slice").agg(
         pick(F.col("_known"), F.struct(*order)).alias("_end")
     )
-    slices = join_on(cut.select(*keys, "_slice").distinct(), ends, [*keys, "_slice"], "left")
+    slices = join_on(sliced.select(*keys, "_slice").distinct(), ends, [*keys, "_slice"], "left")
     if forward:
         outside = F.last("_end", ignorenulls=True).over(
             Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
@@ -229,7 +281,7 @@ def carry_last(
         )
     carried = slices.select(*keys, "_slice", outside.alias("_outside"))
     return (
-        join_on(cut, carried, [*keys, "_slice"])
+        join_on(sliced, carried, [*keys, "_slice"])
         .withColumn(out, F.coalesce(inside, F.col("_outside"))["v"])
         .drop("_slice", "_known", "_outside")
     )

@@ -213,12 +213,12 @@ def effective_n_pair(ac: DataFrame, var: str) -> DataFrame:
     return both.groupBy(F.col(var).alias("i"), F.col("_b").alias("j")).agg((F.max("n") / F.greatest(infl, F.lit(1.0))).alias("n_eff"))
 
 
-def every_kth(df: DataFrame, keys: Sequence[str], order: Sequence[str], k: int, slice_by: Column) -> DataFrame:
+def every_kth(df: DataFrame, keys: Sequence[str], order: Sequence[str], k: int, slice_by: Column | None = None) -> DataFrame:
     """Rows 0, k, 2k, ... of each key."""
     return row_position(df, keys, order, slice_by, "_pos").where((F.col("_pos") - 1) % k == 0).drop("_pos")
 
 
-def block_average(df: DataFrame, keys: Sequence[str], order: Sequence[str], x: str, n: int, slice_by: Column, out: str = "mean") -> DataFrame:
+def block_average(df: DataFrame, keys: Sequence[str], order: Sequence[str], x: str, n: int, slice_by: Column | None = None, out: str = "mean") -> DataFrame:
     """Means of full blocks of n rows; a short last block is dropped."""
     pos = row_position(df, keys, order, slice_by, "_pos").withColumn("block", F.floor((F.col("_pos") - 1) / n))
     return pos.groupBy(*keys, "block").agg(F.avg(x).alias(out), F.count(F.lit(1)).alias("_n")).where(F.col("_n") == n).drop("_n")

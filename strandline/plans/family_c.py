@@ -54,7 +54,7 @@ def c3(t):
     e = t.raw("events")
     left = e.where("event_type = 'purchase'").select("user_id", "ts", "event_id")
     right = e.where("event_type = 'view'").select("user_id", "ts", "value")
-    return J.asof_last(left, right, ["user_id"], "ts", ["value"], F.to_date("ts")).select("event_id", "value")
+    return J.asof_last(left, right, ["user_id"], "ts", ["value"]).select("event_id", "value")
 
 
 @query(
@@ -67,13 +67,13 @@ def c3(t):
 def c4(t):
     events = t.raw("orders").select("o_orderkey", F.col("o_orderpriority").alias("entity"), F.date_add(F.to_date("o_orderdate"), 1).alias("d"))
     calendar = t.daily().select("entity", "d", F.col("d").alias("trading"))
-    return J.asof_next(events, calendar, ["entity"], "d", ["trading"], F.trunc("d", "MM"), tie=["o_orderkey"]).select("o_orderkey", "trading")
+    return J.asof_next(events, calendar, ["entity"], "d", ["trading"], tie=["o_orderkey"]).select("o_orderkey", "trading")
 
 
 def tick_intervals(t):
     """Consecutive ticks of one asset -> intervals with their log return (seconds as doubles)."""
     ticks = t.ticks().withColumn("sec", F.unix_micros(F.col("ts").cast("timestamp")) / 1e6)
-    prev = sliced_lag(ticks, ["asset"], ["ts", "event_id"], {"start": "sec", "p0": "price"}, F.to_date("ts"))
+    prev = sliced_lag(ticks, ["asset"], ["ts", "event_id"], {"start": "sec", "p0": "price"})
     return prev.where("start IS NOT NULL").select(
         "asset", "start", F.col("sec").alias("end"), F.log(F.col("price") / F.col("p0")).alias("ret")
     )
@@ -93,7 +93,7 @@ INTERVALS_SQL = """iv AS (SELECT * FROM (SELECT asset, lag(epoch_us(ts) / 1e6) O
 def c5(t):
     iv = tick_intervals(t)
     side = lambda a: iv.where(F.col("asset") == a).select("start", "end")
-    out = J.interval_overlap(side("view"), side("purchase"), [], "start", "end", 3600.0)
+    out = J.interval_overlap(side("view"), side("purchase"), [], "start", "end")
     return out.select(*[r(c, 3).alias(c) for c in ("a_start", "a_end", "b_start", "b_end")])
 
 

@@ -262,7 +262,7 @@ def e18p(t):
 
 @query("e19_every_kth", "SELECT asset, event_id FROM (SELECT asset, event_id, row_number() OVER (PARTITION BY asset ORDER BY ts, event_id) AS i FROM ticks) WHERE (i - 1) % 7 = 0", "ticks")
 def e19(t):
-    return W.every_kth(t.ticks(), ["asset"], ["ts", "event_id"], 7, F.to_date("ts")).select("asset", "event_id")
+    return W.every_kth(t.ticks(), ["asset"], ["ts", "event_id"], 7).select("asset", "event_id")
 
 
 @query(
@@ -272,7 +272,7 @@ def e19(t):
     "ticks",
 )
 def e19b(t):
-    return W.block_average(t.ticks(), ["asset"], ["ts", "event_id"], "price", 10, F.to_date("ts")).withColumn("mean", r("mean", 5))
+    return W.block_average(t.ticks(), ["asset"], ["ts", "event_id"], "price", 10).withColumn("mean", r("mean", 5))
 
 
 @query(

@@ -293,7 +293,7 @@ def f18e(t):
 )
 def f19(t):
     ticks = t.ticks().withColumn("sec", F.unix_micros(F.col("ts").cast("timestamp")) / 1e6)
-    return D.hayashi_yoshida(ticks, "asset", "sec", "price", TYPES, 86400.0).withColumn("cov", r("cov", 4))
+    return D.hayashi_yoshida(ticks, "asset", "sec", "price", TYPES).withColumn("cov", r("cov", 4))
 
 
 @query("f26_corr_with_reference", "SELECT a.var, round(corr(a.value, b.value), 6) AS r FROM variables a JOIN variables b ON a.t = b.t AND b.var = 5 GROUP BY 1", "variables")
