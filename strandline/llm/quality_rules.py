@@ -37,12 +37,12 @@ def base_metrics(docs: DataFrame) -> DataFrame:
         F.slice("words", 1, F.greatest(F.col("n_words") - 2, F.lit(0)).cast("int")),
         lambda w, i: F.struct(F.xxhash64(w, F.get("words", i + 1), F.get("words", i + 2)).alias("h"), i.alias("i")),
     )
-    out = out.withColumn("windows", F.array_sort(hashes))
+    out = out.withColumn("windows", F.sort_array(hashes))
     again = F.filter(
         F.transform("windows", lambda w, i: F.when((w["h"] == F.get("windows", i - 1)["h"]) | (w["h"] == F.get("windows", i + 1)["h"]), w["i"])),
         lambda p: p.isNotNull(),
     )
-    out = out.withColumn("again", F.array_sort(again))
+    out = out.withColumn("again", F.sort_array(again))
     new = F.transform("again", lambda p, i: F.when(i == 0, F.lit(3)).otherwise(F.least(F.lit(3), p - F.get("again", i - 1))))
     return out.withColumns(
         {
@@ -69,7 +69,7 @@ def quality_rules(docs: DataFrame, *, host: str = "source", min_docs: int = 10,
     the removed lines.  Columns of ``docs`` besides doc_id, text and the host are not looked at.
     """
     spark = docs.sparkSession
-    salts = min(64, max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // 4))
+    salts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // 4)
     base = docs.select("doc_id", "text", F.col(host).alias("host"), F.xxhash64(F.col("doc_id"), F.isnull(host), F.col(host), F.isnull("text"), F.col("text")).alias("row"))
     key = lambda x: F.xxhash64(F.isnull("host"), F.col("host"), normal_line(x))
 
