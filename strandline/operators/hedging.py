@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from strandline.functions import columns as C
 from strandline.functions.normal import norm_cdf
-from strandline.operators.ordering import exact_quantiles
+from strandline.operators.ordering import exact_quantiles, join_on
 from strandline.operators.regress import theil_sen
 
 TRADING_DAYS = 252
@@ -260,7 +260,7 @@ def ensemble_posterior(runs: DataFrame, by: Sequence[str], param: str, run: str,
     wide = runs.withColumn("_ll", ll).withColumn("horizon", F.explode(F.filter(F.array(*[F.lit(h) for h in horizons]), lambda h: F.col(k) <= h)))
     per_run = wide.groupBy(*by, "horizon", param, run).agg(F.sum("_ll").alias("_r"))
     top = per_run.groupBy(*by, "horizon", param).agg(F.max("_r").alias("_top"))
-    mixed = per_run.join(top, [*by, "horizon", param]).groupBy(*by, "horizon", param).agg((F.max("_top") + F.log(F.avg(F.exp(F.col("_r") - F.col("_top"))))).alias("loglik"))
+    mixed = join_on(per_run, top, [*by, "horizon", param]).groupBy(*by, "horizon", param).agg((F.max("_top") + F.log(F.avg(F.exp(F.col("_r") - F.col("_top"))))).alias("loglik"))
     one = Window.partitionBy(*by, "horizon")  # one row per parameter value
     post = mixed.withColumn("_e", F.exp(F.col("loglik") - F.max("loglik").over(one))).withColumn("posterior", F.col("_e") / F.sum("_e").over(one))
     return post.withColumn("cdf", F.sum("posterior").over(one.orderBy(param).rowsBetween(Window.unboundedPreceding, 0))).drop("_e")
@@ -279,7 +279,7 @@ def importance_summary(df: DataFrame, by: Sequence[str], x: str, logw: Column) -
     """
     keyed = df.withColumn("_lw", logw)
     top = keyed.groupBy(*by).agg(F.max("_lw").alias("_top"))
-    w = keyed.join(top, list(by)).withColumn("_w", F.exp(F.col("_lw") - F.col("_top")))
+    w = join_on(keyed, top, by).withColumn("_w", F.exp(F.col("_lw") - F.col("_top")))
     per = w.groupBy(*by, x).agg(F.sum("_w").alias("_w"), F.sum(F.col("_w") * F.col("_w")).alias("_w2"))
     one = Window.partitionBy(*by)
     run = per.withColumn("_c", F.sum("_w").over(one.orderBy(x).rowsBetween(Window.unboundedPreceding, 0)) / F.sum("_w").over(one))

@@ -21,7 +21,7 @@ from pyspark.sql.functions import pandas_udf
 from strandline.functions import columns as C
 from strandline.functions import linalg as L
 from strandline.operators import gram as G
-from strandline.operators.ordering import exact_quantiles
+from strandline.operators.ordering import exact_quantiles, join_on
 
 _D = T.DoubleType()
 
@@ -203,10 +203,10 @@ def residual_trend(df: DataFrame, site: str, year: str, y: str, x: str, min_year
         F.try_divide(F.covar_pop(y, x), F.stddev_pop(y) * F.stddev_pop(x)).alias("x_r"),
         F.count(F.lit(1)).alias("_n"),
     ).where(F.col("_n") >= min_years)
-    rows = df.join(line, site).withColumn("residual", F.col(y) - F.col("_a") - F.col("_b") * F.col(x))
+    rows = join_on(df, line, [site]).withColumn("residual", F.col(y) - F.col("_a") - F.col("_b") * F.col(x))
     slopes = theil_sen(rows, [site], year, [y, "residual", x])
     pct = lambda s, m: F.col(f"{s}_slope") * 1000 / F.col(m)
-    return slopes.join(line, site).select(
+    return join_on(slopes, line, [site]).select(
         site, "n_years", F.col("_b").alias("x_slope"), "x_r", pct(y, "y_mean").alias("y_trend"), pct("residual", "y_mean").alias("residual_trend"), pct(x, "x_mean").alias("x_trend")
     )
 

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandline.functions import columns as C
-from strandline.operators.ordering import row_position
+from strandline.operators.ordering import join_on, row_position
 
 _AGGS = {"sum": F.sum, "mean": F.avg, "std": F.stddev_samp, "var": F.var_samp, "max": F.max, "min": F.min}
 
@@ -193,9 +193,9 @@ def autocorr(df: DataFrame, keys: Sequence[str], t: str, x: str, max_lag: int |
     var = base.groupBy(*keys).agg(F.avg(F.col("_c") * F.col("_c")).alias("_v"), F.max("_n").alias("n"))
     shifted = base.select(*keys, F.explode(F.sequence(F.lit(1).cast("long"), top)).alias("lag"), "_i", F.col("_c").alias("_d"))
     shifted = shifted.select(*keys, "lag", (F.col("_i") + F.col("lag")).alias("_i"), "_d")
-    prod = shifted.join(base, [*keys, "_i"]).groupBy(*keys, "lag").agg(F.avg(F.col("_c") * F.col("_d")).alias("_a"))
+    prod = join_on(shifted, base, [*keys, "_i"]).groupBy(*keys, "lag").agg(F.avg(F.col("_c") * F.col("_d")).alias("_a"))
     rho = F.coalesce(F.try_divide(F.col("_a"), F.when(F.col("_v") > 0, F.col("_v"))), F.lit(0.0))
-    return prod.join(var, keys).select(*keys, "lag", "n", rho.alias("rho"))
+    return join_on(prod, var, keys).select(*keys, "lag", "n", rho.alias("rho"))
 
 
 def effective_n(ac: DataFrame, by: Sequence[str] = ()) -> DataFrame:

@@ -58,3 +58,16 @@ def test_overlapping_intervals(spark, monkeypatch, endpoints):
         hit = same & (a.start.to_numpy()[:, None] < b.end.to_numpy()) & (b.start.to_numpy() < a.end.to_numpy()[:, None])
         hit &= (a.end > a.start).to_numpy()[:, None] & (b.end > b.start).to_numpy()
         assert sorted((r["a_id"], r["b_id"]) for r in got) == sorted(zip(*map(list, np.nonzero(hit))))
+
+
+def test_null_keys_stay(spark):
+    from strandline.operators import hedging, regress
+
+    d = _series(np.random.default_rng(4), 600)
+    df = spark.createDataFrame(d, "k string, t double, v long")
+    assert {r["k"] for r in windows.autocorr(df, ["k"], "v", "t", 3).collect()} == {"hot", "a", "b", None}
+    from pyspark.sql import functions as F
+
+    assert {r["k"] for r in hedging.importance_summary(df, ["k"], "t", F.lit(0.0)).collect()} == {"hot", "a", "b", None}
+    years = spark.createDataFrame([(s, y, y * 2.0 + (y % 3), float(y % 5)) for s in ("a", None) for y in range(1990, 2015)], "s string, y long, value double, x double")
+    assert {r["s"] for r in regress.residual_trend(years, "s", "y", "value", "x").collect()} == {"a", None}
