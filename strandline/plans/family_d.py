@@ -273,6 +273,17 @@ def d17q(t):
     return A.quantile_bins(li, "x", "y", 5).select("bin", r("x", 4).alias("x"), r("y").alias("y"), "n")
 
 
+@query(
+    "d17_binned_median",
+    """WITH c AS (SELECT quantile_cont(l_extendedprice, [0.2, 0.4, 0.6, 0.8]) AS e FROM lineitem),
+    x AS (SELECT l_extendedprice AS x, l_quantity AS y, len(list_filter(e, lambda v: l_extendedprice >= v)) AS bin FROM lineitem, c)
+    SELECT CAST(bin AS INTEGER) AS bin, round(quantile_cont(x, 0.5), 4) AS x, round(quantile_cont(y, 0.5), 4) AS y, count(*) AS n FROM x GROUP BY 1""",
+)
+def d17m(t):
+    li = t.raw("lineitem").select(F.col("l_extendedprice").alias("x"), F.col("l_quantity").alias("y"))
+    return A.binned_median(li, "x", "y", 5).select("bin", r("x", 4).alias("x"), r("y", 4).alias("y"), "n")
+
+
 @query(
     "d17_fixed_bins",
     """WITH x AS (SELECT CASE WHEN l_quantity > 0 AND l_quantity <= 15 THEN 0 WHEN l_quantity > 15 AND l_quantity <= 30 THEN 1

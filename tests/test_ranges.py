@@ -71,3 +71,19 @@ def test_null_keys_stay(spark):
     assert {r["k"] for r in hedging.importance_summary(df, ["k"], "t", F.lit(0.0)).collect()} == {"hot", "a", "b", None}
     years = spark.createDataFrame([(s, y, y * 2.0 + (y % 3), float(y % 5)) for s in ("a", None) for y in range(1990, 2015)], "s string, y long, value double, x double")
     assert {r["s"] for r in regress.residual_trend(years, "s", "y", "value", "x").collect()} == {"a", None}
+
+
+def test_binned_medians_with_a_crowded_value(spark):
+    from strandline.operators import aggregate
+
+    rng = np.random.default_rng(7)
+    x = np.r_[np.full(300, 5.0), np.round(rng.uniform(0, 10, 500), 2)]
+    y = np.where(rng.random(800) < 0.5, 1.25, np.round(rng.normal(0, 3, 800), 1))
+    rows = [(float(a), None if k % 9 == 0 else float(b)) for k, (a, b) in enumerate(zip(x, y))] + [(None, 1.0)]
+    got = aggregate.binned_median(spark.createDataFrame(rows, "x double, y double"), "x", "y", 4, slices=16).toPandas().set_index("bin")
+    d = pd.DataFrame(rows, columns=["x", "y"]).dropna(subset=["x"])
+    d["bin"] = sum((d.x >= d.x.quantile(q)).astype(int) for q in (0.25, 0.5, 0.75))
+    want = d.groupby("bin").agg(x=("x", "median"), y=("y", "median"), n=("x", "size"))
+    assert sorted(got.index) == sorted(want.index)
+    for c in want:
+        assert np.allclose(got.loc[want.index, c].astype(float), want[c])
