@@ -182,8 +182,8 @@ def test_scores(spark, sizes):
     assert len({r["score"] for r in out if r["doc_id"] in (0, None) and r["n_tokens"] == 61}) == 1, "equal texts score alike"
 
 
-def test_probabilities_add_up_to_one(spark):
-    """Score every known word and one unknown word after the start of a text."""
+def test_texts_of_one_word_share_less_than_one(spark):
+    """All texts of at most one word (known, or the unknown one) are disjoint outcomes, so their probabilities add up to less than one."""
     rows = [(i, t) for i, t in _texts() if t and i is not None and zlib.crc32(str(i).encode()) % 7 != 2]
     vocabulary = sorted({w for _, t in rows for w in t.lower().split()})
     asks = [(None, w) for w in [*vocabulary, "unknownword"]] + [(None, ""), (None, None)]
