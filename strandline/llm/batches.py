@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -46,6 +47,14 @@ def pieces(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int =
             yield b.slice(lo, hi - lo)
 
 
+def give_back() -> None:
+    """Hand freed memory back to the machine at the end of a task, since its worker waits for other stages' tasks."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim is not None:
+        trim(0)
+
+
 def raw(b: pa.RecordBatch, column: str = "text") -> list[bytes]:
     """The texts as UTF-8; null as empty."""
     return [x or b"" for x in b.column(column).cast(pa.binary()).to_pylist()]

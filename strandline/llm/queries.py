@@ -91,7 +91,7 @@ def op5_decontamination(spark, sf_dir):
 
 @query("op9_sentencepiece")
 def op9_sentencepiece(spark, sf_dir):
-    return subwords.encode(_table(spark, sf_dir, "documents"), with_ids=False)
+    return subwords.encode(_table(spark, sf_dir, "documents"))
 
 
 @query("op10_substring_dedup")

@@ -6,6 +6,7 @@ import heapq
 import os
 import re
 import zlib
+from array import array
 from collections.abc import Callable, Iterator
 from itertools import chain
 
@@ -16,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandline.llm.batches import kept_schema, mix, pieces, unpacked, with_kept
+from strandline.llm.batches import give_back, kept_schema, mix, pieces, unpacked, with_kept
 
 MODEL = os.path.join("/opt/tokenizers", "piece_bpe_32k.model")
 #: Units that no piece reaches over: a line end, or spaces and what follows them.
@@ -210,8 +211,11 @@ class Encoder:
         self.roots: dict[str, int] = {}
         self.nodes = 0
         self.code, self.branch = np.zeros(1 << 14, np.uint64), np.zeros((1 << 14, 2), np.int64)
-        self.origin: list[tuple[str, int, int]] = []  # unit, skips on the way as bits, their number
-        self.ends, self.flat = [0], []
+        # of each node: its unit, the skips on the way as bits, their number
+        self.unit: list[str] = []
+        self.bits: list[int] = []
+        self.depth = array("i")
+        self.ends, self.flat = array("q", [0]), array("i")
 
     def _grow(self, unit: str, bits: int, depth: int) -> int:
         """Nodes of ``unit`` after ``depth`` answers, ``bits``, if nothing is skipped from there on: the first one, or -2 - the place of the ids."""
@@ -230,7 +234,7 @@ class Encoder:
             self.code, self.branch = np.concatenate([self.code, np.zeros_like(self.code)]), np.concatenate([self.branch, np.zeros_like(self.branch)])
         for node in range(first, self.nodes):
             self.code[node], self.branch[node] = codes[depth + node - first], (node + 1 if node + 1 < self.nodes else to, -1)
-            self.origin.append((unit, bits, depth + node - first))
+            self.unit.append(unit), self.bits.append(bits), self.depth.append(depth + node - first)
         return first if first < self.nodes else to
 
     def _skipped(self, slots: np.ndarray) -> np.ndarray:
@@ -238,7 +242,7 @@ class Encoder:
         found, counts = np.unique(slots, return_counts=True)
         for slot in found[counts >= self.least].tolist():
             if self.nodes < self.most:
-                unit, bits, depth = self.origin[slot >> 1]
+                unit, bits, depth = self.unit[slot >> 1], self.bits[slot >> 1], self.depth[slot >> 1]
                 to = self._grow(unit, bits | 1 << depth, depth + 1)
                 self.branch[slot >> 1, 1] = to
         return self.branch[slots >> 1, 1]
@@ -274,8 +278,9 @@ class Encoder:
         alone = np.flatnonzero(at == -1)
         direct = self.v.segment_many([units[i] for i in alone.tolist()], key[alone], self.skip) if len(alone) else []
         many = np.fromiter(map(len, direct), np.int64, len(direct))
-        ends = np.array(self.ends)
-        source = np.array(self.flat + list(chain.from_iterable(direct)), np.int32)
+        ends = np.frombuffer(self.ends, np.int64).copy()
+        source = np.concatenate([np.frombuffer(self.flat, np.int32), np.fromiter(chain.from_iterable(direct), np.int32, int(many.sum()))])
+        del direct
         kept = np.where(at < -1, -2 - at, 0)
         start, length = ends[kept], ends[np.minimum(kept + 1, len(ends) - 1)] - ends[kept]
         start[alone], length[alone] = len(self.flat) + np.cumsum(many) - many, many
@@ -304,13 +309,13 @@ def encode(docs: DataFrame, *, model: str = MODEL, dropout: float = 0.1, seed: i
 
     Spaces stay spaces (no prefix, no collapsing, no normalisation), and characters without a piece become
     bytes, so decoding gives back the text, which ``lossless`` tells of every row.  A null text has null ids and counts
-    (lossless is null); an empty one has no tokens.  Rows are independent; texts of any length are encoded whole.
+    (lossless is null); an empty one has no tokens, and an empty table gives no rows.  Rows are independent; texts of any length are encoded whole.
     """
     shared = docs.sparkSession.sparkContext.broadcast(load(model))  # the size of the vocabulary
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = Encoder(shared.value, dropout, seed)
-        for b in pieces(batches, limit=2 << 20):
+        for b in pieces(batches, limit=1 << 20):
             docs, texts = b.column("doc_id").to_pylist(), b.column("text").to_pylist()
             coded = enc.arrays([t or "" for t in texts], docs)
             ids, sizes, chars, crc, same = [], [], [], [], []
@@ -325,6 +330,8 @@ def encode(docs: DataFrame, *, model: str = MODEL, dropout: float = 0.1, seed: i
                 [b.column("kept"), pa.array(ids, pa.list_(pa.int32())), pa.array(chars, pa.int64()), pa.array(sizes, pa.int64()), pa.array(crc, pa.int64()), pa.array(same, pa.bool_())],
                 names=["kept", "ids", "n_chars", "n_tokens", "ids_crc32", "lossless"],
             )
+        del enc
+        give_back()
 
     rows = with_kept(docs, keep, doc_id=F.col("doc_id"), text=F.col("text"))
     out = rows.mapInArrow(run, kept_schema(rows, "ids array<int>, n_chars long, n_tokens long, ids_crc32 long, lossless boolean"))
