@@ -9,11 +9,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from strandline.functions import columns as C
-from strandline.operators.ordering import join_on, row_position
+from strandline.operators.ordering import cut, join_on, row_position
+from strandline.storage import staged
 
 _AGGS = {"sum": F.sum, "mean": F.avg, "std": F.stddev_samp, "var": F.var_samp, "max": F.max, "min": F.min}
 
@@ -182,20 +186,54 @@ def early_warning(df: DataFrame, keys: Sequence[str], t: str, x: str, trend: int
     )
 
 
-def autocorr(df: DataFrame, keys: Sequence[str], t: str, x: str, max_lag: int | None = None) -> DataFrame:
-    """Autocorrelation at lags 1..K (default floor(sqrt(T))): mean product over full variance."""
+def autocorr(df: DataFrame, keys: Sequence[str], t: str, x: str, max_lag: int | None = None, block: int = 1 << 14) -> DataFrame:
+    """Autocorrelation at lags 1..K (default floor(sqrt(T))): mean product over full variance.
+
+    Rows are numbered in planned time ranges and cut into blocks of at least ``block`` and K positions.  A block gets the K rows after it
+    as well, so a row is copied once at most, and gives one array of K partial sums; a key with all rows is many blocks.
+    ``t`` is a number, a date or a timestamp.  A null value keeps its place and takes part in no product; a key without variance has 0
+    at every lag.  Lags beyond the last row are left out, so a single row has none.
+    """
     keys = list(keys)
-    one = Window.partitionBy(*keys)
-    base = df.select(
-        *keys, F.row_number().over(C.by_time(keys, t)).alias("_i"), (F.col(x) - F.avg(x).over(one)).alias("_c"), F.count(F.lit(1)).over(one).alias("_n")
-    )
+    series = staged(df.select(*keys, t, F.col(x).cast("double").alias("_x")), "series")  # the ranges, their sums and the rows read it
+    sliced = cut(series, keys, [t], None)
+    whole = Window.partitionBy(*keys)
+    before = whole.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sliced.groupBy(*keys, "_slice").agg(F.count(F.lit(1)).alias("_rows"), F.count("_x").alias("_known"), F.sum("_x").alias("_sum"))
     top = F.floor(F.sqrt("_n")) if max_lag is None else F.lit(max_lag).cast("long")
-    var = base.groupBy(*keys).agg(F.avg(F.col("_c") * F.col("_c")).alias("_v"), F.max("_n").alias("n"))
-    shifted = base.select(*keys, F.explode(F.sequence(F.lit(1).cast("long"), top)).alias("lag"), "_i", F.col("_c").alias("_d"))
-    shifted = shifted.select(*keys, "lag", (F.col("_i") + F.col("lag")).alias("_i"), "_d")
-    prod = join_on(shifted, base, [*keys, "_i"]).groupBy(*keys, "lag").agg(F.avg(F.col("_c") * F.col("_d")).alias("_a"))
+    ranges = sizes.select(
+        *keys, "_slice", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_offset"), F.sum("_rows").over(whole).alias("_n"),
+        F.try_divide(F.sum("_sum").over(whole), F.sum("_known").over(whole)).alias("_mean"),
+    ).withColumn("_top", F.least(top, F.col("_n") - 1))
+    place = F.col("_offset") + F.row_number().over(Window.partitionBy(*keys, "_slice").orderBy(t)) - 1
+    rows = join_on(sliced, ranges, [*keys, "_slice"]).select(*keys, "_n", "_top", place.alias("_i"), (F.col("_x") - F.col("_mean")).alias("_c"))
+    size = F.greatest(F.lit(block).cast("long"), F.col("_top"))
+    own, first = F.floor(F.col("_i") / size), F.floor(F.greatest(F.col("_i") - F.col("_top"), F.lit(0)) / size)
+    dealt = rows.select(*keys, "_n", "_top", "_i", "_c", own.alias("_own"), F.explode(F.sequence(first, own)).alias("_block"))
+    dealt = dealt.select(*keys, "_block", "_n", "_top", "_i", "_c", (F.col("_own") == F.col("_block")).alias("_mine"))
+    schema = T.StructType([*(df.schema[k] for k in keys), *(T.StructField(f, k) for f, k in (("n", T.LongType()), ("s", T.ArrayType(T.DoubleType())), ("m", T.ArrayType(T.LongType()))))])
+
+    def partial(group: pa.Table) -> pa.Table:
+        at = np.argsort(group["_i"].to_numpy())
+        c = group["_c"].to_numpy()[at].astype(float)
+        mine, known = int(np.count_nonzero(group["_mine"].to_numpy())), ~np.isnan(c)
+        c, gaps = np.where(known, c, 0.0), not known.all()
+        sums, pairs = [], []
+        for lag in range(group["_top"][0].as_py() + 1):
+            end = max(min(mine, len(c) - lag), 0)
+            sums.append(float(c[:end] @ c[lag : lag + end]))
+            pairs.append(int(np.count_nonzero(known[:end] & known[lag : lag + end])) if gaps else end)
+        one = group.slice(0, 1)
+        arrays = [*(one[k] for k in keys), one["_n"], pa.array([sums], pa.list_(pa.float64())), pa.array([pairs], pa.list_(pa.int64()))]
+        return pa.Table.from_arrays(arrays, names=schema.names)
+
+    sums = dealt.groupBy(*keys, "_block").applyInArrow(partial, schema)
+    by_lag = sums.select(*keys, "n", F.posexplode(F.arrays_zip("s", "m")).alias("lag", "_p"))
+    mean = F.try_divide(F.sum("_p.s"), F.sum("_p.m").cast("double"))
+    by_lag = by_lag.groupBy(*keys, "lag").agg(F.max("n").alias("n"), mean.alias("_a"))
+    by_lag = by_lag.withColumn("_v", F.max(F.when(F.col("lag") == 0, F.col("_a"))).over(whole))  # one row per lag
     rho = F.coalesce(F.try_divide(F.col("_a"), F.when(F.col("_v") > 0, F.col("_v"))), F.lit(0.0))
-    return join_on(prod, var, keys).select(*keys, "lag", "n", rho.alias("rho"))
+    return by_lag.where("lag > 0").select(*keys, F.col("lag").cast("long").alias("lag"), "n", rho.alias("rho"))
 
 
 def effective_n(ac: DataFrame, by: Sequence[str] = ()) -> DataFrame:

@@ -73,6 +73,34 @@ def test_null_keys_stay(spark):
     assert {r["s"] for r in regress.residual_trend(years, "s", "y", "value", "x").collect()} == {"a", None}
 
 
+@pytest.mark.parametrize("block, max_lag", [(1 << 14, None), (7, None), (7, 3), (5, 60)])
+def test_autocorrelation_across_blocks(spark, block, max_lag):
+    rng = np.random.default_rng(11)
+    values = {"hot": rng.normal(3, 1, 900).cumsum(), "short": np.array([1.0, 4.0, 2.0]), "one": np.array([5.0]), "flat": np.full(30, 2.5), None: rng.normal(0, 1, 50), "gaps": rng.normal(0, 1, 80)}
+    values["gaps"][::7] = np.nan
+    rows = [(k, int(i * 3), None if np.isnan(v) else float(v)) for k, x in values.items() for i, v in enumerate(x)]
+    rng.shuffle(rows := np.array(rows, object))
+    df = spark.createDataFrame([tuple(r) for r in rows], "k string, t long, v double")
+    got = {(r["k"], r["lag"]): (r["n"], r["rho"]) for r in windows.autocorr(df, ["k"], "t", "v", max_lag, block).collect()}
+    want = {}
+    for k, x in values.items():
+        c = x - np.nanmean(x)
+        for lag in range(1, min(int(len(x) ** 0.5) if max_lag is None else max_lag, len(x) - 1) + 1):
+            v, a = np.nanmean(c * c), np.nanmean(c[:-lag] * c[lag:])
+            want[k, lag] = (len(x), a / v if v > 0 else 0.0)
+    assert got.keys() == want.keys()
+    for at, (n, rho) in want.items():
+        assert got[at][0] == n and abs(got[at][1] - rho) < 1e-9
+    alone = windows.autocorr(df.where("k = 'hot'").drop("k"), [], "t", "v", 4, block).collect()
+    assert {r["lag"]: round(r["rho"], 9) for r in alone} == {lag: round(v, 9) for (k, lag), (_, v) in _autocorrelations("hot", values, 4).items()}
+    assert windows.autocorr(df.where("false"), ["k"], "t", "v", max_lag, block).count() == 0
+
+
+def _autocorrelations(key, values, lags):
+    c = values[key] - values[key].mean()
+    return {(key, lag): (len(c), (c[:-lag] * c[lag:]).mean() / (c * c).mean()) for lag in range(1, lags + 1)}
+
+
 def test_binned_medians_with_a_crowded_value(spark):
     from strandline.operators import aggregate
 
