@@ -22,6 +22,7 @@ from strandline.functions import columns as C
 from strandline.functions import linalg as L
 from strandline.operators import gram as G
 from strandline.operators.ordering import exact_quantiles, join_on
+from strandline.operators.slopes import median_slopes
 
 _D = T.DoubleType()
 
@@ -178,22 +179,11 @@ def qlike(df: DataFrame, by: Sequence[str], realised: Column, forecast: Column,
 
 
 def theil_sen(df: DataFrame, by: Sequence[str], t: str, xs: Sequence[str]) -> DataFrame:
-    """Median of the slopes between all years of a site, per column: ``<x>_slope``.
+    """Median of the slopes between all rows of a site with different t, per column: ``<x>_slope``.
 
-    Input has one row per site and year, so the array of a site is as long as its record.
+    Long records are solved by slope selection, see ``slopes.median_slopes``.
     """
-    rows = df.groupBy(*by).agg(F.collect_list(F.struct(F.col(t).cast("double").alias("t"), *[F.col(x).cast("double").alias(x) for x in xs])).alias("_r"), F.count(F.lit(1)).alias("n_years"))
-
-    def median_slope(x: str) -> Column:
-        # a later row minus each earlier one; rows without a value drop out
-        known = F.filter("_r", lambda r: r[x].isNotNull())
-        slopes = F.flatten(F.transform(known, lambda a: F.transform(F.filter(known, lambda b: b["t"] > a["t"]), lambda b: (b[x] - a[x]) / (b["t"] - a["t"]))))
-        s = F.array_sort(slopes)
-        n = F.size(s)
-        mid = lambda k: F.get(s, F.floor(k).cast("int"))
-        return (mid((n - 1) / 2) + mid(n / 2)) / 2
-
-    return rows.select(*by, "n_years", *[median_slope(x).alias(f"{x}_slope") for x in xs])
+    return median_slopes(df, by, t, xs)
 
 
 def residual_trend(df: DataFrame, site: str, year: str, y: str, x: str, min_years: int = 20) -> DataFrame:
