@@ -21,6 +21,7 @@ from pyspark.sql.functions import pandas_udf
 from strandline.functions import columns as C
 from strandline.functions import linalg as L
 from strandline.operators import gram as G
+from strandline.operators import statistics as S
 from strandline.operators.ordering import exact_quantiles, join_on
 from strandline.operators.slopes import median_slopes
 
@@ -523,29 +524,30 @@ def regression_kriging(df: DataFrame, day: str, site: str, fold: str, x: str, y:
 def paired_bootstrap(df: DataFrame, unit: str, obs: str, a: str, b: str, draws: int, seed: int = 0) -> DataFrame:
     """RMSE difference of two models with a 95% interval over resampled stations.
 
-    Squared errors are summed per station once; a draw weights those sums.
+    Squared errors are summed per station once; a draw weights those sums with the station's Poisson number.
     """
-    from strandline.operators.resample import cluster_counts
+    e = lambda m: F.pow(F.col(m) - F.col(obs), F.lit(2))
+    gain = S.Sums([e(a), e(b), F.lit(1)], lambda sa, sb, n: F.sqrt(sa / n) - F.sqrt(sb / n))
+    return S.interval(df, [], [unit], gain, draws, seed, (0.025, 0.975)).select(F.col("value").alias("difference"), "lo", "hi")
 
-    e = lambda m: F.sum(F.pow(F.col(m) - F.col(obs), F.lit(2)))
-    per = df.groupBy(unit).agg(e(a).alias("_a"), e(b).alias("_b"), F.count(F.lit(1)).alias("_n"))
-    counts = cluster_counts(per.select(unit), unit, draws, seed)
-    drawn = counts.join(per, unit).select("draw", "times", "_a", "_b", "_n").unionByName(per.select(F.lit(-1).alias("draw"), F.lit(1).cast("long").alias("times"), "_a", "_b", "_n"))
-    rmse = lambda c: F.sqrt(F.sum(F.col("times") * F.col(c)) / F.sum(F.col("times") * F.col("_n")))
-    diffs = drawn.groupBy("draw").agg((rmse("_a") - rmse("_b")).alias("difference"))
-    at = exact_quantiles(diffs.where("draw >= 0"), [], "difference", [0.025, 0.975]).agg(F.min("difference").alias("lo"), F.max("difference").alias("hi"))
-    return diffs.where("draw < 0").select("difference").crossJoin(F.broadcast(at))  # one row each
 
+def flag_rule(df: DataFrame, by: Sequence[str], x: str, flags: dict[str, Column], unit: Sequence[str] = (), draws: int = 500, seed: int = 0) -> DataFrame:
+    """Mean outcome, share up and count under each named flag, against the other rows.
 
-def flag_rule(df: DataFrame, by: Sequence[str], x: str, flags: dict[str, Column]) -> DataFrame:
-    """Mean outcome, share up and count under each named flag, against the other rows."""
+    With ``unit`` columns (a block of periods, a station) also the 5-95% interval ``lo``, ``hi`` of the mean over resampled units.
+    """
     rows = F.array(*[F.struct(F.lit(n).alias("flag"), c.alias("on")) for n, c in flags.items()])
-    long = df.where(F.col(x).isNotNull()).select(*by, F.col(x).alias("_x"), F.inline(rows)).where("on IS NOT NULL")
+    cols = list(dict.fromkeys([*by, *unit]))
+    long = df.where(F.col(x).isNotNull()).select(*cols, F.col(x).alias("_x"), F.inline(rows)).where("on IS NOT NULL")
     on = F.col("on")
-    return long.groupBy(*by, "flag").agg(
+    out = long.groupBy(*by, "flag").agg(
         F.count(F.when(on, 1)).alias("n"), F.avg(F.when(on, F.col("_x"))).alias("mean"), F.avg(F.when(on, F.when(F.col("_x") > 0, 1.0).otherwise(0.0))).alias("share_up"),
         F.avg(F.when(~on, F.col("_x"))).alias("others"), F.avg("_x").alias("all_rows"),
     )
+    if not unit:
+        return out
+    band = S.interval(long.where(on), [*by, "flag"], unit, S.mean("_x"), draws, seed).select(*by, "flag", "lo", "hi")
+    return join_on(out, band, [*by, "flag"], "left")
 
 
 def pca_index(df: DataFrame, cols: Sequence[str], by: Sequence[str] = (), out: str = "index") -> DataFrame:

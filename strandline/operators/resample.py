@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandline.functions import columns as C
-from strandline.operators.ordering import exact_quantiles
+from strandline.operators.ordering import exact_quantiles, join_on
 
 
 def hash_int(bound: Column, *parts) -> Column:
@@ -58,26 +58,41 @@ def stationary_resample(df: DataFrame, keys: Sequence[str], t: str, draws: int,
     return plan.select(*keys, "draw", "slot", src.alias("_src")).join(pos.drop("_len"), [*keys, "_src"]).drop("_src")
 
 
-def block_ci(df: DataFrame, keys: Sequence[str], t: str, x: str, flag: Column, draws: int, mean_block: float = 6, seed: int = 0) -> DataFrame:
-    """5-95% interval of the mean of flagged rows under stationary resampling."""
+def block_ci(
+    df: DataFrame, keys: Sequence[str], t: str, x: str, flag: Column, draws: int, mean_block: float = 6, seed: int = 0, statistic=None
+) -> DataFrame:
+    """5-95% interval of the mean of flagged rows under stationary resampling.
+
+    With a ``statistic`` (``statistics.Sums`` or ``Quantile``) it is that of the flagged rows, in the column ``value``.
+    """
     keys = list(keys)
-    boot = stationary_resample(df.withColumn("_f", flag), keys, t, draws, mean_block, seed).groupBy(*keys, "draw").agg(F.avg(F.when(F.col("_f"), F.col(x))).alias("mean"))
-    q = exact_quantiles(boot.where("mean IS NOT NULL"), keys, "mean", [0.05, 0.95])
-    band = q.groupBy(*keys).agg(F.min("mean").alias("lo"), F.max("mean").alias("hi"))
-    point = df.groupBy(*keys).agg(F.avg(F.when(flag, F.col(x))).alias("mean"), F.count(F.when(flag, 1)).alias("n"))
+    boot = stationary_resample(df.withColumn("_f", flag), keys, t, draws, mean_block, seed)
+    sizes = df.groupBy(*keys).agg(F.avg(F.when(flag, F.col(x))).alias("mean"), F.count(F.when(flag, 1)).alias("n"))
+    if statistic is None:
+        name, point, boot = "mean", sizes, boot.groupBy(*keys, "draw").agg(F.avg(F.when(F.col("_f"), F.col(x))).alias("mean"))
+    else:
+        name, boot = "value", statistic.evaluate(boot.where("_f"), [*keys, "draw"])
+        point = join_on(sizes.drop("mean"), statistic.evaluate(df.where(flag), keys), keys, "left")
+    q = exact_quantiles(boot.where(f"{name} IS NOT NULL"), keys, name, [0.05, 0.95])
+    band = q.groupBy(*keys).agg(F.min(name).alias("lo"), F.max(name).alias("hi"))
     return point.join(band, keys, "left") if keys else point.crossJoin(F.broadcast(band))
 
 
-def permutation_p(df: DataFrame, t: str, x: str, flag: Column, draws: int, block: int = 12, seed: int = 0) -> DataFrame:
-    """Share of block-shuffled series whose flagged mean reaches the observed one.
+def permutation_p(df: DataFrame, t: str, x: str, flag: Column, draws: int, block: int = 12, seed: int = 0, statistic=None) -> DataFrame:
+    """Share of block-shuffled series whose flagged mean (or ``statistic`` of ``x``) reaches the observed one.
 
     Flags stay in place and values move in blocks, so their own rhythm survives.
     """
     base = df.withColumn("_f", flag)
     moved = block_resample(base, [], t, draws, block, seed).select("draw", "slot", F.col(x).alias("_moved"))
     flags = _numbered(base, [], t).where("_f").select(F.col("_src").cast("long").alias("slot"))
-    null = moved.join(flags, "slot").groupBy("draw").agg(F.avg("_moved").alias("_null"))
-    seen = base.agg(F.avg(F.when(F.col("_f"), F.col(x))).alias("observed"))
+    met = moved.join(flags, "slot")
+    if statistic is None:
+        null = met.groupBy("draw").agg(F.avg("_moved").alias("_null"))
+        seen = base.agg(F.avg(F.when(F.col("_f"), F.col(x))).alias("observed"))
+    else:
+        null = statistic.evaluate(met.select("draw", F.col("_moved").alias(x)), ["draw"]).select("draw", F.col("value").alias("_null"))
+        seen = statistic.evaluate(base.where("_f"), []).select(F.col("value").alias("observed"))
     both = null.crossJoin(F.broadcast(seen))  # a single row
     return both.groupBy("observed").agg(F.avg(F.when(F.col("_null") >= F.col("observed"), 1.0).otherwise(0.0)).alias("p_value"), F.avg("_null").alias("null_mean"), F.count(F.lit(1)).alias("draws"))
 

@@ -7,6 +7,7 @@ from strandline.operators import copula as K
 from strandline.operators import dependence as D
 from strandline.operators import gram as G
 from strandline.operators import resample as R
+from strandline.operators import statistics as S
 from strandline.operators.ordering import exact_quantiles
 from strandline.plans.family_c import PRIORITIES
 from strandline.plans.family_f import NAMES, _PAIR_SQL, _WIDE, _pair_rows, r
@@ -44,6 +45,31 @@ def f21m(t):
     return out.select(r("observed").alias("observed"), "p_value", "draws")
 
 
+@query("f21_block_ci_median")
+def f21bm(t):
+    x = C.log_return(t.monthly(), ["entity"], "d", "value").where("ret IS NOT NULL")
+    out = R.block_ci(x, ["entity"], "d", "ret", F.month("d").isin(6, 7, 8), 200, statistic=S.median("ret"))
+    return out.select("entity", "n", r("value").alias("median"), r("lo").alias("lo"), r("hi").alias("hi"))
+
+
+def _intervals(t, statistic):
+    out = S.interval(t.raw("lineitem"), ["l_returnflag"], ["l_suppkey"], statistic, 100)
+    return out.select("l_returnflag", r("value").alias("value"), F.col("value").between(F.col("lo"), F.col("hi")).alias("inside"), F.col("draws").cast("long").alias("draws"))
+
+
+_INTERVAL_SQL = "SELECT l_returnflag, round({}, 6) AS value, TRUE AS inside, CAST(100 AS BIGINT) AS draws FROM lineitem GROUP BY 1"
+
+
+@query("f21_interval_median", _INTERVAL_SQL.format("quantile_cont(l_extendedprice, 0.5)"))
+def f21im(t):
+    return _intervals(t, S.median("l_extendedprice"))
+
+
+@query("f21_interval_corr", _INTERVAL_SQL.format("corr(l_quantity, l_extendedprice)"))
+def f21ic(t):
+    return _intervals(t, S.correlation("l_quantity", "l_extendedprice"))
+
+
 @query(
     "f22_shuffle_invariants",
     """SELECT CAST(draw AS INTEGER) AS draw, site, CAST(month(d) AS INTEGER) AS month, count(*) AS n, round(sum(value), 2) AS total, max(value) AS top

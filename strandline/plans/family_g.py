@@ -272,6 +272,17 @@ def g22(t):
     return out.select("l_returnflag", "flag", "n", r("mean", 5).alias("mean"), r("share_up").alias("share_up"), r("others", 5).alias("others"), r("all_rows", 5).alias("all_rows"))
 
 
+@query(
+    "g22_flag_rule_interval",
+    """WITH f AS (SELECT l_returnflag, l_extendedprice / 1000 - 38 AS x, unnest(['big', 'cheap']) AS flag, unnest([l_quantity > 40, l_discount > 0.07]) AS f_on FROM lineitem)
+    SELECT l_returnflag, flag, count(*) FILTER (WHERE f_on) AS n, round(avg(x) FILTER (WHERE f_on), 5) AS mean, round(avg(x) FILTER (WHERE NOT f_on), 5) AS others, TRUE AS inside FROM f GROUP BY 1, 2""",
+)
+def g22i(t):
+    x = t.raw("lineitem").withColumn("x", F.col("l_extendedprice") / 1000 - 38)
+    out = R.flag_rule(x, ["l_returnflag"], "x", {"big": F.col("l_quantity") > 40, "cheap": F.col("l_discount") > 0.07}, ["l_suppkey"], 200)
+    return out.select("l_returnflag", "flag", "n", r("mean", 5).alias("mean"), r("others", 5).alias("others"), F.col("mean").between(F.col("lo"), F.col("hi")).alias("inside"))
+
+
 @query("g35_pca_index")
 def g35(t):
     x = t.raw("lineitem").withColumn("unit", F.col("l_extendedprice") / F.col("l_quantity"))
