@@ -6,7 +6,7 @@ aggregate of the same pass, and the time axis a small aggregate of distinct time
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -90,8 +90,14 @@ def check_zero_when_dark(df: DataFrame, ts: str, cell: Sequence[str], x: str, in
     return out.withColumn("ok", F.col("lit") == 0)
 
 
-def run_checks(df: DataFrame, ts: str, step: int, cell: Sequence[str], x: str, ins: str, ranges: dict[str, tuple[float, float]]) -> DataFrame:
-    """All checks as ``(check, ok, detail)`` from one pass over the rows."""
+def run_checks(df: DataFrame, ts: str, step: int, cell: Sequence[str], x: str, ins: str, ranges: dict[str, tuple[float, float]],
+               checks: dict[str, tuple[Column, Callable[[Column], Column]]] | None = None, skip: Sequence[str] = ()) -> DataFrame:
+    """All checks as ``(check, ok, detail)`` from one pass over the rows.
+
+    ``checks`` registers more by name: an aggregate over the rows (which carry the previous value of ``ins`` as ``_prev``) and the test that its
+    value must pass.  It joins the same pass; one named like a built-in check takes its place.  ``skip`` names checks to leave out.
+    """
+    own = {n: c for n, c in (checks or {}).items() if n not in skip}
     cols = [c for c in df.columns if c not in (ts, *cell)]
     known = {c: r for c, r in ranges.items() if c in df.columns}
     rate = F.col(x) / SECONDS_PER_HOUR
@@ -102,13 +108,16 @@ def run_checks(df: DataFrame, ts: str, step: int, cell: Sequence[str], x: str, i
     n_out = sum((F.when(o, 1).otherwise(0) for o in outside), F.lit(0))
     gone = sum((F.when(F.col(f"`{c}`").isNull(), 1).otherwise(0) for c in cols), F.lit(0))
     one = with_previous(df, ts, cell, ins).agg(
-        F.sum(gone).alias("missing"), n_out.alias("ranges"), F.max(x).alias("peak"), F.count(F.when(over, 1)).alias("over"), F.count(F.when(lit, 1)).alias("lit")
-    )
+        F.sum(gone).alias("missing"), n_out.alias("ranges"), F.max(x).alias("peak"), F.count(F.when(over, 1)).alias("over"), F.count(F.when(lit, 1)).alias("lit"),
+        *[value.alias(f"_own{i}") for i, (value, _) in enumerate(own.values())],
+    )
     axis = check_time_axis(df, ts, step).select("irregular")
     both = one.crossJoin(F.broadcast(axis))  # a single row
     name = lambda n, ok, value: (n, {"ok": ok, "detail": value.cast("long")})
-    return _long(both, "check", [
+    built_in = [
         name("time axis", F.col("irregular") == 0, F.col("irregular")), name("missing values", F.col("missing") == 0, F.col("missing")),
         name("physical ranges", F.col("ranges") == 0, F.col("ranges")), name("units", F.col("peak") >= 10_000, F.floor("peak")),
         name("upper bound", F.col("over") == 0, F.col("over")), name("dark at night", F.col("lit") == 0, F.col("lit")),
-    ])
+    ]
+    added = [name(n, test(F.col(f"_own{i}")), F.col(f"_own{i}")) for i, (n, (_, test)) in enumerate(own.items())]
+    return _long(both, "check", [c for c in built_in if c[0] not in own and c[0] not in skip] + added)

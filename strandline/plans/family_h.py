@@ -418,3 +418,19 @@ def i6(t):
 )
 def i7(t):
     return Q.run_checks(cube(t), "h", 1, ["cell"], "ssrd", "ins", {c: Q.RANGES[c] for c in ("ssrd", "2t")})
+
+
+@query(
+    "i7_own_checks",
+    f"""WITH {_CUBE}, a AS (SELECT count(*) - count(ssrd) + count(*) - count("2t") + count(*) - count(ins) AS missing, max(ssrd) AS peak, count(*) FILTER (WHERE "2t" < 280) AS cold, count(DISTINCT cell) AS cells FROM pv)
+    SELECT 'missing values' AS "check", missing = 0 AS ok, CAST(missing AS BIGINT) AS detail FROM a UNION ALL SELECT 'units', peak >= 5, CAST(floor(peak) AS BIGINT) FROM a
+    UNION ALL SELECT 'cold hours', cold = 0, cold FROM a UNION ALL SELECT 'cells', cells > 1, cells FROM a""",
+    "hourly",
+)
+def i7own(t):
+    own = {
+        "units": (F.floor(F.max("ssrd")), lambda v: v >= 5), "cold hours": (F.count(F.when(F.col("2t") < 280, 1)), lambda v: v == 0),
+        "cells": (F.count_distinct("cell"), lambda v: v > 1), "unused": (F.count(F.lit(1)), lambda v: v > 0),
+    }
+    skip = ["time axis", "physical ranges", "upper bound", "dark at night", "unused"]
+    return Q.run_checks(cube(t), "h", 1, ["cell"], "ssrd", "ins", {c: Q.RANGES[c] for c in ("ssrd", "2t")}, own, skip)
