@@ -213,15 +213,13 @@ def _standard_beta(g: np.ndarray) -> np.ndarray:
 def cluster_bootstrap(df: DataFrame, cluster: str, y: str, xs: Sequence[str], draws: int, seed: int = 0) -> DataFrame:
     """Standardised betas with a 90% interval from resampled clusters.
 
-    The Gram of a cluster is computed once; a draw is a weighted sum of cluster Grams.
+    The Gram of a cluster is computed once; a draw is a sum of cluster Grams weighted with Poisson numbers.  A null cluster is one.
     """
-    from strandline.operators.resample import cluster_counts
-
     names = list(xs)
     per = df.groupBy(cluster).agg(G.moments([*xs, y]).alias("_g"))
-    counts = cluster_counts(per.select(cluster), cluster, draws, seed)
     point = per.select(F.lit(-1).alias("draw"), F.lit(1).cast("long").alias("times"), "_g")
-    drawn = counts.join(per, cluster).select("draw", "times", "_g").unionByName(point)
+    weight = S.poisson_weight(F.lit(seed), F.col("draw"), F.col(cluster)).cast("long")
+    drawn = per.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1)))).select("draw", weight.alias("times"), "_g").where("times > 0").unionByName(point)
     cells = drawn.select("draw", "times", F.posexplode("_g").alias("c", "v")).groupBy("draw", "c").agg(F.sum(F.col("times") * F.col("v")).alias("v"))
     grams = cells.groupBy("draw").agg(F.sort_array(F.collect_list(F.struct("c", "v"))).alias("_c")).select("draw", F.transform("_c", lambda c: c["v"]).alias("_g"))
 

@@ -1,7 +1,7 @@
 """Resampling with hash-seeded draws: the same rows come back on any cluster layout.
 
 A draw is a function of (seed, draw, position), never of a partition or a task.  Series
-resampled by position have one row per period; cluster resampling moves only sums.
+resampled by position have one row per period; clusters are resampled in ``statistics``.
 """
 
 from __future__ import annotations
@@ -131,20 +131,6 @@ def independent_years(df: DataFrame, site: str, d: str, x: str, draws: int, seed
     return sites.select(site, "draw", pick.alias("_y")).join(monthly, [site, "_y"]).groupBy("draw", "month").agg(F.sum("_v").alias("total"), F.count(F.lit(1)).alias("sites"))
 
 
-def cluster_counts(clusters: DataFrame, cluster: str, draws: int, seed: int = 0) -> DataFrame:
-    """How often each cluster is picked in each draw (as many picks as clusters).
-
-    ``clusters`` has one row per cluster.  Picks are a draws-by-clusters table; the data of a
-    cluster enters as its sums, weighted with the count.
-    """
-    w = Window.orderBy(cluster)  # one row per cluster
-    named = clusters.select(cluster, (F.row_number().over(w) - 1).alias("_i"), F.count(F.lit(1)).over(Window.partitionBy()).alias("_k"))
-    slots = named.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
-    picked = slots.select("draw", hash_int(F.col("_k"), seed, F.col("draw"), F.col("_i")).cast("int").alias("_i"))
-    counts = picked.groupBy("draw", "_i").agg(F.count(F.lit(1)).alias("times"))
-    return counts.join(named.select(cluster, "_i"), "_i").drop("_i")
-
-
 def error_overlay(base: DataFrame, errors: DataFrame, site: str, d: str, x: str, err: str, draws: int, half: int = 30, seed: int = 0) -> DataFrame:
     """Add to each base day the errors of one past day of the same season (same pick for all sites).
 
