@@ -301,7 +301,10 @@ def multilevel_stats(runs: DataFrame, level: str, seed: str, fine: str, coarse:
 
 def grid_scores(df: DataFrame, params: Sequence[str], site: str, year: str, model: str, obs: str, min_years: int = 15) -> DataFrame:
     """Per parameter set: Spearman of site levels and of site trends, and the median
-    year-to-year correlation at a site."""
+    year-to-year correlation at a site.
+
+    Levels and trends that agree to ten digits of the largest level are ties, whatever the order in which
+    the rows of a large table were added up."""
     both = df.where(F.col(model).isNotNull() & F.col(obs).isNotNull())
     keys = [*params, site]
     level = both.groupBy(*keys).agg(
@@ -310,10 +313,14 @@ def grid_scores(df: DataFrame, params: Sequence[str], site: str, year: str, mode
     ).where(F.col("_n") >= min_years)
     trend = theil_sen(both, keys, year, [model, obs])
     per = level.join(trend, keys)
-    cols = {"_lm": "_lm", "_lo": "_lo", "_tm": f"{model}_slope", "_to": f"{obs}_slope"}
-    for out, c in cols.items():  # one row per site: ranks inside a parameter set
-        g = Window.partitionBy(*params)
-        per = per.withColumn(f"{out}_r", F.rank().over(g.orderBy(F.round(c, 9))) + (F.count(F.lit(1)).over(Window.partitionBy(*params, F.round(c, 9))) - 1) / 2)
+    # one row per site: ranks inside a parameter set, at a step of 1e-9 of the largest level's power of ten
+    g = Window.partitionBy(*params)
+    step = lambda c: F.pow(F.lit(10.0), 9 - F.floor(F.log10(F.greatest(F.max(F.abs(c)).over(g), F.lit(1e-90)))))
+    per = per.withColumn("_sm", step("_lm")).withColumn("_so", step("_lo"))
+    cols = {"_lm": ("_lm", "_sm"), "_lo": ("_lo", "_so"), "_tm": (f"{model}_slope", "_sm"), "_to": (f"{obs}_slope", "_so")}
+    for out, (c, s) in cols.items():
+        per = per.withColumn(f"{out}_k", F.round(F.col(c) * F.col(s)))
+        per = per.withColumn(f"{out}_r", F.rank().over(g.orderBy(f"{out}_k")) + (F.count(F.lit(1)).over(Window.partitionBy(*params, f"{out}_k")) - 1) / 2)
     r = lambda a, b: F.try_divide(F.covar_pop(f"{a}_r", f"{b}_r"), F.stddev_pop(f"{a}_r") * F.stddev_pop(f"{b}_r"))
     scores = per.groupBy(*params).agg(r("_lm", "_lo").alias("level"), r("_tm", "_to").alias("trend"), F.count(F.lit(1)).alias("sites"))
     med = exact_quantiles(per.where("_yy IS NOT NULL"), params, "_yy", [0.5]).select(*params, F.col("_yy").alias("year_to_year"))

@@ -191,9 +191,11 @@ def g32(t):
 _GRID = """gm AS (SELECT power, site, year, pow(n, power) + site AS model, value AS obs FROM site_year, (SELECT unnest([0.5, 1.0, 2.0])::DOUBLE AS power)),
     lv AS (SELECT power, site, avg(model) AS lm, avg(obs) AS lo, corr(model, obs) AS yy FROM gm GROUP BY 1, 2 HAVING count(*) >= 5),
     tr AS (SELECT a.power, a.site, quantile_cont((b.model - a.model) / (b.year - a.year), 0.5) AS tm, quantile_cont((b.obs - a.obs) / (b.year - a.year), 0.5) AS tobs FROM gm a JOIN gm b ON a.power = b.power AND a.site = b.site AND a.year < b.year GROUP BY 1, 2),
+    sp AS (SELECT power, pow(10, 9 - floor(log10(greatest(max(abs(lm)), 1e-90)))) AS sm, pow(10, 9 - floor(log10(greatest(max(abs(lo)), 1e-90)))) AS so FROM lv GROUP BY 1),
+    kt AS (SELECT power, yy, round(lm * sm) AS lm, round(lo * so) AS lo, round(tm * sm) AS tm, round(tobs * so) AS tobs FROM lv JOIN tr USING (power, site) JOIN sp USING (power)),
     rk AS (SELECT power, yy, """ + ", ".join(
-    f"rank() OVER (PARTITION BY power ORDER BY round({c}, 9)) + (count(*) OVER (PARTITION BY power, round({c}, 9)) - 1) / 2 AS r_{c}" for c in ("lm", "lo", "tm", "tobs")
-) + """ FROM lv JOIN tr USING (power, site)),
+    f"rank() OVER (PARTITION BY power ORDER BY {c}) + (count(*) OVER (PARTITION BY power, {c}) - 1) / 2 AS r_{c}" for c in ("lm", "lo", "tm", "tobs")
+) + """ FROM kt),
     sc AS (SELECT power, corr(r_lm, r_lo) AS level, corr(r_tm, r_tobs) AS trend, quantile_cont(yy, 0.5) AS yy, count(*) AS sites FROM rk GROUP BY 1)"""
 
 
