@@ -105,26 +105,37 @@ def nearest(points: DataFrame, grid: DataFrame, pid: str, gid: str, lat: str = "
     Queries go together in cells of at most 64 neighbours.  A cell starts with the top nodes of the grid's tree (at most 64, so
     they can be broadcast) and goes down a level at a time: children of the nodes still in question, minus those whose box is further than the nearest
     box surely reaches.  Then the cells are split to 8 queries and to one, each time with the same test, and the points of the few leaves
-    left are measured.  Neither a cell nor a leaf grows with the density, and copies of a position count once in the grid.
+    left are measured.  Neither a cell nor a leaf grows with the density, and copies of a position count once on both sides: each distinct
+    position is looked up once and joined back to its points.  ``pid`` names a point.
 
     With ``group`` the two sides must differ in that column; rows without a group have no partner.  Points without coordinates are left out.
     """
     g = [F.col(group).alias("g")] if group else []
     needed = [lat, lon, *([group] if group else [])]
-    asked = points.dropna(subset=needed).select(F.col(pid).alias("_pid"), F.col(lat).alias("_lat"), F.col(lon).alias("_lon"), *on_sphere(lat, lon), *g)
+    at = {"_lat": F.col(lat), "_lon": F.col(lon)} | ({"g": F.col(group)} if group else {})
+    located = points.dropna(subset=needed).select(F.col(pid).alias("_pid"), *[c.alias(n) for n, c in at.items()])
+    asked = located.select(*at).distinct()
+    spots = asked.select("*", *on_sphere("_lat", "_lon"))
     places = grid.dropna(subset=needed).groupBy(F.col(lat).alias("_glat"), F.col(lon).alias("_glon"), *g).agg(F.min(gid).alias("_gid"))
     places, bits = numbered(places.select("*", *on_sphere("_glat", "_glon")), "grid")
-    fields = ["_gid", "_glat", "_glon", *(["g"] if group else [])]
-    if 1 << bits <= TOP_NODES:  # few places: each query meets them all, as it would meet the top nodes
-        few = F.broadcast(places.select(F.struct(*fields).alias("_m")))
-        return _best(asked.withColumnsRenamed({"g": "q_g_lo"}).crossJoin(few), group, pid, gid)
+    best = _nearest_places(spots, places, bits, bool(group))
+    return located.join(best, list(at)).select(F.col("_pid").alias(pid), F.col("gid").alias(gid), "km")
+
+
+def _nearest_places(asked: DataFrame, places: DataFrame, bits: int, has_group: bool) -> DataFrame:
+    """Nearest place ``(_lat, _lon, g, km, gid)`` of every distinct position."""
+    fields = ["_gid", "_glat", "_glon", *(["g"] if has_group else [])]
+    key = ["_lat", "_lon", *(["g"] if has_group else [])]
+    if 1 << bits <= TOP_NODES:  # few places: each position meets them all, as it would meet the top nodes
+        few = places.agg(F.collect_list(F.struct(*fields)).alias("_members"))  # a single row of at most 64
+        met = asked.crossJoin(F.broadcast(few)).withColumn("_b", _best_of(has_group, "g")).where("_b IS NOT NULL")
+        return met.select(*key, "_b.km", "_b.gid")
     asked, _ = numbered(asked, "queries")
-    has_group = bool(group)
     depths = max(0, math.ceil((bits - LEAF_BITS - math.log2(TOP_NODES)) / LEAF_BITS))
     levels = [_boxes(places, F.shiftright("_n", LEAF_BITS), has_group)]
     for _ in range(depths):
         levels.append(_parents(levels[-1], LEAF_BITS, has_group))
-    sides = {f"{c}_{n}": f"q_{c}_{n}" for c in (*_AXES, *(["g"] if group else [])) for n in ("lo", "hi")}
+    sides = {f"{c}_{n}": f"q_{c}_{n}" for c in (*_AXES, *(["g"] if has_group else [])) for n in ("lo", "hi")}
     queried = list(sides.values())
     coarse, fine = (_boxes(asked, F.shiftright("_n", b), has_group).withColumnsRenamed({"node": "cell"} | sides) for b in CELL_BITS)
     frontier = _prune(coarse.crossJoin(F.broadcast(levels[-1])), has_group)  # at most 64 rows are broadcast
@@ -136,18 +147,19 @@ def nearest(points: DataFrame, grid: DataFrame, pid: str, gid: str, lat: str = "
     frontier = frontier.select(F.col("cell").alias("_parent"), *boxes).join(fine.withColumn("_parent", F.shiftright("cell", CELL_BITS[0] - CELL_BITS[1])), "_parent")
     frontier = _prune(frontier, has_group).select(F.col("cell").alias("_parent"), *boxes)
     single = asked.select(
-        F.shiftright("_n", CELL_BITS[1]).alias("_parent"), F.col("_n").alias("cell"), "_pid", "_lat", "_lon",
-        *[F.col(c).alias(f"q_{c}_{n}") for c in (*_AXES, *(["g"] if group else [])) for n in ("lo", "hi")],
+        F.shiftright("_n", CELL_BITS[1]).alias("_parent"), F.col("_n").alias("cell"), "_lat", "_lon",
+        *[F.col(c).alias(f"q_{c}_{n}") for c in (*_AXES, *(["g"] if has_group else [])) for n in ("lo", "hi")],
     )
-    own = ["_pid", "_lat", "_lon", *(["q_g_lo"] if group else [])]
+    own = ["cell", "_lat", "_lon", *(["q_g_lo"] if has_group else [])]
     frontier = _prune(frontier.join(single, "_parent"), has_group).select("node", *own)
     leaves = places.groupBy(F.shiftright("_n", LEAF_BITS).alias("node")).agg(F.collect_list(F.struct(*fields)).alias("_members"))  # at most 16
-    return _best(frontier.join(leaves, "node").select(*own, F.explode("_members").alias("_m")), group, pid, gid)
+    met = frontier.join(leaves, "node").withColumn("_b", _best_of(has_group, "q_g_lo")).where("_b IS NOT NULL")
+    found = met.groupBy("cell").agg(F.min(F.struct("_b.km", "_b.gid", *own[1:])).alias("_b"))
+    return found.select("_b.*").withColumnsRenamed({"q_g_lo": "g"})
 
 
-def _best(measured: DataFrame, group: str | None, pid: str, gid: str) -> DataFrame:
-    if group:
-        measured = measured.where(F.col("q_g_lo") != F.col("_m.g"))
-    km = F.round(C.haversine_km("_lat", "_lon", F.col("_m._glat"), F.col("_m._glon")), 9)
-    best = measured.groupBy("_pid").agg(F.min(F.struct(km.alias("km"), F.col("_m._gid").alias("gid"))).alias("_b"))
-    return best.select(F.col("_pid").alias(pid), F.col("_b.gid").alias(gid), F.col("_b.km").alias("km"))
+def _best_of(has_group: bool, own: str) -> Column:
+    """Best of the row's ``_members`` as (km, gid); null if all are of the row's group."""
+    members = F.filter("_members", lambda m: m["g"] != F.col(own)) if has_group else F.col("_members")
+    km = lambda m: F.round(C.haversine_km("_lat", "_lon", m["_glat"], m["_glon"]), 9)
+    return F.array_min(F.transform(members, lambda m: F.struct(km(m).alias("km"), m["_gid"].alias("gid"))))

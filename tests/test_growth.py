@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from strandline.operators import hedging
+from strandline.operators import aggregate, hedging, joins, raster, spatial
 
 
 def test_grid_scores_ties_of_large_values(spark):
@@ -20,3 +20,18 @@ def test_grid_scores_ties_of_large_values(spark):
     got, want = score(rows).first(), score(exact).first()
     assert got["level"] == pytest.approx(want["level"], abs=1e-12)
     assert got["trend"] == pytest.approx(want["trend"], abs=1e-12)
+
+
+def _plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_nearest_looks_up_a_position_once(spark):
+    """Copies of a position are one look-up: few places are an array beside it, not rows of their own."""
+    points = spark.range(4000).selectExpr("id AS p", "CAST(id % 7 AS DOUBLE) AS lat", "CAST(id % 5 AS DOUBLE) AS lon")
+    grid = spark.createDataFrame([(1, 0.0, 0.0), (2, 6.0, 4.0), (3, 3.0, 2.0)], "gid long, lat double, lon double")
+    out = spatial.nearest(points, grid, "p", "gid")
+    near = {tuple(r) for r in out.join(points, "p").select("lat", "lon", "gid").distinct().collect()}
+    assert out.count() == 4000 and len(near) == 35
+    assert (0.0, 0.0, 1) in near and (6.0, 4.0, 2) in near and (3.0, 2.0, 3) in near
+    assert "Aggregate [_pid" not in _plan(out)
