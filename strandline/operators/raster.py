@@ -202,17 +202,26 @@ def distance_to_mask(pixels: DataFrame, keys: Sequence[str], mask: Column, step:
 def bilinear_regrid(coarse: DataFrame, fine: DataFrame, keys: Sequence[str], x: str, fid: str, shape: tuple[int, int]) -> DataFrame:
     """Coarse cells onto fine points given in coarse row and column units; edges clamp.
 
-    Each point has four weighted corners; the join is by cell.
+    The four corners of every square between cells are gathered first, so a point meets one square per key and its
+    value is made in that row; nothing is summed by point.  ``fid`` names a point.
     """
+    keys = list(keys)
     ny, nx = shape
     row, colm = F.least(F.greatest(F.col("row"), F.lit(0.0)), F.lit(ny - 1.0)), F.least(F.greatest(F.col("col"), F.lit(0.0)), F.lit(nx - 1.0))
     y0, x0 = F.least(F.floor(row), F.lit(max(ny - 2, 0))), F.least(F.floor(colm), F.lit(max(nx - 2, 0)))
-    fy, fx = row - y0, colm - x0
-    corner = lambda dy, dx, w: F.struct((y0 + dy).cast("int").alias("iy"), (x0 + dx).cast("int").alias("ix"), w.alias("_w"))
     one = F.lit(1.0)
-    corners = F.array(corner(0, 0, (one - fy) * (one - fx)), corner(0, 1, (one - fy) * fx), corner(1, 0, fy * (one - fx)), corner(1, 1, fy * fx))
-    points = fine.select(fid, F.inline(corners)).where("_w > 0")
-    return coarse.select(*keys, "iy", "ix", x).join(points, ["iy", "ix"]).groupBy(*keys, fid).agg(F.sum(F.col("_w") * F.col(x)).alias(x))
+    points = fine.select(fid, y0.cast("int").alias("_y"), x0.cast("int").alias("_x"), (row - y0).alias("_fy"), (colm - x0).alias("_fx"))
+    at = [(0, 0), (0, 1), (1, 0), (1, 1)]
+    square = F.array(*[F.struct((F.col("iy") - dy).alias("_y"), (F.col("ix") - dx).alias("_x"), F.lit(k).alias("_k")) for k, (dy, dx) in enumerate(at)])
+    mine = lambda k, c: F.when(F.col("_k") == k, c)
+    squares = coarse.select(*keys, F.col(x).alias("_v"), F.inline(square)).groupBy(*keys, "_y", "_x").agg(
+        *[F.count(mine(k, F.lit(1))).alias(f"_n{k}") for k in range(4)], *[F.sum(mine(k, F.col("_v"))).alias(f"_v{k}") for k in range(4)]
+    )
+    weight = [(F.col("_fy") if dy else one - F.col("_fy")) * (F.col("_fx") if dx else one - F.col("_fx")) for dy, dx in at]
+    met = [(weight[k] > 0) & (F.col(f"_n{k}") > 0) for k in range(4)]
+    terms = [F.when(met[k], weight[k] * F.col(f"_v{k}")) for k in range(4)]
+    value = F.when(F.coalesce(*terms).isNotNull(), sum((F.coalesce(v, F.lit(0.0)) for v in terms), F.lit(0.0)))
+    return points.join(squares, ["_y", "_x"]).where(met[0] | met[1] | met[2] | met[3]).select(*keys, fid, value.alias(x))
 
 
 def nearest_cell(points: DataFrame, seen: DataFrame, keys: Sequence[str], size: tuple[int, ...] = (2, 8, 64, 1 << 30)) -> DataFrame:

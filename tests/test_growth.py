@@ -35,3 +35,12 @@ def test_nearest_looks_up_a_position_once(spark):
     assert out.count() == 4000 and len(near) == 35
     assert (0.0, 0.0, 1) in near and (6.0, 4.0, 2) in near and (3.0, 2.0, 3) in near
     assert "Aggregate [_pid" not in _plan(out)
+
+
+def test_regrid_sums_nothing_by_point(spark):
+    coarse = spark.createDataFrame([("a", y, x, float(10 * y + x)) for y in range(3) for x in range(3) if (y, x) != (1, 1)], "k string, iy int, ix int, v double")
+    fine = spark.createDataFrame([(1, 0.0, 0.5), (2, 0.5, 0.5), (3, 1.0, 1.0), (4, 9.0, 9.0)], "f long, row double, col double")
+    out = raster.bilinear_regrid(coarse, fine, ["k"], "v", "f", (3, 3))
+    got = {r["f"]: r["v"] for r in out.collect()}
+    assert got == {1: 0.5, 2: 0.25 * (0 + 1 + 10), 4: 22.0}  # a missing corner has no share; point 3 lies on it
+    assert "Aggregate [k" not in _plan(out).split("Join")[0]
