@@ -44,3 +44,10 @@ def test_regrid_sums_nothing_by_point(spark):
     got = {r["f"]: r["v"] for r in out.collect()}
     assert got == {1: 0.5, 2: 0.25 * (0 + 1 + 10), 4: 22.0}  # a missing corner has no share; point 3 lies on it
     assert "Aggregate [k" not in _plan(out).split("Join")[0]
+
+
+def test_top_rows_are_limited_before_the_shuffle(spark):
+    df = spark.createDataFrame([(k % 3, float(k)) for k in range(60)] + [(None, 5.0), (9, None)], "k int, x double")
+    out = aggregate.top_k_mean(df, ["k"], "x", 3)
+    assert {r["k"]: r["top"] for r in out.collect()} == {0: 54.0, 1: 55.0, 2: 56.0, None: 5.0}
+    assert "WindowGroupLimit" in _plan(out)
