@@ -57,9 +57,18 @@ def asof_last(left, right, keys, t, cols, slice_by: Column | None = None, tie: S
     return _asof(left, right, list(keys), t, list(cols), slice_by, True, tie)
 
 
-def asof_next(left, right, keys, t, cols, slice_by: Column | None = None, tie: Sequence[str] = ()) -> DataFrame:
-    """First right row at or after each left row."""
-    return _asof(left, right, list(keys), t, list(cols), slice_by, False, tie)
+def asof_next(left, right, keys, t, cols, slice_by: Column | None = None, tie: Sequence[str] = (), shared_times: bool = False) -> DataFrame:
+    """First right row at or after each left row.
+
+    With ``shared_times`` (days of a calendar, say) each distinct time of a key is looked up once, and its
+    rows fetch the answer: what a task sorts doesn't grow with the rows of a day.
+    """
+    keys, cols = list(keys), list(cols)
+    if not shared_times:
+        return _asof(left, right, keys, t, cols, slice_by, False, tie)
+    times = left.select(*keys, t).distinct()
+    found = staged(_asof(times, right, keys, t, cols, slice_by, False, [c for c in tie if c in right.columns]), "times")
+    return join_on(left, found, [*keys, t], "left")
 
 
 ENDPOINTS = 512  # starts and ends that a planned range holds about

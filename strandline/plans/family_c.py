@@ -67,7 +67,7 @@ def c3(t):
 def c4(t):
     events = t.raw("orders").select("o_orderkey", F.col("o_orderpriority").alias("entity"), F.date_add(F.to_date("o_orderdate"), 1).alias("d"))
     calendar = t.daily().select("entity", "d", F.col("d").alias("trading"))
-    return J.asof_next(events, calendar, ["entity"], "d", ["trading"], tie=["o_orderkey"]).select("o_orderkey", "trading")
+    return J.asof_next(events, calendar, ["entity"], "d", ["trading"], shared_times=True).select("o_orderkey", "trading")
 
 
 def tick_intervals(t):
