@@ -60,8 +60,8 @@ class Sums:
 class Quantile:
     """Exact quantile with linear interpolation between the two rows next to it.
 
-    Values lie in ranges of about 4,096 rows.  The weight of every range is known per draw first; only rows of the ranges that hold a sought
-    rank of some draw are weighed one by one.
+    Values lie in ranges of about 4,096 rows; those far from the quantile are taken together.  The weight of every range is known per draw
+    first; only rows of the ranges that hold a sought rank of some draw are weighed one by one.
     """
 
     x: str
@@ -74,7 +74,8 @@ class Quantile:
         keys, unit = list(keys), list(unit)
         cols = list(dict.fromkeys([*keys, *unit]))
         rows = staged(df.where(F.col(self.x).isNotNull()).select(*cols, F.col(self.x).cast("double").alias("_v")), "values")
-        ranged = locate(rows, keys, "_v", "_range", planned_edges(rows, keys, "_v", rows=RANGE))
+        ranged = staged(locate(rows, keys, "_v", "_range", planned_edges(rows, keys, "_v", rows=RANGE)), "ranged")
+        ranged = self._bracketed(ranged, keys, unit)
         weighed = _draws(ranged.groupBy(*list(dict.fromkeys([*cols, "_range"]))).agg(F.count(F.lit(1)).alias("_c")), unit, draws, seed)
         per = weighed.groupBy(*keys, "draw", "_range").agg(F.sum(F.col("_c") * F.col("_w")).alias("_n"))
         whole = Window.partitionBy(*keys, "draw")  # one row per range
@@ -93,6 +94,24 @@ class Quantile:
         )
         return ends.select(*keys, "draw", (F.col("_lo") + F.col("_f") * (F.col("_hi") - F.col("_lo"))).alias("value"))
 
+    def _bracketed(self, ranged: DataFrame, keys: list[str], unit: list[str]) -> DataFrame:
+        """Ranges on either side of where draws can be expected to fall become one each, so that a unit is weighed there once.
+
+        A unit moves the sought rank of a draw by its rows at or below the quantile minus ``q`` times its rows, times a number of variance one.
+        Eight standard deviations and a range's rows are kept on both sides; a draw outside would still be exact, as its one range is ordered as a whole.
+        """
+        per = ranged.groupBy(*keys, "_range").agg(F.count(F.lit(1)).alias("_n"))
+        whole = Window.partitionBy(*keys)  # one row per range
+        upto = F.sum("_n").over(whole.orderBy("_range").rowsBetween(Window.unboundedPreceding, 0))
+        per = staged(per.withColumn("_upto", upto).withColumn("_h", F.sum("_n").over(whole) * self.q), "ranges")
+        middle = staged(per.where(F.col("_upto") >= F.col("_h")).groupBy(*keys).agg(F.min("_range").alias("_at")), "middle")
+        share = F.when(F.col("_range") <= F.col("_at"), 1 - self.q).otherwise(-self.q)
+        moved = join_on(ranged, middle, keys).groupBy(*list(dict.fromkeys([*keys, *unit]))).agg(F.sum(share).alias("_d"))
+        spread = moved.groupBy(*keys).agg((F.sqrt(F.sum(F.col("_d") * F.col("_d"))) * 8 + RANGE).alias("_reach"))
+        kept = join_on(per, spread, keys).where((F.col("_upto") >= F.col("_h") - F.col("_reach")) & (F.col("_upto") - F.col("_n") <= F.col("_h") + F.col("_reach")))
+        ends = staged(kept.groupBy(*keys).agg(F.min("_range").alias("_from"), F.max("_range").alias("_to")), "bracket")
+        return join_on(ranged, ends, keys).withColumn("_range", F.greatest(F.col("_from") - 1, F.least(F.col("_to") + 1, F.col("_range")))).drop("_from", "_to")
+
 
 def mean(x: str) -> Sums:
     return Sums([F.col(x), F.when(F.col(x).isNotNull(), 1)], lambda s, n: F.try_divide(s, n))

@@ -3,7 +3,9 @@
 import numpy as np
 import pytest
 
-from strandline.operators import aggregate, hedging, joins, raster, spatial
+from pyspark.sql import functions as F
+
+from strandline.operators import aggregate, hedging, joins, ordering, raster, spatial, statistics
 
 
 def test_grid_scores_ties_of_large_values(spark):
@@ -60,3 +62,38 @@ def test_shared_times_give_the_same_answers(spark):
     once = joins.asof_next(left, right, ["k"], "t", ["x"], shared_times=True)
     assert sorted(map(str, once.collect())) == sorted(map(str, plain.select(once.columns).collect()))
     assert "Window" not in _plan(once)  # the rows themselves are joined, not sorted in ranges
+
+
+def test_quantiles_and_tails_order_one_range_only(spark, monkeypatch):
+    """Whole ranges count by their sums; the rows that are ordered are those of the ranges the cuts go through."""
+    rng = np.random.default_rng(5)
+    x = {"a": np.round(rng.normal(0, 100, 5000), 1), None: np.repeat(7.0, 300), "b": np.array([3.0])}
+    df = spark.createDataFrame([(k, float(v)) for k, vs in x.items() for v in vs] + [("b", None)], "k string, x double")
+    joined = []
+    inner = ordering._ranked_inside
+    monkeypatch.setattr(ordering, "_ranked_inside", lambda ranged, wanted, *a: joined.append(ordering.join_on(ranged, wanted, ["k", "_range"]).where("k = 'a'").count()) or inner(ranged, wanted, *a))
+    got = {(r["k"], r["q"]): r["x"] for r in ordering.exact_quantiles(df, ["k"], "x", [0.05, 0.5, 1.0]).collect()}
+    for k, vs in x.items():
+        for q in (0.05, 0.5, 1.0):
+            assert got[k, q] == pytest.approx(np.quantile(vs, q), abs=1e-12)
+    for largest in (False, True):
+        tail = ordering.tail_mean(df, ["k"], "x", F.ceil(F.col("n_all") * 0.1), "m", largest)
+        for r in tail.collect():
+            vs = np.sort(x[r["k"]])[:: -1 if largest else 1]
+            assert r["m"] == pytest.approx(vs[: int(np.ceil(len(vs) * 0.1))].mean(), abs=1e-9)
+    assert len(joined) == 3 and max(joined) < 500
+
+
+def test_draws_of_a_median_weigh_far_ranges_once(spark, monkeypatch):
+    monkeypatch.setattr(statistics, "RANGE", 16)
+    rng = np.random.default_rng(8)
+    rows = spark.createDataFrame([("ab"[i % 2], i % 150, float(v)) for i, v in enumerate(np.round(rng.normal(0, 50, 6000), 1))], "k string, u int, x double")
+    calls = []
+    draws = statistics._draws
+    monkeypatch.setattr(statistics, "_draws", lambda df, *a: calls.append(df.select("k", "_range").distinct().count()) or draws(df, *a))
+    got = {(r["k"], r["draw"]): r["value"] for r in statistics.median("x").drawn(rows, ["k"], ["u"], 6, 1).collect()}
+    ranges = len(calls) and calls[0]
+    assert 0 < ranges < 300  # of some 375 ranges of 16 rows
+    w = draws(rows, ["u"], 6, 1).select("k", "draw", "x", "_w").toPandas()
+    for (k, d), part in w.groupby(["k", "draw"]):
+        assert got[k, d] == pytest.approx(np.median(np.repeat(part["x"], part["_w"])), abs=1e-12)
