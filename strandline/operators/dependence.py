@@ -173,6 +173,7 @@ def tail_dependence(df: DataFrame, keys: Sequence[str], x: str, y: str, qs: Sequ
     for c in (x, y):
         cuts[c] = quantile_columns(df, keys, c, {f"_{c}{i}": a for i, a in enumerate(at)})
     edges = cuts[x].join(cuts[y], keys) if keys else cuts[x].crossJoin(F.broadcast(cuts[y]))
+    edges = staged(edges, "cuts")  # one row per key, of known size: the rows needn't meet by key
     rows = df.join(edges, keys) if keys else df.crossJoin(F.broadcast(edges))
     beyond = (lambda c, i: F.col(c) <= F.col(f"_{c}{i}")) if side == "lower" else (lambda c, i: F.col(c) >= F.col(f"_{c}{i}"))
     aggs = [F.avg(F.when(beyond(x, i), F.when(beyond(y, i), 1.0).otherwise(0.0))).alias(f"_chi{i}") for i in range(len(qs))]

@@ -18,7 +18,7 @@ from pyspark.sql.types import ArrayType
 
 from strandline.storage import staged
 
-FANOUT, WIDE = 64, 256
+FANOUT, WIDE, STRIDE = 64, 256, 16
 
 
 def default_slices(df: DataFrame) -> int:
@@ -90,11 +90,19 @@ def planned_edges(df: DataFrame, keys: Sequence[str], x: str, slices: int | None
 
 def _locate_level(df: DataFrame, keys: list[str], x: str, name: str, edges: DataFrame | list, deeper: bool) -> DataFrame:
     if isinstance(edges, list):
-        kind = df.schema[x].dataType
-        return df.withColumn(name, F.coalesce(F.size(F.filter(F.lit(edges).cast(ArrayType(kind)), lambda e: e < F.col(x))), F.lit(0)).cast("long"))
-    found = join_on(df, edges, [*keys, name] if deeper else keys)
-    below = F.coalesce(F.size(F.filter("_edges", lambda e: e < F.col(x))), F.lit(0)).cast("long")
-    return found.withColumn(name, F.col(name) * FANOUT + below if deeper else below).drop("_edges")
+        kind = ArrayType(df.schema[x].dataType)
+        return df.withColumn(name, _below(F.lit(edges).cast(kind), F.lit(edges[STRIDE - 1 :: STRIDE]).cast(kind), x))
+    heads = F.filter("_edges", lambda e, i: i % STRIDE == STRIDE - 1)
+    found = join_on(df, edges.withColumn("_heads", heads), [*keys, name] if deeper else keys)
+    below = _below(F.col("_edges"), F.col("_heads"), x)
+    return found.withColumn(name, F.col(name) * FANOUT + below if deeper else below).drop("_edges", "_heads")
+
+
+def _below(edges: Column, heads: Column, x: str) -> Column:
+    """Number of ascending edges below ``x``: first among every 16th, then among the 16 that follow."""
+    count = lambda a: F.coalesce(F.size(F.filter(a, lambda e: e < F.col(x))), F.lit(0))
+    skip = count(heads) * STRIDE
+    return (skip + count(F.slice(edges, skip + 1, STRIDE))).cast("long")
 
 
 def locate(df: DataFrame, keys: Sequence[str], x: str, name: str, edges: Sequence[DataFrame]) -> DataFrame:
@@ -139,22 +147,45 @@ def value_ranks(df: DataFrame, keys: Sequence[str], x: str, slices: int | None =
     return out.select(*keys, x, "n_eq", *[f"{p}_all" for p in parts], *below)
 
 
+def _ranges(df: DataFrame, keys: list[str], x: str) -> tuple[DataFrame, DataFrame]:
+    """Rows with the planned range of ``x``, and one row per range: rows and total inside, below and in the whole key.
+
+    No row is sorted or shuffled here: ranges come from a sketch, and their sums are partial aggregates.
+    """
+    rows = df.where(F.col(x).isNotNull()).select(*keys, x)
+    ranged = locate(rows, keys, x, "_range", planned_edges(rows, keys, x, WIDE))
+    per = ranged.groupBy(*keys, "_range").agg(F.count(F.lit(1)).alias("_n"), F.sum(x).alias("_s"))
+    whole = Window.partitionBy(*keys)  # at most 256 rows a key
+    earlier = whole.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    return ranged, per.select("*", F.sum("_n").over(whole).alias("n_all"), F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_below"))
+
+
+def _ranked_inside(ranged: DataFrame, wanted: DataFrame, keys: list[str], x: str) -> DataFrame:
+    """Distinct values of the wanted ranges with copies ``n_eq`` and smaller rows ``n_below``; other columns of ``wanted`` stay."""
+    per = wanted.columns
+    values = join_on(ranged, wanted, [*keys, "_range"]).groupBy(*per, x).agg(F.count(F.lit(1)).alias("n_eq"))
+    inside = Window.partitionBy(*keys, "_range").orderBy(x).rowsBetween(Window.unboundedPreceding, -1)
+    return values.withColumn("n_below", F.col("_below") + F.coalesce(F.sum("n_eq").over(inside), F.lit(0)))
+
+
 def exact_quantiles(
     df: DataFrame, keys: Sequence[str], x: str, qs: Sequence[float], slices: int | None = None
 ) -> DataFrame:
     """Exact linear-interpolation quantiles, one row per (keys, q).
 
-    Only the two order statistics next to each quantile leave the rank table.
+    Ranges of values are counted first; only rows of the few that hold an order statistic next to a quantile are
+    brought together and ordered.  ``slices`` is kept for callers and no longer needed.
     """
     keys = list(keys)
-    ranks = value_ranks(df, keys, x, slices)
     place = lambda q: (F.col("n_all") - 1) * q
+    grid = F.array(*[F.lit(float(q)) for q in qs])
+    holds = lambda below, n: lambda q: ((below <= F.floor(place(q))) & (F.floor(place(q)) < below + n)) | ((below <= F.ceil(place(q))) & (F.ceil(place(q)) < below + n))
+    ranged, per = _ranges(df, keys, x)
+    wanted = staged(per.where(F.exists(grid, holds(F.col("_below"), F.col("_n")))).select(*keys, "_range", "n_all", "_below"), "wanted")
+    ranks = _ranked_inside(ranged, wanted, keys, x)
     covers = lambda k: (F.col("n_below") <= k) & (k < F.col("n_below") + F.col("n_eq"))
-    wanted = F.filter(
-        F.array(*[F.lit(float(q)) for q in qs]),
-        lambda q: covers(F.floor(place(q))) | covers(F.ceil(place(q))),
-    )
-    near = ranks.where(F.size(wanted) > 0).withColumn("q", F.explode(wanted))
+    hit = F.filter(grid, holds(F.col("n_below"), F.col("n_eq")))
+    near = ranks.where(F.size(hit) > 0).withColumn("q", F.explode(hit))
     h = place(F.col("q"))
     near = near.select(
         *keys,
@@ -195,18 +226,24 @@ def tail_mean(
 ) -> DataFrame:
     """Mean of the ``size`` smallest (or largest) rows per key; ``size`` may use ``n_all``.
 
+    Ranges that lie inside the tail count by their sums; only the range that the cut goes through is ordered.
     The cut can fall among copies of one value, so each value counts with the number of
     its copies that lie inside the tail.
     """
-    ranks = value_ranks(df, keys, x, slices).withColumn("_k", F.least(size.cast("long"), F.col("n_all")))
-    before = F.col("n_all") - F.col("n_below") - F.col("n_eq") if largest else F.col("n_below")
-    used = F.greatest(F.lit(0), F.least(F.col("n_eq"), F.col("_k") - before))
-    return (
-        ranks.withColumn("_used", used)
-        .where("_used > 0")
-        .groupBy(*keys)
-        .agg((F.sum(F.col(x) * F.col("_used")) / F.sum("_used")).alias(out))
-    )
+    keys = list(keys)
+    ranged, per = _ranges(df, keys, x)
+    per = per.withColumn("_k", F.least(size.cast("long"), F.col("n_all")))
+
+    def used(below: Column, n: Column) -> Column:
+        before = F.col("n_all") - below - n if largest else below
+        return F.greatest(F.lit(0), F.least(n, F.col("_k") - before))
+
+    per = staged(per.withColumn("_used", used(F.col("_below"), F.col("_n"))).where("_used > 0"), "tails")
+    full = per.where("_used = _n").select(*keys, F.col("_s").alias("_t"), "_used")
+    ranks = _ranked_inside(ranged, per.where("_used < _n").select(*keys, "_range", "n_all", "_below", "_k"), keys, x)
+    part = ranks.withColumn("_used", used(F.col("n_below"), F.col("n_eq"))).where("_used > 0")
+    both = full.unionByName(part.select(*keys, (F.col(x) * F.col("_used")).alias("_t"), "_used"))
+    return both.groupBy(*keys).agg((F.sum("_t") / F.sum("_used")).alias(out))
 
 
 def _before(keys: Sequence[str], slice_col: str) -> Window:
