@@ -469,3 +469,20 @@ def test_substring_removal_of_shared_passages(spark):
     got = substrings.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), with_text=False).collect()
     want = _repeats(rows)
     assert Counter(map(tuple, got)) == want and sum(r[2] > 0 for r in want) > 20
+
+
+def test_toxicity_learns_from_every_labelled_row(spark):
+    """A word that marks only the toxic rows far down in the order of hashed ids, and one in a text of over 20,000 words."""
+    ids = spark.range(9000).orderBy(F.xxhash64("id"), "id").toPandas().id.tolist()
+    fold = lambda i: zlib.crc32(str(i).encode()) % 4
+    toxic, rows, seen = set(range(0, 9000, 2)), [], 0
+    rng = random.Random(2)
+    for i in ids:
+        seen += i in toxic and fold(i) != 2
+        mark = ("early" if seen <= 2500 and fold(i) != 2 else "lately") if i in toxic else f"plain{rng.randrange(9)}"
+        rows.append((i, f"{mark} {_prose(rng, 4)}" + (" filler" * 20000 if mark == "lately" and seen == 2600 else "")))
+    docs = spark.createDataFrame([(i, t, "en") for i, t in rows], "doc_id long, text string, lang string").repartition(3)
+    labels = spark.createDataFrame([(i, int(i in toxic)) for i in ids], "doc_id long, toxic int")
+    out = toxicity.classify(docs, labels, shard_rows=2000).toPandas()
+    held = out[out.held_out]
+    assert len(out) == 9000 and (held.predicted == held.doc_id.isin(toxic)).mean() > 0.99
