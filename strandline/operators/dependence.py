@@ -19,7 +19,7 @@ from strandline.functions import columns as C
 from strandline.functions import linalg as L
 from strandline.functions.normal import normal_quantile
 from strandline.operators import gram as G
-from strandline.operators.ordering import cut, default_slices, join_on, quantile_columns, slice_values, sliced_lag, value_ranks
+from strandline.operators.ordering import cut, default_slices, join_on, quantile_columns, row_position, slice_values, sliced_lag, value_ranks
 from strandline.operators.windows import autocorr, effective_n_pair
 from strandline.storage import staged
 
@@ -489,9 +489,10 @@ def oos_risk(vec: DataFrame, t: str, col: str, window: int, hold: int, methods:
 
     An observation belongs to the training windows that cover it and to one test block;
     windows are numbered by ``hold`` rows.  Each window becomes one Gram, so no window of
-    rows is ever gathered.
+    rows is ever gathered.  Observations are numbered in planned ranges of ``t`` and staged,
+    so that neighbours are in one task and no task has all of them.
     """
-    pos = vec.withColumn("_i", F.row_number().over(Window.orderBy(t)) - 1)  # one row per period
+    pos = staged(row_position(vec.select(t, col), [], [t], out="_i").withColumn("_i", F.col("_i") - 1), "oos-positions")
     last = pos.agg(F.max("_i").alias("_last"))
     pos = pos.crossJoin(F.broadcast(last))  # a single row
     first_block = F.greatest(F.lit(0), F.ceil((F.col("_i") - window + 1) / hold))

@@ -5,7 +5,7 @@ import pytest
 
 from pyspark.sql import functions as F
 
-from strandline.operators import aggregate, hedging, joins, ordering, raster, spatial, statistics
+from strandline.operators import aggregate, dependence, hedging, joins, ordering, raster, spatial, statistics
 
 
 def test_grid_scores_ties_of_large_values(spark):
@@ -97,3 +97,19 @@ def test_draws_of_a_median_weigh_far_ranges_once(spark, monkeypatch):
     w = draws(rows, ["u"], 6, 1).select("k", "draw", "x", "_w").toPandas()
     for (k, d), part in w.groupby(["k", "draw"]):
         assert got[k, d] == pytest.approx(np.median(np.repeat(part["x"], part["_w"])), abs=1e-12)
+
+
+def test_oos_risk_numbers_no_table_in_one_task(spark):
+    """Observations are numbered in ranges: no window goes over all of them, and blocks are those of the plain order."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(330, 3))
+    vec = spark.createDataFrame([(int(1000 - 3 * i), [float(v) for v in x[i]]) for i in range(330)], "t long, vec array<double>").repartition(5)
+    out = dependence.oos_risk(vec, "t", "vec", 60, 30, ["raw"])
+    assert "Window [row_number" not in _plan(out)
+    got = {r["block"]: r for r in out.collect()}
+    rows = x[::-1]
+    for b in range(9):
+        train, test = rows[30 * b : 30 * b + 60], rows[30 * b + 60 : 30 * b + 90]
+        w = np.linalg.solve(np.cov(train.T, ddof=0), np.ones(3))
+        assert got[b]["n"] == 30 and got[b]["realised"] == pytest.approx((test @ (w / w.sum())).std())
+    assert len(got) == 9
