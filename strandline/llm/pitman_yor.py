@@ -100,7 +100,10 @@ def _seat_small(c: np.ndarray, others: np.ndarray, p: np.ndarray, discount: floa
 
 
 def _seat_large(c: np.ndarray, sizes: list | None, others: np.ndarray, p: np.ndarray, discount: float, strength: float, rng, moves: int) -> list[np.ndarray]:
-    """Table sizes of each dish after ``moves`` of its customers, drawn at random, stood up and took a seat again."""
+    """Table sizes of each dish after ``moves`` of its customers, drawn at random, stood up and took a seat again.
+
+    The plain walk that ``_seat_whole`` is tested against; the model doesn't use it.
+    """
     out: list = [None] * len(c)
     fresh = (strength + discount * others) * p
     start = np.minimum(1 + fresh * np.log1p(c / (1 + fresh)), c / 2).astype(np.int64).clip(1) if sizes is None else np.array([len(s) for s in sizes], np.int64)
@@ -132,14 +135,108 @@ def _seat_large(c: np.ndarray, sizes: list | None, others: np.ndarray, p: np.nda
     return out
 
 
-def seat(c, sizes, others, p, discount, strength, rng, moves) -> tuple[np.ndarray, list]:
-    """Tables per dish, and the table sizes of the large dishes, after one sweep."""
+_lgamma = np.vectorize(math.lgamma, otypes=[float])
+
+
+def _log_g(w: np.ndarray, discount: float) -> np.ndarray:
+    """log(1 - (1 - exp(-w)) ** discount), whose t-th power generates the ways to fill t tables."""
+    return np.log1p(-np.exp(discount * np.log(-np.expm1(-w))))
+
+
+def _slope(w: np.ndarray, discount: float) -> np.ndarray:
+    """Minus the derivative of ``_log_g``: customers a table at the saddle point ``w``; falls from infinity to one."""
+    q = -np.expm1(-w)
+    return np.exp((discount - 1) * np.log(q) - w + math.log(discount)) / -np.expm1(discount * np.log(q))
+
+
+def _falls(f, n: int) -> np.ndarray:
+    """Where a falling function of w > 0 crosses zero, by halving on a logarithmic scale."""
+    low, high = np.full(n, -60.0), np.full(n, 4.0)
+    for _ in range(52):
+        mid = (low + high) / 2
+        up = f(np.exp(mid)) > 0
+        low, high = np.where(up, mid, low), np.where(up, high, mid)
+    return np.exp((low + high) / 2)
+
+
+def log_ways(c: np.ndarray, t: np.ndarray, discount: float) -> np.ndarray:
+    """Log of the generalised Stirling number of c customers at t tables, for any c; beside the recurrence up to 400 customers, no further off than 2e-5.
+
+    The coefficient of z ** c in (1 - (1 - z) ** discount) ** t is an integral over z = exp(-w) around zero.  It is taken through its saddle point: along
+    a parabola that bends away from the cut of w <= 0, or along the whole period where the saddle is far from it.
+    """
+    out = np.zeros(len(c))  # as many tables as customers: one way
+    todo = np.flatnonzero(t < c)
+    for lo in range(0, len(todo), 1 << 12):
+        at = todo[lo : lo + (1 << 12)]
+        n, k = c[at].astype(float), t[at].astype(float)
+        saddle = _falls(lambda x: _slope(x, discount) - n / k, len(at))
+        w = np.maximum(saddle, 2 / n)  # few tables of many customers: the integral is decided at about 1 / c, far from the saddle
+        peak = n * w + k * _log_g(w, discount)
+        far, total = w > 0.15, np.zeros(len(at))
+        for part, straight in ((np.flatnonzero(far), True), (np.flatnonzero(~far), False)):
+            if not len(part):
+                continue
+            w0, n0, k0 = w[part, None], n[part, None], k[part, None]
+            if straight:
+                v, step = (np.arange(128) + 0.5) * (math.pi / 128), math.pi / 128
+                z, weight = w0 + 1j * v, np.ones((1, 1))
+            else:
+                h = 1e-3
+                below, mid, above = (-k0 * _slope(w0 * x, discount) for x in (1 - h, 1, 1 + h))
+                second, third = (above - below) / (2 * h * w0), (above - 2 * mid + below) / (h * w0) ** 2
+                near = w0 > saddle[part, None]
+                sd, bend = np.minimum(1 / np.sqrt(second), w0), np.where(near, 1 / (3 * w0), -third / (6 * second))
+                v, step = (np.arange(80) + 0.5) * 0.16, 0.16 * sd
+                y = v * sd
+                z, weight = w0 + 1j * y - bend * y * y, 1 + 2j * bend * y  # dw / i dy
+            value = np.exp(n0 * z + k0 * _log_g(z, discount) - peak[part, None]) * weight
+            total[part] = (value.real.sum(axis=1, keepdims=True) * step)[:, 0] / math.pi
+        out[at] = peak + np.log(np.maximum(total, 1e-300)) + _lgamma(n + 1) - _lgamma(k + 1) - k * math.log(discount)
+    return out
+
+
+def _seat_whole(c: np.ndarray, tables: np.ndarray | None, others: np.ndarray, p: np.ndarray, discount: float, strength: float, rng, draws: int) -> np.ndarray:
+    """Number of tables of each dish of any size, all of its customers seated anew ``draws`` times.
+
+    Each draw proposes a whole seating from a logistic law around the most likely number of tables and is taken or not by the exact
+    ratio (Metropolis-Hastings), so its law is that of ``_seat_small``.  The work of a dish doesn't depend on its customers.
+    """
+    if not len(c):
+        return np.zeros(0, np.int64)
+    a, n = strength / discount + others, c.astype(float)
+    tables_at = lambda w: np.minimum(n / _slope(w, discount), n)
+    pull = lambda w: np.log(p) + _log_g(w, discount) + np.log1p(a / tables_at(w))
+    w = _falls(pull, len(c))
+    centre = np.clip(tables_at(w), 1, n)
+    step = np.where(tables_at(w * 1.01) > tables_at(w * 0.99), (tables_at(w * 1.01) - tables_at(w * 0.99)) / np.maximum(pull(w * 0.99) - pull(w * 1.01), 1e-12), 0.25)
+    scale = 0.62 * np.sqrt(np.clip(step, 0.05, n * n)) + 0.1
+    edge = lambda x: 1 / (1 + np.exp(-np.clip((x - centre) / scale, -500, 500)))
+    low, high = edge(0.5), edge(n + 0.5)
+    share = lambda t: np.log(np.maximum(edge(t + 0.5) - edge(t - 0.5), 1e-300))
+    level = lambda t: log_ways(c, t, discount) + t * np.log(discount * p) + _lgamma(a + t) - share(t)
+
+    def propose() -> np.ndarray:
+        u = low + rng.random(len(c)) * (high - low)
+        return np.clip(np.rint(centre + scale * (np.log(np.maximum(u, 1e-300)) - np.log1p(-np.minimum(u, 1 - 1e-16)))), 1, n).astype(np.int64)
+
+    now = np.clip(np.rint(centre), 1, n).astype(np.int64) if tables is None else tables
+    now_level = level(now)
+    for _ in range(draws):
+        new = propose()
+        new_level = level(new)
+        taken = np.log(rng.random(len(c))) < new_level - now_level
+        now, now_level = np.where(taken, new, now), np.where(taken, new_level, now_level)
+    return now
+
+
+def seat(c, before, others, p, discount, strength, rng, draws) -> np.ndarray:
+    """Tables per dish after one sweep over all customers; ``before`` has those of the last sweep, if any."""
     tables, large = np.ones(len(c), np.int64), np.flatnonzero(c > SMALL)
     small = np.flatnonzero((c > 1) & (c <= SMALL))
     tables[small] = _seat_small(c[small], others[small], p[small], discount, strength, rng)
-    found = _seat_large(c[large], sizes, others[large], p[large], discount, strength, rng, moves)
-    tables[large] = [len(s) for s in found]
-    return tables, found
+    tables[large] = _seat_whole(c[large], None if before is None else before[large], others[large], p[large], discount, strength, rng, draws)
+    return tables
 
 
 def _discount(once: float, twice: float) -> float:
@@ -287,7 +384,7 @@ def _merge(plan: _Plan):
             c = count[index[lo:hi]]
             rows.append(("counts", bucket, source, pack(c, place[index[lo:hi]][c > 1])))
         ends = np.unique(np.concatenate([context[c_at[many]], word[w_at[many]]]))
-        rows.append(("state", bucket, "", pickle.dumps((pack(_steps(ends), np.searchsorted(ends, context[c_at[many]]), np.searchsorted(ends, word[w_at[many]]), count[many]), None, None))))
+        rows.append(("state", bucket, "", pickle.dumps((pack(_steps(ends), np.searchsorted(ends, context[c_at[many]]), np.searchsorted(ends, word[w_at[many]]), count[many]), None))))
         seen = count > 0
         every = np.unique(np.concatenate([context[c_at[seen]], word[w_at[seen]]]))
         left, right = np.searchsorted(every, context[c_at[seen]]), np.searchsorted(every, word[w_at[seen]])
@@ -300,7 +397,7 @@ def _merge(plan: _Plan):
     return run
 
 
-def _seat_root(plan: _Plan, chains: int, totals: dict, strength: float, moves: int, turn: int):
+def _seat_root(plan: _Plan, chains: int, totals: dict, strength: float, draws: int, turn: int):
     """Group function of a words' bucket: adds the tables of the pairs' buckets to the customers of the shared parent,
     seats them, and answers each asking bucket with customers, tables, and the tables of a word's own restaurant."""
 
@@ -325,7 +422,7 @@ def _seat_root(plan: _Plan, chains: int, totals: dict, strength: float, moves: i
         base_p = np.full(int(known.sum()), 1.0 / (n_words + 1))
         for s in range(chains):
             others = np.full(len(base_p), totals["tables"][s] if totals["tables"] else n_words, np.float64)
-            tables[known, s] = seat(customers[known, s], None, np.maximum(others - 1, 0), base_p, totals["discount"], strength, rng, moves)[0]
+            tables[known, s] = seat(customers[known, s], None, np.maximum(others - 1, 0), base_p, totals["discount"], strength, rng, draws)
         rows = [("root", bucket, "", pack(_steps(words), base, own, customers, tables))]
         once, twice = (int((customers[:, 0] == k).sum()) for k in (1, 2))
         sums = (int(known.sum()), int(base[:, 2].sum()), once, twice, customers.sum(axis=0).tolist(), tables.sum(axis=0).tolist())
@@ -344,19 +441,19 @@ def _parent(customers: np.ndarray, tables: np.ndarray, totals: dict, strength: f
     return (customers - totals["discount"] * tables + new) / (strength + np.array(totals["customers"]))
 
 
-def _seat_pairs(plan: _Plan, chains: int, totals: dict, discount: float, strength: float, moves: int, turn: int):
+def _seat_pairs(plan: _Plan, chains: int, totals: dict, discount: float, strength: float, draws: int, turn: int):
     """Group function of a pairs' bucket: one Gibbs sweep over its context restaurants for each chain."""
 
     def run(key, table):
         got, bucket = _groups(table), key[0].as_py()
         rows = []
         for _, payload in got["state"]:
-            fixed, seats, large = pickle.loads(payload)
+            fixed, seats = pickle.loads(payload)
             steps, left, right, count = unpack(fixed)
             ends = np.cumsum(steps)
             answers = [unpack(p) for _, p in got["prior"]]
             tables = unpack(seats)[0] if seats else None
-            after, kept = np.ones((len(count), chains), np.int64), []
+            after = np.ones((len(count), chains), np.int64)
             if len(ends):
                 words = np.concatenate([np.cumsum(x[0]) for x in answers])
                 order = np.argsort(words)  # each word is in one bucket, so these are ``ends``
@@ -365,9 +462,8 @@ def _seat_pairs(plan: _Plan, chains: int, totals: dict, discount: float, strengt
                 rng = np.random.default_rng([bucket, turn, 1])
                 for s in range(chains):
                     others = own[left, s] - (tables[:, s] if tables is not None else 1)
-                    after[:, s], sizes = seat(count, large[s] if large else None, others.astype(np.float64), p[right, s], discount, strength, rng, moves)
-                    kept.append(sizes)
-            rows.append(("state", bucket, "", pickle.dumps((fixed, pack(after), kept))))
+                    after[:, s] = seat(count, tables[:, s] if tables is not None else None, others.astype(np.float64), p[right, s], discount, strength, rng, draws)
+            rows.append(("state", bucket, "", pickle.dumps((fixed, pack(after)))))
             sums = [np.stack([np.bincount(i, weights=after[:, s] - 1, minlength=len(ends)) for s in range(chains)], axis=1).astype(np.int64) for i in (left, right)]
             rows += _send("extra", plan, bucket, ends, *sums)
         return _rows(rows)
@@ -439,7 +535,7 @@ def _score(totals: dict, discount: float, strength: float, columns: pa.Schema):
 
 
 def score_texts(
-    docs: DataFrame, *, folds: int = 7, held: int = 2, chains: int = 3, rounds: int = 2, strength: float = 1.0, moves: int = 8, bucket_chars: int = 16 << 20, block_bytes: int = 10 << 20
+    docs: DataFrame, *, folds: int = 7, held: int = 2, chains: int = 3, rounds: int = 2, strength: float = 1.0, draws: int = 1, bucket_chars: int = 16 << 20, block_bytes: int = 10 << 20
 ) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score (log10 probability) of every text.
 
@@ -447,8 +543,8 @@ def score_texts(
     whose customers are the words after it; the first customer of each table is a customer of the one
     parent restaurant that all contexts share, whose own parent is uniform over the known words and one unknown word.  Seating is sampled by
     Gibbs in ``chains`` independent chains of ``rounds`` sweeps over both levels; given the parent's seating of the last sweep, context restaurants are independent, so their buckets are swept
-    side by side.  A dish of up to 64 customers is drawn at once (table sizes summed out by Stirling numbers); in larger ones ``moves``
-    random customers a sweep stand up and sit down again.  A pair seen once has one table.  Predictive probabilities are averaged over the chains before the logarithm.  The
+    side by side.  Every dish is drawn with all of its customers (table sizes summed out by Stirling numbers): of up to 64 customers from their table, larger
+    ones by ``draws`` whole proposals a sweep, taken or not by the exact ratio.  A pair seen once has one table.  Predictive probabilities are averaged over the chains before the logarithm.  The
     discounts come from the counts of ones and twos.
 
     All data take part: every distinct pair of words is counted.  Tasks turn blocks of texts into packed sorted numbers (48-bit hashes of words)
@@ -471,7 +567,7 @@ def score_texts(
     totals = {"words": 0, "tables": None, "discount": 0.5}
     leaf = 0.5
     for turn in range(rounds + 1):
-        root = _staged(parts.unionByName(extra).groupBy("to_bucket").applyInArrow(_seat_root(plan, chains, totals, strength, moves, turn), _ROW), f"root-{turn}")
+        root = _staged(parts.unionByName(extra).groupBy("to_bucket").applyInArrow(_seat_root(plan, chains, totals, strength, draws, turn), _ROW), f"root-{turn}")
         sums = [pickle.loads(r["payload"]) for r in root.where("kind = 'sums'").select("payload").collect()]  # a few numbers for each bucket
         once, twice = (sum(s[k] for s in sums) for k in (2, 3))
         before, totals = totals, {
@@ -483,7 +579,7 @@ def score_texts(
             break
         if not before["words"]:
             leaf = _leaf_discount(first)
-        swept = state.unionByName(root.where("kind = 'prior'")).groupBy("to_bucket").applyInArrow(_seat_pairs(plan, chains, totals, leaf, strength, moves, turn), _ROW)
+        swept = state.unionByName(root.where("kind = 'prior'")).groupBy("to_bucket").applyInArrow(_seat_pairs(plan, chains, totals, leaf, strength, draws, turn), _ROW)
         totals = totals | {"discount": _discount(once, twice)}
         swept = _staged(swept, f"seats-{turn}")
         state, extra = swept.where("kind = 'state'"), swept.where("kind = 'extra'")

@@ -152,6 +152,28 @@ def test_seating_draws_from_its_distribution():
         assert np.abs(np.bincount(tables, minlength=c + 1)[1:] / m - want / want.sum()).max() < 0.015
 
 
+def test_large_dishes_are_seated_whole():
+    """After one sweep the tables of 400 customers follow their law, though they began far from it."""
+    rng, strength, m, c = np.random.default_rng(1), 1.0, 4000, 400
+    for d, others, p in ((0.6, 50.0, 0.3), (0.75, 2000.0, 0.1), (0.5, 3.0, 1e-4), (0.9, 30.0, 0.9)):
+        ways = np.full((c + 1, c + 2), -np.inf)
+        ways[1, 1] = 0.0
+        for n in range(1, c):
+            t = np.arange(1, n + 2)
+            ways[n + 1, 1 : n + 2] = np.logaddexp(ways[n, t - 1], ways[n, t] + np.log(np.maximum(n - d * t, 1e-300)))
+        t = np.arange(1, c + 1)
+        assert np.abs(pitman_yor.log_ways(np.full(c, c), t, d) - ways[c, 1 : c + 1]).max() < 1e-4
+        want = ways[c, 1 : c + 1] + np.cumsum(np.log((strength + d * (others + t - 1)) * p))
+        want = np.exp(want - want.max())
+        want /= want.sum()
+        far = np.full(m, int(min(c, 2 + 2 * (want * t).sum())))
+        tables = pitman_yor.seat(np.full(m, c), far, np.full(m, others), np.full(m, p), d, strength, rng, 6)
+        assert abs(tables.mean() - (want * t).sum()) < 0.05 * (want * t).sum()
+        assert 0.5 * np.abs(np.bincount(tables, minlength=c + 1)[1:] / m - want).sum() < 0.1
+    huge = pitman_yor.log_ways(np.array([10**4, 10**8]), np.array([1, 1]), 0.75)
+    assert np.allclose(huge, [math.lgamma(n - 0.75) - math.lgamma(0.25) for n in (10**4, 10**8)], rtol=1e-9), "closed form of one table"
+
+
 def _texts():
     rng = random.Random(4)
     follow = {w: [f"w{rng.randrange(60)}" for _ in range(3)] for w in (f"w{k}" for k in range(60))}
