@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandline.llm.batches import WordHashes, pieces, raw, shingles
@@ -32,6 +32,11 @@ def overlap_needed(a: np.ndarray | Column, b, percent: int):
     return -((-percent * (a + b)) // (100 + percent))
 
 
+def prefix_overlap(a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
+    """``_count_needed`` of arrays: fewest shingles that the prefixes of a linked pair share."""
+    return np.maximum(overlap_needed(a, b, percent) + (-percent * np.maximum(a, b)) // 100 + 1, 1)
+
+
 def _rest(n: Column, percent: int) -> Column:
     """Set size without its prefix: a linked partner shares at least one shingle more than that."""
     return F.ceil(n * percent / F.lit(100.0)) - 1
@@ -74,17 +79,21 @@ def _hub_pairs(hubs: int, percent: int):
     """Task function over (token, row, n, component) sorted by token: each row with the first ``hubs`` rows of its token.
 
     Pairs of one component or of sizes too far apart are left out; equal pairs are counted.  Only the hubs of the
-    current token are held.
+    current token are held.  A column ``rem``, if there, is how many shared prefix tokens a row has from this one on: a linked pair
+    has the need left at both ends where it first meets, so pairs with less are left out as well.
     """
-    names = ["token", "row", "n", "component"]
+    names = ["token", "row", "n", "component", "rem"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [np.empty(0, np.int64)] * 4
+        held = [np.empty(0, np.int64)] * 5
         for b in batches:
             if not b.num_rows:
                 continue
             old = len(held[0])
-            token, row, n, component = cols = [np.concatenate([h, b.column(c).to_numpy().astype(np.int64)]) for h, c in zip(held, names)]
+            new = [b.column(c).to_numpy().astype(np.int64) for c in names if c in b.schema.names]
+            if len(new) < len(names):
+                new.append(np.full(b.num_rows, np.iinfo(np.int64).max))
+            token, row, n, component, rem = cols = [np.concatenate([h, c]) for h, c in zip(held, new)]
             index = np.arange(len(token))
             start = np.maximum.accumulate(np.where(np.concatenate([[True], token[1:] != token[:-1]]), index, 0))
             found = []
@@ -92,6 +101,7 @@ def _hub_pairs(hubs: int, percent: int):
                 i = index[(index - start > j) & (index >= old)]
                 hub = start[i] + j
                 ok = (component[hub] != component[i]) & (n[hub] * 100 >= n[i] * percent) & (n[i] * 100 >= n[hub] * percent)
+                ok &= np.minimum(rem[hub], rem[i]) >= prefix_overlap(n[hub], n[i], percent)
                 found.append(np.stack([row[hub[ok]], row[i[ok]], n[hub[ok]], n[i[ok]]], 1))
             pairs, counts = np.unique(np.concatenate(found), axis=0, return_counts=True)
             yield pa.RecordBatch.from_arrays([*(pa.array(pairs[:, k]) for k in range(4)), pa.array(counts.astype(np.int64))], names=["a", "b", "na", "nb", "c"])
@@ -247,74 +257,80 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 4, percent: int = 85, bit
     found = staged(rows.mapInArrow(prefixes, "token long, row long, n int, doc_id long, leader long"), "prefixes")
     members = found.where("leader IS NOT NULL").select("doc_id", "row", F.col("n").cast("long").alias("n_shingles"), "leader")
     postings = found.where("leader IS NULL").select("token", "row", "n").repartition("token").sortWithinPartitions("token", "row")
-    shared = staged(postings.mapInArrow(_repeated, "token long, row long, n int"), "shared")
+    left = F.row_number().over(Window.partitionBy("row").orderBy(F.desc("token")))  # a row's prefix is bounded by its text
+    shared = staged(postings.mapInArrow(_repeated, "token long, row long, n int").withColumn("rem", left), "shared")
 
-    def whole_sets(some: DataFrame, name: str) -> DataFrame:
-        """(row, tokens) of the rows in ``some``; texts of other rows are dropped where they are read."""
-        marks = spark.sparkContext.broadcast(slot_bitmap(some.select(F.xxhash64("row").alias("row")), "row", 22))
+    def sent(asks: DataFrame, keys: str) -> DataFrame:
+        """The columns ``keys`` and ``tokens``, the set of ``row``, for each row of ``asks``.
 
-        def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            cache = WordHashes()
+        Texts travel once to what is asked of them, with other rows dropped where they are read; each becomes a set once.
+        """
+        marks = spark.sparkContext.broadcast(slot_bitmap(asks.select(F.xxhash64("row").alias("row")), "row", 22))
+
+        def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                b = b.filter(pa.array(marks.value[slot(b.column("mark").to_numpy().view(np.uint64), 22)]))
-                for p in pieces(iter([b]), limit=1 << 20):
-                    all_tokens = [ordered(shingle_set(t.lower().split(), cache, shingle), levels.value, bits) for t in raw(p)]
-                    ends = np.cumsum([0, *map(len, all_tokens)]).astype(np.int32)
-                    lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(all_tokens) if all_tokens else np.empty(0, np.int64), pa.int64()))
-                    yield pa.RecordBatch.from_arrays([p.column("row"), lists], names=["row", "tokens"])
+                yield b.filter(pa.array(marks.value[slot(b.column("mark").to_numpy().view(np.uint64), 22)])).select(["row", "text"])
 
+        def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            cache = WordHashes()
+            for p in pieces(batches, limit=1 << 20):
+                own = [ordered(shingle_set(t.lower().split(), cache, shingle), levels.value, bits) for t in raw(p)]
+                asked, ends = p.column("asks").flatten(), p.column("asks").offsets.to_numpy() - p.column("asks").offsets[0].as_py()
+                at = np.repeat(np.arange(len(own)), np.diff(ends))
+                size = np.cumsum([len(own[i]) for i in at])
+                cuts = np.unique(np.searchsorted(size, np.arange(0, size[-1] if len(size) else 0, 1 << 18)).tolist() + [0, len(at)])
+                for lo, hi in zip(cuts, cuts[1:]):  # a set that many ask for leaves in several batches
+                    lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *(len(own[i]) for i in at[lo:hi])]).astype(np.int32)), pa.array(np.concatenate([own[i] for i in at[lo:hi]]), pa.int64()))
+                    yield pa.RecordBatch.from_arrays([*asked.slice(lo, hi - lo).flatten(), lists], names=[*names, "tokens"])
+
+        names = [k.split()[0] for k in keys.split(", ")]
         whole = rows.where("doc_id IS NOT NULL AND text IS NOT NULL").select("row", F.xxhash64("row").alias("mark"), "text")
-        whole = whole.mapInArrow(full, "row long, tokens array<long>").join(some.distinct(), "row", "left_semi").dropDuplicates(["row"])
-        return staged(whole, f"{name}-sets")
+        whole = whole.mapInArrow(marked, "row long, text string").dropDuplicates(["row"])
+        asks = asks.groupBy("row").agg(F.collect_list(F.struct(*names)).alias("asks"))
+        return whole.join(asks, "row").select("text", "asks").mapInArrow(full, f"{keys}, tokens array<long>")
 
     def verified(pairs: DataFrame, name: str) -> DataFrame:
         """The pairs (a, b) whose whole sets reach the threshold."""
         pairs = staged(pairs, f"{name}-pairs")
-        whole = whole_sets(pairs.select(F.col("a").alias("row")).unionByName(pairs.select(F.col("b").alias("row"))), name)
         chunks = pairs.groupBy("a").agg(F.ceil(F.count("b") / hub_chunk).alias("chunks"))
         dealt = pairs.join(chunks, "a").withColumn("chunk", F.pmod(F.xxhash64("b"), F.col("chunks")).cast("int"))
-        own = dealt.select("a", "chunk").distinct().join(whole, F.col("a") == whole["row"]).select("a", "chunk", F.lit(None).cast("long").alias("b"), "tokens")
-        other = dealt.join(whole, F.col("b") == whole["row"]).select("a", "chunk", "b", "tokens")
-        walk = own.unionByName(other).repartition("a", "chunk").sortWithinPartitions("a", "chunk", F.col("b").isNotNull(), "tokens", "b")
+        own = dealt.select(F.col("a").alias("row"), "a", "chunk", F.lit(None).cast("long").alias("b")).distinct()
+        asks = own.unionByName(dealt.select(F.col("b").alias("row"), "a", "chunk", "b"))
+        walk = sent(asks, "a long, chunk int, b long").repartition("a", "chunk").sortWithinPartitions("a", "chunk", F.col("b").isNotNull(), "tokens", "b")
         return staged(walk.mapInArrow(_walk(percent), "a long, b long"), f"{name}-links")
 
     def labelled(links: DataFrame | None, name: str) -> DataFrame:
         if links is None:
-            return shared.withColumn("component", F.col("row"))
+            return shared.withColumns({"component": F.col("row"), "size": F.lit(1).cast("long")})
         joined = staged(connected_components(links, "a", "b"), f"{name}-joined")
-        return staged(shared.join(joined.withColumnRenamed("id", "row"), "row", "left").withColumn("component", F.coalesce("component", "row")), f"{name}-held")
+        joined = joined.join(joined.groupBy("component").agg(F.count("id").alias("size")), "component").withColumnRenamed("id", "row")
+        return staged(shared.join(joined, "row", "left").withColumns({"component": F.coalesce("component", "row"), "size": F.coalesce("size", F.lit(1).cast("long"))}), f"{name}-held")
 
     links, held = None, labelled(None, "start")
     for i in range(rounds):
-        dealt = held.select("token", "row", "n", "component").repartition("token").sortWithinPartitions("token", F.xxhash64("row", F.lit(i)), "row")
-        some = dealt.mapInArrow(_hub_pairs(hubs, percent), "a long, b long, na long, nb long, c long").groupBy("a", "b", "na", "nb").agg(F.sum("c").alias("c"))
-        # a sketchy choice that the last round makes good: a pair's other shingles may have other hubs
-        some = some.where(F.col("c") * 2 >= _count_needed(F.col("na"), F.col("nb"), percent)).select("a", "b")
+        dealt = held.select("token", "row", "n", "component", "rem").repartition("token").sortWithinPartitions("token", F.xxhash64("row", F.lit(i)), "row")
+        some = dealt.mapInArrow(_hub_pairs(hubs, percent), "a long, b long, na long, nb long, c long").select("a", "b").distinct()
         new = verified(some, f"hub{i}")
         links = new if links is None else links.unionByName(new)
         held = labelled(links, f"hub{i}")
     if links is None:
         links = spark.createDataFrame([], "a long, b long")
-    # what may still join two components: rows of the smaller one that share enough prefix shingles with the larger one
-    sizes = held.select("component", "row").distinct().groupBy("component").agg(F.count("row").alias("size"))
-    groups = held.groupBy("token", "component").agg(F.min("n").alias("low"), F.max("n").alias("high")).join(sizes, "component")
-    fields = ("component", "low", "high", "size")
-    left, right = (groups.select("token", *(F.col(c).alias(f"{side}_{c}") for c in fields)) for side in "ab")
-    apart = left.join(right, "token").where(F.struct("a_size", "a_component") < F.struct("b_size", "b_component"))
-    apart = apart.where((F.col("a_high") * 100 >= F.col("b_low") * percent) & (F.col("b_high") * 100 >= F.col("a_low") * percent))
-    probes = apart.join(held.withColumnRenamed("component", "a_component"), ["token", "a_component"])
-    probes = probes.groupBy("row", "n", F.col("b_component").alias("tree"), F.col("b_size").alias("size")).agg(F.count("token").alias("c"), F.min("b_low").alias("low"), F.max("b_high").alias("high"))
+    # what may still join two components: rows of the smaller one that meet the larger one where both have the need left in their prefixes
+    groups = held.groupBy("token", F.col("component").alias("tree"), F.col("size").alias("tree_size"))
+    groups = groups.agg(F.min("n").alias("low"), F.max("n").alias("high"), F.max("rem").alias("tree_rem"))
     least, most = F.greatest(F.col("low"), F.ceil(F.col("n") * percent / F.lit(100.0))), F.least(F.col("high"), F.floor(F.col("n") * F.lit(100.0) / percent))
-    probes = staged(probes.where((least <= most) & (F.col("c") >= _least_needed(F.col("n"), least, most, percent))).select("row", "tree", "size"), "probes")
+    meet = (least <= most) & (F.least("rem", "tree_rem") >= _least_needed(F.col("n"), least, most, percent))
+    probes = held.join(groups, "token").where((F.struct("size", "component") < F.struct("tree_size", "tree")) & meet)
+    probes = staged(probes.select("row", "tree", F.col("tree_size").alias("size")).distinct(), "probes")
     trees = probes.groupBy("tree", "size").agg(F.count("row").alias("probes"))
     trees = trees.select("tree", F.ceil(F.col("size") / hub_chunk).alias("chunks"), F.ceil(F.col("probes") / (4 * hub_chunk)).alias("salts"))
     stored = held.select(F.col("component").alias("tree"), "row").distinct().join(trees, "tree")
-    whole = whole_sets(probes.select("row").unionByName(stored.select("row")), "probe")
     spread = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
     stored = stored.withColumn("chunk", F.pmod(F.xxhash64("row"), F.col("chunks"))).withColumn("salt", spread("salts")).withColumn("probe", F.lit(False))
     asking = probes.join(trees, "tree").withColumn("salt", F.pmod(F.xxhash64("row"), F.col("salts"))).withColumn("chunk", spread("chunks")).withColumn("probe", F.lit(True))
     keys = ["tree", "chunk", "salt", "probe", "row"]
-    walk = stored.select(*keys).unionByName(asking.select(*keys)).join(whole, "row").repartition("tree", "chunk", "salt").sortWithinPartitions("tree", "chunk", "salt", "probe", "tokens", "row")
+    walk = sent(stored.select(*keys).unionByName(asking.select(*keys)), "tree long, chunk long, salt long, probe boolean, row long")
+    walk = walk.repartition("tree", "chunk", "salt").sortWithinPartitions("tree", "chunk", "salt", "probe", "tokens", "row")
     more = staged(walk.mapInArrow(_probe(percent), "a long, b long"), "probe-links")
 
     ids = members.where("doc_id IS NOT NULL").select("row", "doc_id").distinct()

@@ -301,6 +301,42 @@ def test_hubs_over_batch_borders():
         assert got == want and want
 
 
+def test_pairs_meet_where_both_have_the_need_left():
+    """Many variants of one text, hardly any linked: no link is lost, and most pairs that only share frequent shingles are left out."""
+    rng, sets = np.random.default_rng(11), []
+    for i in range(60):
+        base = np.arange(150)[rng.random(150) < rng.choice([0.96, 0.98, 1.0])]
+        sets.append(np.concatenate([base, 1000 + 100 * i + np.arange(rng.choice([3, 14, 16, 18]))]))
+    count = Counter(int(x) for s in sets for x in s)
+    place = {x: i for i, x in enumerate(sorted(count, key=lambda x: (count[x], x)))}
+    ranked = [np.sort([place[int(x)] for x in s]) for s in sets]
+    held = Counter(int(x) for s in ranked for x in s[: len(s) - -(-85 * len(s) // 100) + 1])
+    rows = []
+    for i, s in enumerate(ranked):
+        prefix = [int(x) for x in s[: len(s) - -(-85 * len(s) // 100) + 1] if held[int(x)] > 1]
+        rows += [(x, i, len(s), i, len(prefix) - k) for k, x in enumerate(prefix)]
+    table = pd.DataFrame(sorted(rows), columns=["token", "row", "n", "component", "rem"])
+    pairs = lambda t: {(min(r["a"], r["b"]), max(r["a"], r["b"])) for b in shingle_join._hub_pairs(60, 85)(iter([pa.RecordBatch.from_pandas(t, preserve_index=False)])) for r in b.to_pylist()}
+    linked = {(i, j) for j in range(60) for i in range(j) if 100 * len(np.intersect1d(sets[i], sets[j])) >= 85 * len(np.union1d(sets[i], sets[j]))}
+    every, met = pairs(table.drop(columns="rem")), pairs(table)
+    assert linked and linked <= met <= every and 2 * len(met) < len(every)
+
+
+def test_jaccard_join_of_variants_that_hardly_link(spark):
+    """One text in many variants below the limit, some of them linked, and rows that come twice."""
+    rng, rows = random.Random(12), []
+    text = _prose(rng, 150).split(" ")
+    for i in range(70):
+        own = list(text)
+        for _ in range(rng.choice([1, 3, 4, 5, 6])):
+            own[rng.randrange(len(own))] = f"v{rng.randrange(10**6)}"
+        rows.append((i, " ".join(own)))
+    rows += rows[:5]
+    got = shingle_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(7), hubs=1, rounds=1, hub_chunk=8).collect()
+    want = _components(rows)
+    assert Counter(map(tuple, got)) == want and 3 < len({r[2] for r in want}) < 70
+
+
 def test_prefix_tree_walk():
     rng = np.random.default_rng(8)
     for block in (1, 3, 64):
