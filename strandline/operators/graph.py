@@ -140,18 +140,24 @@ def output_loss(nodes: DataFrame, reached: DataFrame, by: Sequence[str], weight:
     return hit.crossJoin(F.broadcast(total)).select(*by, "n", F.try_divide("_lost", "_all").alias("loss"))  # a single row
 
 
-def threshold_cascade(edges: DataFrame, src: str, dst: str, seeds: DataFrame, phi: float, max_rounds: int = 1000) -> DataFrame:
+def threshold_cascade(edges: DataFrame, src: str, dst: str, seeds: DataFrame, phi: float, max_rounds: int = 1000, slice_rows: int = 1 << 20) -> DataFrame:
     """Nodes that end up failed when one fails once a share ``phi`` of its neighbours has.
 
-    Only the newly failed nodes send a signal in a round; counts add up per node.
+    Only the newly failed nodes send a signal in a round; counts add up per node.  Pairs are made distinct before they are turned round.
+    Pairs and links are dealt into slices whose number follows the rows (``slice_rows`` on average), so that a task doesn't grow with the graph.
     """
-    links = edges.select(F.col(src).alias("a"), F.col(dst).alias("b")).unionByName(edges.select(F.col(dst).alias("a"), F.col(src).alias("b"))).distinct()
-    deg = cut_lineage(links.groupBy(F.col("b").alias("id")).agg(F.count(F.lit(1)).alias("deg")))
+    x, y = F.col(src), F.col(dst)
+    turn = (x > y) | y.isNull()
+    pairs = cut_lineage(edges.select(F.when(turn, y).otherwise(x).alias("x"), F.when(turn, x).otherwise(y).alias("y")))
+    parts = max(int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-2 * pairs.count() // slice_rows))
+    both = F.array_distinct(F.array(F.struct(F.col("x").alias("a"), F.col("y").alias("b")), F.struct(F.col("y").alias("a"), F.col("x").alias("b"))))
+    links = pairs.repartition(parts, "x", "y").distinct().select(F.explode(both).alias("l")).select("l.*")
     links = cut_lineage(links)
+    deg = cut_lineage(links.groupBy(F.col("b").alias("id")).agg(F.count(F.lit(1)).alias("deg")))
     fresh = cut_lineage(seeds.select("id").distinct().withColumn("round", F.lit(0)))
     failed, hits = fresh, None
     for step in range(1, max_rounds + 1):
-        new = fresh.select(F.col("id").alias("a")).join(links, "a").groupBy(F.col("b").alias("id")).agg(F.count(F.lit(1)).alias("h"))
+        new = fresh.select(F.col("id").alias("a")).repartition(parts, "a").join(links.repartition(parts, "a"), "a").groupBy(F.col("b").alias("id")).agg(F.count(F.lit(1)).alias("h"))
         hits = new if hits is None else hits.unionByName(new).groupBy("id").agg(F.sum("h").alias("h"))
         hits = cut_lineage(hits)
         over = hits.join(deg, "id").where(F.col("h") >= F.col("deg") * phi).select("id").join(failed, "id", "left_anti")

@@ -440,3 +440,19 @@ def test_a_run_at_the_end_stays_open(spark):
     rows = spark.createDataFrame([("a", 1, 9.0), ("a", 2, 1.0), ("a", 3, 9.0), ("a", 4, None)], "k string, t int, x double")
     got = windows.episodes(rows, ["k"], "t", F.col("x") > 5).orderBy("start").collect()
     assert [(r["start"], r["length"], r["closed"]) for r in got] == [(1, 1, True), (3, 1, False)]
+
+
+def test_threshold_cascade_in_slices_that_follow_the_rows(spark):
+    """Links given twice and both ways, loops and missing ends; the slices are more than the shuffle partitions."""
+    rng = np.random.default_rng(5)
+    rows = [(int(a), int(b)) for a, b in rng.integers(0, 60, (150, 2))]
+    rows += rows[:10] + [(b, a) for a, b in rows[5:25]] + [(3, 3), (None, 4), (4, None)]
+    links = set(rows) | {(b, a) for a, b in rows}
+    near = {v: [a for a, b in links if b == v] for v in {b for _, b in links}}
+    want, step = dict.fromkeys(range(8), 0), 0
+    while new := [v for v, f in near.items() if v is not None and v not in want and sum(a in want for a in f if a is not None) >= max(0.4 * len(f), 1)]:
+        step += 1
+        want |= dict.fromkeys(new, step)
+    df, seeds = spark.createDataFrame(rows, "a long, b long"), spark.createDataFrame([(i,) for i in range(8)], "id long")
+    out = graph.threshold_cascade(df, "a", "b", seeds, 0.4, slice_rows=20)
+    assert {r["id"]: r["round"] for r in out.collect()} == want and step > 1
