@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import ctypes
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -55,6 +55,16 @@ def give_back() -> None:
         trim(0)
 
 
+def tidy(task: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
+    """The task function; what it freed goes back to the machine when it has given its last batch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from task(batches)
+        give_back()
+
+    return run
+
+
 def raw(b: pa.RecordBatch, column: str = "text") -> list[bytes]:
     """The texts as UTF-8; null as empty."""
     return [x or b"" for x in b.column(column).cast(pa.binary()).to_pylist()]

@@ -1,4 +1,4 @@
-"""Jaccard self-join of documents on word shingles: prefix candidates and a prefix-tree check."""
+"""Jaccard self-join of documents on word shingles: rounds on bands of minima, then prefix candidates and a prefix-tree check."""
 
 from __future__ import annotations
 
@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandline.llm.batches import WordHashes, pieces, raw, shingles
+from strandline.llm.batches import WordHashes, mix, pieces, raw, shingles, tidy
 from strandline.llm.sketch import frequency_levels, slot, slot_bitmap
 from strandline.operators.graph import connected_components
 from strandline.storage import staging_path
@@ -27,6 +27,19 @@ def ordered(hashes: np.ndarray, levels: np.ndarray, bits: int) -> np.ndarray:
     return np.sort((levels[slot(hashes, bits)].astype(np.uint64) << np.uint64(57)) | (hashes >> np.uint64(7))).view(np.int64)
 
 
+def set_bands(hashes: np.ndarray, number: int, width: int = 3) -> np.ndarray:
+    """Hashes of ``width`` minima of the sorted set each: sets agree in a band with about their Jaccard similarity to that power.
+
+    The hash range is cut evenly; a part without a shingle takes the next one's least.
+    """
+    edges = (np.arange(number * width, dtype=np.float64) * (2.0**64 / (number * width))).astype(np.uint64)
+    least = hashes[np.searchsorted(hashes, edges) % len(hashes)].reshape(number, width)
+    out = np.arange(number, dtype=np.uint64)
+    for k in range(width):
+        out = mix(out * np.uint64(0x9E3779B97F4A7C15) ^ least[:, k])
+    return out.view(np.int64)
+
+
 def overlap_needed(a: np.ndarray | Column, b, percent: int):
     """Fewest shared shingles at which sets of these sizes reach the threshold."""
     return -((-percent * (a + b)) // (100 + percent))
@@ -200,15 +213,16 @@ def _probe(percent: int, block: int = 64):
     return run
 
 
-def near_duplicates(docs: DataFrame, *, shingle: int = 4, percent: int = 85, bits: int = 22, hubs: int = 8, rounds: int = 2, hub_chunk: int = 256) -> DataFrame:
+def near_duplicates(docs: DataFrame, *, shingle: int = 4, percent: int = 85, bits: int = 22, hubs: int = 8, rounds: int = 2, hub_chunk: int = 256, bands: int = 4) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row of ``docs``.
 
     Two documents link when their sets of lower-case (A-Z) word shingles have a Jaccard similarity of ``percent`` / 100.
     Sets are ordered by a global order, less frequent shingles first (frequencies from a sketch of fixed size; any order is exact),
     and linked sets share enough of their first shingles.
 
-    The first rounds check each set against a few hubs per shared shingle, other ones in each round, so a group of n near
-    copies costs a multiple of n checks, and join what is linked.  In the last round, each set of a smaller
+    The first rounds only join what is alike at low cost: each set meets a few hubs per band of minima that it shares, other bands and
+    hubs in each round, so a group of n near copies costs a multiple of n checks however many shingles it shares, and sets
+    that share some shingles by chance don't meet.  What they miss is left to the last round, which is exact: each set of a smaller
     component that shares enough prefix shingles with a larger one walks the prefix tree of the larger one's sets, in chunks,
     until one links.  No pair that could link two components is left out, and pairs inside a component can't change it.
 
@@ -230,23 +244,24 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 4, percent: int = 85, bit
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache, leaders = WordHashes(), {}
         for b in pieces(batches, limit=1 << 20):
-            token, row, n, leader = [], [], [], []
+            token, row, n, leader, minima = [], [], [], [], []
             for d, r, text in zip(b.column("doc_id").to_pylist(), b.column("row").to_pylist(), raw(b)):
                 own = shingle_set(text.lower().split(), cache, shingle)
                 size = len(own)
                 print_ = (size, int(own.sum()), int(np.bitwise_xor.reduce(own * own)))  # 128 bits of the set
                 first = r if d is None or not size else leaders.setdefault(print_, r)
-                token.append(np.zeros(1, np.int64)), row.append(np.array([r])), n.append(np.array([size])), leader.append((d, first))
+                token.append(np.zeros(1, np.int64)), row.append(np.array([r])), n.append(np.array([size])), leader.append((d, first)), minima.append(None)
                 if d is not None and size and first == r:
+                    minima[-1] = set_bands(own, rounds * bands) if rounds else None
                     prefix = ordered(own, levels.value, bits)[: size + (-percent * size // 100) + 1]
                     token.append(prefix), row.append(np.full(len(prefix), r)), n.append(np.full(len(prefix), size))
-                    leader.extend([(None, None)] * len(prefix))
+                    leader.extend([(None, None)] * len(prefix)), minima.extend([None] * len(prefix))
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(np.concatenate(token), pa.int64()), pa.array(np.concatenate(row), pa.int64()), pa.array(np.concatenate(n), pa.int32()),
-                    pa.array([x[0] for x in leader], pa.int64()), pa.array([x[1] for x in leader], pa.int64()),
+                    pa.array([x[0] for x in leader], pa.int64()), pa.array([x[1] for x in leader], pa.int64()), pa.array(minima, pa.list_(pa.int64())),
                 ],
-                names=["token", "row", "n", "doc_id", "leader"],
+                names=["token", "row", "n", "doc_id", "leader", "minima"],
             )
 
     def staged(df: DataFrame, name: str) -> DataFrame:
@@ -254,12 +269,8 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 4, percent: int = 85, bit
         df.write.option("compression", "zstd").parquet(path)
         return spark.read.parquet(path)
 
-    found = staged(rows.mapInArrow(prefixes, "token long, row long, n int, doc_id long, leader long"), "prefixes")
+    found = staged(rows.mapInArrow(tidy(prefixes), "token long, row long, n int, doc_id long, leader long, minima array<long>"), "prefixes")
     members = found.where("leader IS NOT NULL").select("doc_id", "row", F.col("n").cast("long").alias("n_shingles"), "leader")
-    postings = found.where("leader IS NULL").select("token", "row", "n").repartition("token").sortWithinPartitions("token", "row")
-    left = F.row_number().over(Window.partitionBy("row").orderBy(F.desc("token")))  # a row's prefix is bounded by its text
-    shared = staged(postings.mapInArrow(_repeated, "token long, row long, n int").withColumn("rem", left), "shared")
-
     def sent(asks: DataFrame, keys: str) -> DataFrame:
         """The columns ``keys`` and ``tokens``, the set of ``row``, for each row of ``asks``.
 
@@ -285,9 +296,9 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 4, percent: int = 85, bit
 
         names = [k.split()[0] for k in keys.split(", ")]
         whole = rows.where("doc_id IS NOT NULL AND text IS NOT NULL").select("row", F.xxhash64("row").alias("mark"), "text")
-        whole = whole.mapInArrow(marked, "row long, text string").dropDuplicates(["row"])
+        whole = whole.mapInArrow(tidy(marked), "row long, text string").dropDuplicates(["row"])
         asks = asks.groupBy("row").agg(F.collect_list(F.struct(*names)).alias("asks"))
-        return whole.join(asks, "row").select("text", "asks").mapInArrow(full, f"{keys}, tokens array<long>")
+        return whole.join(asks, "row").select("text", "asks").mapInArrow(tidy(full), f"{keys}, tokens array<long>")
 
     def verified(pairs: DataFrame, name: str) -> DataFrame:
         """The pairs (a, b) whose whole sets reach the threshold."""
@@ -297,24 +308,28 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 4, percent: int = 85, bit
         own = dealt.select(F.col("a").alias("row"), "a", "chunk", F.lit(None).cast("long").alias("b")).distinct()
         asks = own.unionByName(dealt.select(F.col("b").alias("row"), "a", "chunk", "b"))
         walk = sent(asks, "a long, chunk int, b long").repartition("a", "chunk").sortWithinPartitions("a", "chunk", F.col("b").isNotNull(), "tokens", "b")
-        return staged(walk.mapInArrow(_walk(percent), "a long, b long"), f"{name}-links")
-
-    def labelled(links: DataFrame | None, name: str) -> DataFrame:
-        if links is None:
-            return shared.withColumns({"component": F.col("row"), "size": F.lit(1).cast("long")})
-        joined = staged(connected_components(links, "a", "b"), f"{name}-joined")
-        joined = joined.join(joined.groupBy("component").agg(F.count("id").alias("size")), "component").withColumnRenamed("id", "row")
-        return staged(shared.join(joined, "row", "left").withColumns({"component": F.coalesce("component", "row"), "size": F.coalesce("size", F.lit(1).cast("long"))}), f"{name}-held")
+        return staged(walk.mapInArrow(tidy(_walk(percent)), "a long, b long"), f"{name}-links")
 
-    links, held = None, labelled(None, "start")
+    links = joined = None
     for i in range(rounds):
-        dealt = held.select("token", "row", "n", "component", "rem").repartition("token").sortWithinPartitions("token", F.xxhash64("row", F.lit(i)), "row")
-        some = dealt.mapInArrow(_hub_pairs(hubs, percent), "a long, b long, na long, nb long, c long").select("a", "b").distinct()
+        mine = F.posexplode(F.slice("minima", i * bands + 1, bands)).alias("band", "token")
+        dealt = found.where("minima IS NOT NULL").select("row", "n", mine).drop("band").dropDuplicates(["token", "row"])
+        dealt = dealt.withColumn("component", F.col("row")) if joined is None else dealt.join(joined, "row", "left").withColumn("component", F.coalesce("component", "row"))
+        dealt = dealt.select("token", "row", "n", "component").repartition("token").sortWithinPartitions("token", F.xxhash64("row", F.lit(i)), "row")
+        some = dealt.mapInArrow(tidy(_hub_pairs(hubs, percent)), "a long, b long, na long, nb long, c long")
+        some = some.groupBy("a", "b").agg(F.sum("c").alias("c")).where(F.col("c") >= min(2, bands)).select("a", "b")  # one band may be a common passage
         new = verified(some, f"hub{i}")
         links = new if links is None else links.unionByName(new)
-        held = labelled(links, f"hub{i}")
+        joined = staged(connected_components(links, "a", "b").withColumnRenamed("id", "row"), f"hub{i}-joined")
     if links is None:
         links = spark.createDataFrame([], "a long, b long")
+        joined = spark.createDataFrame([], "row long, component long")
+    sizes = joined.groupBy("component").agg(F.count("row").alias("size"))
+    labels = staged(joined.join(sizes, "component").select("row", "component", "size"), "labels")
+    postings = found.where("leader IS NULL").select("token", "row", "n").repartition("token").sortWithinPartitions("token", "row")
+    left = F.row_number().over(Window.partitionBy("row").orderBy(F.desc("token")))  # a row's prefix is bounded by its text
+    held = postings.mapInArrow(tidy(_repeated), "token long, row long, n int").join(labels, "row", "left").withColumn("rem", left)
+    held = staged(held.withColumns({"component": F.coalesce("component", "row"), "size": F.coalesce("size", F.lit(1).cast("long"))}), "held")
     # what may still join two components: rows of the smaller one that meet the larger one where both have the need left in their prefixes
     groups = held.groupBy("token", F.col("component").alias("tree"), F.col("size").alias("tree_size"))
     groups = groups.agg(F.min("n").alias("low"), F.max("n").alias("high"), F.max("rem").alias("tree_rem"))
@@ -331,7 +346,7 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 4, percent: int = 85, bit
     keys = ["tree", "chunk", "salt", "probe", "row"]
     walk = sent(stored.select(*keys).unionByName(asking.select(*keys)), "tree long, chunk long, salt long, probe boolean, row long")
     walk = walk.repartition("tree", "chunk", "salt").sortWithinPartitions("tree", "chunk", "salt", "probe", "tokens", "row")
-    more = staged(walk.mapInArrow(_probe(percent), "a long, b long"), "probe-links")
+    more = staged(walk.mapInArrow(tidy(_probe(percent)), "a long, b long"), "probe-links")
 
     ids = members.where("doc_id IS NOT NULL").select("row", "doc_id").distinct()
     edges = links.unionByName(more).unionByName(members.where("doc_id IS NOT NULL AND row <> leader").select(F.col("row").alias("a"), F.col("leader").alias("b")))

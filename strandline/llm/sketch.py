@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strandline.llm.batches import tidy
+
 _BLOCK = 1 << 16
 
 
@@ -53,7 +55,7 @@ def frequency_levels(docs: DataFrame, hashes_of: Callable[[pa.RecordBatch], Iter
             if row.any():
                 yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([row.tobytes()], pa.binary())], names=["block", "counts"])
 
-    rows = docs.mapInArrow(count, "block int, counts binary").repartition("block").sortWithinPartitions("block").mapInArrow(_sum_blocks, "block int, counts binary")
+    rows = docs.mapInArrow(tidy(count), "block int, counts binary").repartition("block").sortWithinPartitions("block").mapInArrow(tidy(_sum_blocks), "block int, counts binary")
     total = np.zeros((1 << bits) // _BLOCK * _BLOCK, np.uint32).reshape(-1, _BLOCK)
     for r in rows.toLocalIterator():
         total[r["block"]] = np.frombuffer(r["counts"], np.uint32)
@@ -87,7 +89,7 @@ def slot_bitmap(hashes: DataFrame, column: str, bits: int) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([np.packbits(table).tobytes()], pa.binary())], names=["block", "bits"])
 
     cells = hashes.select(cell.alias("cell")).distinct().withColumn("block", F.shiftright("cell", shape))
-    rows = cells.repartition("block").sortWithinPartitions("block").select("cell").mapInArrow(mark, "block int, bits binary")
+    rows = cells.repartition("block").sortWithinPartitions("block").select("cell").mapInArrow(tidy(mark), "block int, bits binary")
     out = np.zeros(((1 << bits) // _BLOCK, _BLOCK), bool)
     for r in rows.toLocalIterator():
         out[r["block"]] = np.unpackbits(np.frombuffer(r["bits"], np.uint8)).astype(bool)

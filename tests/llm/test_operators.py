@@ -301,6 +301,45 @@ def test_hubs_over_batch_borders():
         assert got == want and want
 
 
+def test_rows_of_the_first_rounds_follow_the_bands():
+    """Sets that share many shingles meet once a band and hub, not once a shingle; sets that share a part by chance hardly meet."""
+    rng = np.random.default_rng(21)
+    draw = lambda n: np.unique(rng.integers(0, 2**63, n).astype(np.uint64) << np.uint64(1))
+    base, other = draw(300), draw(300)
+    near = [np.unique(np.concatenate([rng.choice(base, len(base) - 8, replace=False), draw(8)])) for _ in range(60)]
+    far = [np.unique(np.concatenate([rng.choice(other, 40, replace=False), draw(260)])) for _ in range(60)]
+    bands = np.stack([shingle_join.set_bands(s, 8) for s in near + far])
+    assert len(np.unique(bands)) > 60 * 8 and np.array_equal(bands[0], shingle_join.set_bands(near[0], 8))
+    rows = pd.DataFrame({"token": bands.ravel(), "row": np.repeat(np.arange(120), 8), "n": 300, "component": np.repeat(np.arange(120), 8)}).sort_values(["token", "row"])
+    out = [r for b in shingle_join._hub_pairs(2, 85)(iter([pa.RecordBatch.from_pandas(rows, preserve_index=False)])) for r in b.to_pylist()]
+    assert sum(r["c"] for r in out) <= 60 * 8 * 2 and {r["b"] for r in out} >= set(range(5, 60)) and max(r["b"] for r in out) < 60
+    assert len(shingle_join.set_bands(draw(1), 4)) == 4
+
+
+def test_hub_rounds_make_no_row_for_each_common_shingle(spark, monkeypatch):
+    """Copies that share most of their shingles meet a few times each; before, they met at every shingle of their prefixes."""
+    rng, rows, task, made = random.Random(31), [], shingle_join._hub_pairs, spark.sparkContext.accumulator(0)
+    for _ in range(3):
+        text = _prose(rng, 400).split(" ")
+        for _ in range(40):
+            own = list(text)
+            own[rng.randrange(len(own))] = f"v{rng.randrange(10**6)}"
+            rows.append((len(rows), " ".join(own)))
+
+    def counted(*args):
+        def run(batches):
+            for b in task(*args)(batches):
+                made.add(sum(b.column("c").to_pylist()))
+                yield b
+
+        return run
+
+    monkeypatch.setattr(shingle_join, "_hub_pairs", counted)
+    got = shingle_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), hubs=2)
+    assert got.select("component_id").distinct().count() == 3
+    assert 0 < made.value <= 2 * 4 * len(rows), made.value
+
+
 def test_pairs_meet_where_both_have_the_need_left():
     """Many variants of one text, hardly any linked: no link is lost, and most pairs that only share frequent shingles are left out."""
     rng, sets = np.random.default_rng(11), []
