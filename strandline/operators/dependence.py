@@ -438,8 +438,9 @@ class Correlator:
                     scored = rank_scores(one.withColumn("_v", F.lit(0)).withColumnRenamed(f, "_f"), "_v", "_f", self.measure)
                     z = z.drop(f).join(scored.select(t, F.col("_f").alias(f)), t)
             z = regress_out_many(z, var, x, self.factors)[0].drop(x).withColumnRenamed("residual", x)
+        z = staged(z, "scores")  # the vectors and the autocorrelations read it
         vec = G.vectors(z, [t], var, x, names)
-        corr = G.correlations(G.gram(vec, "vec"))
+        corr = G.correlations(staged(G.gram(vec, "vec"), "gram"))  # its row count, sums, diagonal and cells are read one by one
         if self.robust:
             n = corr.select(F.max("n").alias("n"))
             corr = tyler_corr(vec, "vec").crossJoin(F.broadcast(n))  # a single row

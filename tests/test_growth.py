@@ -113,3 +113,15 @@ def test_oos_risk_numbers_no_table_in_one_task(spark):
         w = np.linalg.solve(np.cov(train.T, ddof=0), np.ones(3))
         assert got[b]["n"] == 30 and got[b]["realised"] == pytest.approx((test @ (w / w.sum())).std())
     assert len(got) == 9
+
+
+def test_correlator_reads_its_scores_and_sums_from_one_write(spark):
+    """Ranking and the sums of products run once, however many parts of the matrix read them."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(80, 4))
+    long = spark.createDataFrame([(t, v, float(x[t, v])) for t in range(80) for v in range(4)], "t long, var int, value double")
+    fit = dependence.Correlator(measure="spearman", effective_n="bartlett").fit(long, "t", "var", "value", range(4))
+    got = {(r["i"], r["j"]): r["r"] for r in fit.collect()}
+    ranks = np.argsort(np.argsort(x, 0), 0)
+    assert all(got[i, j] == pytest.approx(np.corrcoef(ranks[:, i], ranks[:, j])[0, 1]) for i in range(4) for j in range(i, 4))
+    assert "MapInPandas" not in _plan(fit)
