@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandline.llm.batches import kept_schema, pieces, unpacked, with_kept
+from strandline.llm.batches import kept_schema, pieces, tidy, unpacked, with_kept
 
 _KEEP = np.array([chr(c).isalnum() for c in range(0x110000)], dtype=bool)
 
@@ -208,7 +208,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, *, q: int = 8, rate: float
                     leaks.append((before or []) + [{"item_id": index.ids[i], "start": lo, "end": hi, "edits": e} for i, lo, hi, e in found])
                 yield pa.RecordBatch.from_arrays([b.column("kept"), b.column("text"), pa.array(leaks, b.schema.field("leaks").type)], names=["kept", "text", "leaks"])
 
-        return rows.mapInArrow(run, kept_schema(rows, f"text string, leaks {leak}"))
+        return rows.mapInArrow(tidy(run), kept_schema(rows, f"text string, leaks {leak}"))
 
     out = with_kept(docs, keep, text=F.col("text"), leaks=F.array().cast(leak))
     block, size = [], 0

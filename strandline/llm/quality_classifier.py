@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandline.llm.batches import WordHashes, fold, kept_schema, pieces, raw, shingles, unpacked, with_kept
+from strandline.llm.batches import WordHashes, fold, kept_schema, pieces, raw, shingles, tidy, unpacked, with_kept
 
 _SYMBOLS = frozenset(b"#*$%&|<>{}[]\\^~=+_")
 #: Traits of one word, averaged over a text.
@@ -190,7 +190,7 @@ def classify(docs: DataFrame, labels: DataFrame, *, folds: int = 3, held: int =
             lists = pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), WIDTH).cast(pa.list_(pa.float64()))
             yield pa.RecordBatch.from_arrays([b.column("trusted"), b.column("mixed"), lists], names=["trusted", "mixed", "features"])
 
-    got = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "trusted", "mixed").mapInArrow(sample, "trusted int, mixed int, features array<double>").toArrow()
+    got = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "trusted", "mixed").mapInArrow(tidy(sample), "trusted int, mixed int, features array<double>").toArrow()
     x = np.array(got.column("features").to_pylist(), float).reshape(-1, WIDTH)
     trusted, mixed = got.column("trusted").to_numpy(), got.column("mixed").to_numpy()
     order = np.lexsort(x.T)  # whatever the order in which rows arrived
@@ -204,4 +204,4 @@ def classify(docs: DataFrame, labels: DataFrame, *, folds: int = 3, held: int =
             yield pa.RecordBatch.from_arrays([b.column("kept"), b.column("held_out"), pa.array(score), pa.array((score >= 0.5).astype(np.int32))], names=["kept", "held_out", "score", "predicted"])
 
     rows = with_kept(docs, keep, held_out=~outside, text=F.col("text"))
-    return unpacked(rows.mapInArrow(run, kept_schema(rows, "held_out boolean, score double, predicted int")), keep)
+    return unpacked(rows.mapInArrow(tidy(run), kept_schema(rows, "held_out boolean, score double, predicted int")), keep)

@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandline.llm.batches import WordHashes, kept_schema, mix, pieces, raw, shingles, unpacked, with_kept
+from strandline.llm.batches import WordHashes, kept_schema, mix, pieces, raw, shingles, tidy, unpacked, with_kept
 from strandline.llm.sketch import frequency_levels, slot, slot_bitmap
 from strandline.storage import staging_path
 
@@ -131,7 +131,7 @@ def repeated_spans(docs: DataFrame, *, window: int = 50, gram: int = 8, bits: in
             yield pa.RecordBatch.from_arrays([_signed(_spread(np.concatenate(found))), pa.array(np.repeat(docs, sizes))], names=["key", "doc_id"])
 
     # two documents hold a key if the smallest and the largest id differ
-    shared = rows.select("doc_id", "text").mapInArrow(keys, "key long, doc_id long").groupBy("key").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b")
+    shared = rows.select("doc_id", "text").mapInArrow(tidy(keys), "key long, doc_id long").groupBy("key").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b")
     bitmap = spark.sparkContext.broadcast(slot_bitmap(shared, "key", bitmap_bits))  # 2**bitmap_bits bytes
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -154,10 +154,10 @@ def repeated_spans(docs: DataFrame, *, window: int = 50, gram: int = 8, bits: in
             yield pa.RecordBatch.from_arrays([pa.array(c, k) if k != pa.string() else pa.array(c, pa.binary()).cast(k) for c, k in zip(cols, kinds)], names=["key", "print", "packed", "doc_id", "row", "start"])
 
     path = staging_path(spark, "superkmers")
-    rows.mapInArrow(cut, "key long, print binary, packed string, doc_id long, row long, start int").write.option("compression", "zstd").parquet(path)
+    rows.mapInArrow(tidy(cut), "key long, print binary, packed string, doc_id long, row long, start int").write.option("compression", "zstd").parquet(path)
     staged = spark.read.parquet(path)
     distinct = staged.groupBy("key", "print", "packed").agg(F.min("doc_id").alias("least"))
-    settled = distinct.repartition("key").sortWithinPartitions("key").mapInArrow(_count_windows(window), "print binary, least long, later array<struct<lo:int,hi:int>>")
+    settled = distinct.repartition("key").sortWithinPartitions("key").mapInArrow(tidy(_count_windows(window)), "print binary, least long, later array<struct<lo:int,hi:int>>")
     words = F.size(F.split("packed", " "))
     held = staged.select("print", "doc_id", "row", "start", words.alias("n")).join(settled, "print")
     whole = F.array(F.struct(F.col("start").alias("lo"), (F.col("start") + F.col("n")).alias("hi")))
@@ -221,6 +221,6 @@ def remove_repeats(docs: DataFrame, *, window: int = 50, gram: int = 8, keep: li
             yield pa.RecordBatch.from_arrays(arrays if final else [*arrays, b.column("row")], names=names if final else [*names, "row"])
 
     rows = with_kept(docs, keep, text=F.col("text"), row=F.xxhash64("doc_id", "text"))
-    first = rows.mapInArrow(lambda x: settle(x, False), kept_schema(rows, schema + ", row long"))
-    done = first.join(spans, "row", "left").mapInArrow(lambda x: settle(x, True), kept_schema(rows, schema))
+    first = rows.mapInArrow(tidy(lambda x: settle(x, False)), kept_schema(rows, schema + ", row long"))
+    done = first.join(spans, "row", "left").mapInArrow(tidy(lambda x: settle(x, True)), kept_schema(rows, schema))
     return unpacked(done if with_text else done.drop("text"), keep)

@@ -89,3 +89,14 @@ def test_awkward_tables(spark, rows, tmp_path):
             continue  # the classifier may reject such texts; the next stages are to see them
         docs = spark.read.parquet(path)
     assert docs.count() <= len(rows)
+
+
+def test_tasks_hand_memory_back_at_their_end(monkeypatch):
+    """After the last batch, not between batches."""
+    from strandline.llm import batches
+
+    seen: list = []
+    monkeypatch.setattr(batches, "give_back", lambda: seen.append("back"))
+    for x in batches.tidy(lambda rows: (r + 1 for r in rows))(iter([1, 2])):
+        seen.append(x)
+    assert seen == [2, 3, "back"]
